@@ -5,6 +5,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Metres per foot, court size, basket, lane and corner geometry
 FOOT = 0.3048
@@ -104,7 +105,7 @@ def _hull_area(xy: np.ndarray) -> float:
     return float(abs(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) / 2)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def hull_area(xs: pd.Series, ys: pd.Series) -> pd.Series:
     """Convex hull area per row from two arrays; null below three points. Arrow batches."""
     return pd.Series([None if x is None or len(x) < 3 else _hull_area(np.column_stack([x, y]).astype(float))

@@ -6,6 +6,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Name suffixes, in the order they are removed
 NAME_SUFFIXES = [" jr.", " jr", " sr.", " sr", " iii", " ii", " iv"]
@@ -47,7 +48,7 @@ def strip_accents(col) -> Column:
     return F.regexp_replace(F.translate(c, _FROM, _TO), r"\p{M}", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkd_fold(s: pd.Series) -> pd.Series:
     """Full compatibility decomposition for scripts outside the Latin blocks; Arrow batches, opt-in."""
     return s.map(lambda v: None if v is None else "".join(
