@@ -1,6 +1,7 @@
 """Names, team codes, seasons and canonical ids as native columns."""
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -64,7 +65,7 @@ def normalize_name(col, full_unicode: bool = False) -> Column:
     c = F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
     c = _strip(F.lower(nfkd_fold(c) if full_unicode else strip_accents(c)))
     for suffix in NAME_SUFFIXES:
-        c = F.when(c.endswith(suffix), _strip(c.substr(F.lit(1), F.length(c) - len(suffix)))).otherwise(c)
+        c = _strip(F.regexp_replace(c, re.escape(suffix) + r"\z", ""))
     return F.trim(F.regexp_replace(F.regexp_replace(c, "[^a-z0-9 ]", ""), " +", " "))
 
 

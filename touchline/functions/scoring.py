@@ -54,16 +54,14 @@ def with_stats(df: DataFrame, by: Sequence[str], **aggs: Column) -> DataFrame:
     return df.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one").drop("_one")
 
 
+def range_stats(cols: Sequence[str]) -> dict[str, Column]:
+    return {**{f"_lo_{c}": F.min(c) for c in cols}, **{f"_hi_{c}": F.max(c) for c in cols}}
+
+
 def min_max(df: DataFrame, cols: dict[str, str], by: Sequence[str] = ()) -> DataFrame:
     """Scale to 0..1; a constant column becomes 0.5. ``cols``: source -> new name."""
-    aggs = {}
-    for c in cols:
-        aggs[f"_lo_{c}"], aggs[f"_hi_{c}"] = F.min(c), F.max(c)
-    out = with_stats(df, by, **aggs)
-    for c, new in cols.items():
-        lo, hi = F.col(f"_lo_{c}"), F.col(f"_hi_{c}")
-        out = out.withColumn(new, F.when(lo == hi, F.lit(0.5)).otherwise((F.col(c) - lo) / (hi - lo)))
-    return out.drop(*aggs)
+    aggs = range_stats(list(cols))
+    return with_stats(df, by, **aggs).withColumns({new: scaled(c) for c, new in cols.items()}).drop(*aggs)
 
 
 def zscore(df: DataFrame, cols: dict[str, str], by: Sequence[str] = ()) -> DataFrame:
@@ -96,13 +94,28 @@ def exclude_stars(df: DataFrame, pts: float = 22.0, obvious: float = 25.0, p: fl
     return d.filter(~F.coalesce(star, F.lit(False))).drop("_q")
 
 
+def median_stats(col: str) -> dict[str, Column]:
+    """Aggregates that ``median_bonus`` needs."""
+    return {"_med": F.percentile(col, F.lit(0.5)), "_cheap": F.min(col), "_dear": F.max(col)}
+
+
+def median_bonus(col: str) -> Column:
+    """0..1 by distance below the median for rows at or below it, else 0; equal distances scale to 0.5."""
+    below = lambda c: F.greatest(F.col("_med") - c, F.lit(0.0))
+    lo, hi = below(F.col("_dear")), below(F.col("_cheap"))
+    scaled = F.when(lo == hi, F.lit(0.5)).otherwise((below(F.col(col)) - lo) / (hi - lo))
+    return F.when(F.col(col) <= F.col("_med"), scaled).otherwise(F.lit(0.0))
+
+
 def below_median_bonus(df: DataFrame, col: str, out: str) -> DataFrame:
-    """Cheaper than the median earns 0..1 by distance below it; dearer earns 0."""
-    d = with_stats(df, [], _med=F.percentile(col, F.lit(0.5)))
-    d = d.withColumn("_below", F.greatest(F.col("_med") - F.col(col), F.lit(0.0)))
-    d = min_max(d, {"_below": "_scaled"})
-    return d.withColumn(out, F.when(F.col(col) <= F.col("_med"), F.col("_scaled")).otherwise(F.lit(0.0))) \
-        .drop("_med", "_below", "_scaled")
+    stats = median_stats(col)
+    return with_stats(df, [], **stats).withColumn(out, median_bonus(col)).drop(*stats)
+
+
+def scaled(col: str) -> Column:
+    """Min-max scale from ``_lo_<col>``, ``_hi_<col>``."""
+    lo, hi = F.col(f"_lo_{col}"), F.col(f"_hi_{col}")
+    return F.when(lo == hi, F.lit(0.5)).otherwise((F.col(col) - lo) / (hi - lo))
 
 
 # Trade score weights
