@@ -147,11 +147,11 @@ def team_seconds(t):
 def _trend(c):
     last = f"list_avg(list_filter(list_slice(l, len(l) - 2, len(l)), lambda r: r.{c} IS NOT NULL).list_transform(lambda r: r.{c}))"
     first = f"list_avg(list_filter(list_slice(l, 1, 3), lambda r: r.{c} IS NOT NULL).list_transform(lambda r: r.{c}))"
-    return f"round({last} - {first}, 6)"
+    return f"round({last} - {first}, 9)"
 
 
 def _mean(c):
-    return f"round(list_avg(list_filter(l, lambda r: r.{c} IS NOT NULL).list_transform(lambda r: r.{c})), 6)"
+    return f"round(list_avg(list_filter(l, lambda r: r.{c} IS NOT NULL).list_transform(lambda r: r.{c})), 9)"
 
 
 @query("wi22_moment_vectors", f"""WITH {EVENTS}, {TEAMSEC}, sp AS (SELECT match_id, period, min(sec) + 9 AS lo, max(sec) AS hi FROM ts GROUP BY 1, 2), an AS (SELECT match_id, period, unnest(range(lo, hi + 1, 2)) AS anchor FROM sp),
@@ -160,7 +160,7 @@ def _mean(c):
 SELECT * FROM v WHERE ((hw IS NULL)::INT + (hwt IS NULL)::INT + (aw IS NULL)::INT + (awt IS NULL)::INT + (hd IS NULL)::INT + (hdt IS NULL)::INT) / 6.0 <= 0.25""")
 def _(t):
     m = windows.moment_vectors(team_seconds(t), ["match_id"], ["home_w", "away_w", "home_d"])
-    r = lambda c, n: F.round(c, 6).alias(n)
+    r = lambda c, n: F.round(c, 9).alias(n)
     return m.select("match_id", "period", "anchor", r("home_w__mean", "hw"), r("home_w__trend", "hwt"), r("away_w__mean", "aw"), r("away_w__trend", "awt"), r("home_d__mean", "hd"), r("home_d__trend", "hdt"))
 
 
