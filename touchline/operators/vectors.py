@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from touchline.functions import music
 from touchline.operators import ordered
+from touchline.session import materialize
 
 BLOCK_ROWS = 4096        # corpus vectors searched together in one task
 QUERY_ROWS = 20000       # query vectors sent to one block together
@@ -36,7 +37,7 @@ def vector_topk(df: DataFrame, query: Sequence[float], col: str, k: int = 5, min
     return df.withColumn("score", score).filter(F.col("score") >= min_score).orderBy(F.desc("score"), F.asc(key)).limit(k)
 
 
-def _local_topk(k: int, schema: str):
+def _local_topk(k: int):
     """Per block: k nearest corpus rows for every query, by matrix products on slices of the queries."""
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -59,8 +60,9 @@ def _local_topk(k: int, schema: str):
                 near = np.flatnonzero(rough[n] <= limit[n])
                 d2 = ((c[near] - q[n]) ** 2).sum(1)
                 best = np.lexsort((ids[near], d2))[:take]
-                out.append(pd.DataFrame({"qid": qid, "cid": ids[near[best]], "d2": d2[best]}))
-        return pd.concat(out, ignore_index=True)
+                out.append((np.full(len(best), qid), ids[near[best]], d2[best]))
+        qid, cid, d2 = (np.concatenate(a) for a in zip(*out))
+        return pd.DataFrame({"qid": qid, "cid": cid, "d2": d2})
     return run
 
 
@@ -76,7 +78,7 @@ def _nearest_pivot(pivots: np.ndarray, all_bounds: bool):
     return run
 
 
-def knn_join(queries: DataFrame, corpus: DataFrame, k: int, by: str | None = None, pivots: int = PIVOTS,
+def knn_join(queries: DataFrame, corpus: DataFrame, k: int, by: str | None = None, pivots: int | None = None,
              block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """Exact ``k`` nearest corpus rows (Euclidean) per query: qid, cid, distance.
 
@@ -88,10 +90,12 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, by: str | None = Non
       that the triangle inequality cannot rule out. Nothing is dropped: the result is exact.
     * Block searches return k rows per query; pairs are never emitted.
     """
-    g = by or "_g"
     q = queries.select("qid", (F.col(by) if by else F.lit(0)).cast("string").alias("g"), F.col("vec").cast("array<double>").alias("vec"))
     c = corpus.select("cid", (F.col(by) if by else F.lit(0)).cast("string").alias("g"), F.col("vec").cast("array<double>").alias("vec"))
-    del g
+    if pivots is None:
+        # cells much smaller than k or than a block only add overhead
+        groups = c.groupBy("g").count().agg(F.max("count")).first()[0] or 0
+        pivots = max(1, min(PIVOTS, -(-groups // max(block_rows, 8 * k))))
     seed = c.orderBy(F.xxhash64("cid"), "cid").limit(pivots).select("vec").collect()      # at most ``pivots`` rows
     empty = queries.sparkSession.createDataFrame([], "qid bigint, cid bigint, distance double")
     if not seed:
@@ -116,7 +120,7 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, by: str | None = Non
         key = ["g", "cell", "sub", "salt"]
         sent = sent.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
         return sent.select(*key, "qid", "vec").groupBy(*key).cogroup(blocks.select(*key, "cid", "vec").groupBy(*key)) \
-            .applyInPandas(_local_topk(k, ""), "qid bigint, cid bigint, d2 double")
+            .applyInPandas(_local_topk(k), "qid bigint, cid bigint, d2 double")
 
     reach = F.get(F.col("pd"), F.col("c.cell"))
     # round one: the cell with the nearest pivot that exists in the query's group
@@ -125,6 +129,9 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, by: str | None = Non
     h = qa.withColumn("home", home)
     r1 = search(h.select("qid", "g", "vec", "salt", F.col("home.cell").alias("cell"), F.col("home.subs").alias("subs")))
     t1 = ordered.top_k(r1, ["qid"], [F.asc("d2"), F.asc("cid")], k)
+    if len(seed) == 1:
+        return t1.select("qid", "cid", F.sqrt("d2").alias("distance"), "rank")
+    t1 = materialize(t1, "knn-home")
     bound = t1.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.sqrt(F.max("d2"))).alias("ub"))
     rest = h.join(bound, "qid", "left").withColumn("c", F.explode("cells")).filter(
         (F.col("c.cell") != F.col("home.cell"))

@@ -67,8 +67,10 @@ def segment_break(df: DataFrame, by: Sequence[str], order: Sequence, max_gap_ms,
 
     Adds dt_ms, raw distance (null across breaks) and the previous values named in ``keep``.
     """
-    need = {"t_ms": "_pt", "period": "_pp", "x_m": "_px", "y_m": "_py", **(keep or {})}
-    d = ordered.with_lag(df, need, by, order, chunk)
+    need = {"t_ms": "_pt", "period": "_pp", "x_m": "_px", "y_m": "_py"}
+    keep = keep or {}
+    d = ordered.with_lag(df, {**need, **{c: n for c, n in keep.items() if c not in need}}, by, order, chunk)
+    d = d.withColumns({n: F.col(need[c]) for c, n in keep.items() if c in need})
     dt = F.col("t_ms") - F.col("_pt")
     step = F.hypot(F.col("x_m") - F.col("_px"), F.col("y_m") - F.col("_py"))
     gap = max_gap_ms if isinstance(max_gap_ms, Column) else F.lit(max_gap_ms)
