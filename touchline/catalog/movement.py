@@ -9,7 +9,7 @@ from touchline.catalog.base import DAY, EVENTS, HOUR, events, query
 from touchline.operators import ordered, tracking
 
 CFG = replace(tracking.SOCCER, max_gap_ms=12 * HOUR, max_speed_player=0.01, max_speed_ball=0.02, high_speed=0.0005, sprint_speed=0.001,
-              accel=1e-8, window_ms=DAY, min_outfield=5, ema_alpha=0.37182818)
+              accel=1e-8, window_ms=DAY, min_outfield=5, ema_alpha=0.36787944117144233)
 EPOCH = 1704067200000
 
 POS = f"""pos AS (SELECT event_id AS seq, t_ms, user_id, CASE WHEN user_id % 10 = 0 THEN 'ball' ELSE 'player' END AS et, CAST(user_id % 2 AS VARCHAR) AS team, week(ts) AS period, value AS x, k::DOUBLE AS y,
@@ -38,8 +38,8 @@ OBS = f"""{POS}, lagd AS (SELECT *, row_number() OVER w AS rn, t_ms - lag(t_ms)
  ema AS (SELECT user_id, rn, x AS sx, y AS sy, NULL::DOUBLE AS d, NULL::DOUBLE AS v, NULL::DOUBLE AS acc, false AS spr, 1000000000::BIGINT AS below, false AS entry FROM brk WHERE rn = 1
   UNION ALL SELECT user_id, rn, sx, sy, d, v, CASE WHEN d IS NOT NULL THEN (v - pv) / (dt / 1000.0::DOUBLE) END, CASE WHEN pl THEN v >= 0.001 ELSE spr0 END,
    CASE WHEN NOT pl THEN below0 WHEN v >= 0.001 THEN 0 WHEN spr0 THEN dt ELSE below0 + dt END, coalesce(pl AND v >= 0.001 AND NOT spr0 AND below0 >= 1000, false)
-  FROM (SELECT *, d / (dt / 1000.0::DOUBLE) AS v FROM (SELECT b.user_id, b.rn, b.dt, CASE WHEN ok THEN 0.37182818::DOUBLE * b.x + (1.0::DOUBLE - 0.37182818::DOUBLE) * e.sx ELSE b.x END AS sx, CASE WHEN ok THEN 0.37182818::DOUBLE * b.y + (1.0::DOUBLE - 0.37182818::DOUBLE) * e.sy ELSE b.y END AS sy, ok AND et = 'player' AS pl,
-     CASE WHEN ok THEN sqrt((0.37182818::DOUBLE * b.x + (1.0::DOUBLE - 0.37182818::DOUBLE) * e.sx - e.sx) ** 2 + (0.37182818::DOUBLE * b.y + (1.0::DOUBLE - 0.37182818::DOUBLE) * e.sy - e.sy) ** 2) END AS d, e.v AS pv, e.spr AS spr0, e.below AS below0 FROM ema e JOIN brk b ON b.user_id = e.user_id AND b.rn = e.rn + 1))),
+  FROM (SELECT *, d / (dt / 1000.0::DOUBLE) AS v FROM (SELECT b.user_id, b.rn, b.dt, CASE WHEN ok THEN 0.36787944117144233::DOUBLE * b.x + (1.0::DOUBLE - 0.36787944117144233::DOUBLE) * e.sx ELSE b.x END AS sx, CASE WHEN ok THEN 0.36787944117144233::DOUBLE * b.y + (1.0::DOUBLE - 0.36787944117144233::DOUBLE) * e.sy ELSE b.y END AS sy, ok AND et = 'player' AS pl,
+     CASE WHEN ok THEN sqrt((0.36787944117144233::DOUBLE * b.x + (1.0::DOUBLE - 0.36787944117144233::DOUBLE) * e.sx - e.sx) ** 2 + (0.36787944117144233::DOUBLE * b.y + (1.0::DOUBLE - 0.36787944117144233::DOUBLE) * e.sy - e.sy) ** 2) END AS d, e.v AS pv, e.spr AS spr0, e.below AS below0 FROM ema e JOIN brk b ON b.user_id = e.user_id AND b.rn = e.rn + 1))),
  obs AS (SELECT b.*, e.sx, e.sy, e.d, e.v, e.acc, e.entry FROM brk b JOIN ema e USING (user_id, rn))"""
 
 

@@ -107,6 +107,14 @@ class CommitLog:
         return not led.filter((F.col("query_name") == self.query) & (F.col("batch_id") == batch_id)
                               & (F.col("sink") == table)).isEmpty()
 
+    def last(self, table: str, before: int) -> int | None:
+        """Newest finished batch below ``before``."""
+        if not self.lake.exists("ops.sink_ledger"):
+            return None
+        led = self.lake.read("ops.sink_ledger").filter(
+            (F.col("query_name") == self.query) & (F.col("sink") == table) & (F.col("batch_id") < before))
+        return led.agg(F.max("batch_id")).first()[0]
+
     def ledger(self, batch_id: int, sink: str, rows: int, t0: float) -> None:
         row = [(self.query, batch_id, sink, int(rows), dt.datetime.now(dt.timezone.utc).replace(tzinfo=None),
                 int((time.time() - t0) * 1000))]

@@ -101,12 +101,16 @@ class Engine:
         self.version = f"{cfg.name}-{cfg.version}"
 
     def _state(self, name: str, batch_id: int) -> DataFrame:
-        """State left by the batch before (batch ids are consecutive); a partition filter, not a scan."""
-        return self.lake.read(name).filter(F.col("batch_id") == batch_id - 1).drop("batch_id")
+        """State left by the last batch that ran to its end; a partition filter, not a scan."""
+        return self.lake.read(name).filter(F.col("batch_id") == self.before).drop("batch_id")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
+            if batch.isEmpty():            # a timer tick without output leaves state as it is
+                return
+            last = self.log.last("state.cursor", batch_id)
+            self.before = -1 if last is None else last
             self._run(batch, batch_id)
         finally:
             batch.unpersist()
@@ -186,9 +190,9 @@ class Engine:
             dkey = [*key, "entity_id", "window", "cell_x", "cell_y"]
             alld = self._state("state.dwell", batch_id).unionByName(d_now.select(*dkey, "team_id", "dwell_ms")).groupBy(*dkey).agg(
                 F.min("team_id").alias("team_id"), F.sum("dwell_ms").alias("dwell_ms"))
-            alld = alld.join(self.periods.select("match_id", F.col("period").alias("_p"), "offset_ms"),
-                             (alld.match_id == self.periods.match_id) & (F.floor(alld.window / 10000) == F.col("_p")), "left") \
-                .drop(self.periods.match_id).drop("_p").withColumn("offset_ms", F.coalesce("offset_ms", F.lit(0)))
+            off = self.periods.select(F.col("match_id").alias("_m"), F.col("period").alias("_p"), "offset_ms")
+            here = (F.col("match_id") == F.col("_m")) & (F.floor(F.col("window") / 10000) == F.col("_p"))
+            alld = alld.join(off, here, "left").drop("_m", "_p").withColumn("offset_ms", F.coalesce("offset_ms", F.lit(0)))
             self._emit(alld, cursor, closed, iv.select(*key, "entity_id", "window").distinct(), ["entity_id", "window"],
                        "gold.spatial_dwell", "state.dwell", put, lambda d: d)
         finally:
