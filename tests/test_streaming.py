@@ -188,6 +188,7 @@ def test_retried_batch_adds_nothing(spark, tmp_path):
     log = CommitLog(lake, "q")
     df = spark.range(5).select(F.col("id").alias("a"))
     assert log.append(df, "t", 0) and not log.append(df, "t", 0)
+    assert log.last("t", 5) == 0 and log.last("t", 0) is None
     # a failure between data and ledger: the same batch again replaces its own rows
     lake.commit(df, "t", 1)
     assert log.append(df, "t", 1)

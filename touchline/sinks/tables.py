@@ -4,7 +4,9 @@ from __future__ import annotations
 import datetime as dt
 import time
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,33 +94,44 @@ class CommitLog:
     def __init__(self, lake: Lake, query: str):
         self.lake, self.query = lake, query
 
-    def append(self, df: DataFrame, table: str, batch_id: int) -> bool:
-        if self.done(table, batch_id):
-            return False
-        t0 = time.time()
-        n = self.lake.commit(df, table, batch_id)
-        self.ledger(batch_id, table, n, t0)
-        return True
-
-    def done(self, table: str, batch_id: int) -> bool:
+    def _mine(self) -> DataFrame | None:
         if not self.lake.exists("ops.sink_ledger"):
-            return False
-        led = self.lake.read("ops.sink_ledger")
-        return not led.filter((F.col("query_name") == self.query) & (F.col("batch_id") == batch_id)
-                              & (F.col("sink") == table)).isEmpty()
+            return None
+        return self.lake.read("ops.sink_ledger").filter(F.col("query_name") == self.query)
+
+    def done(self, batch_id: int) -> set[str]:
+        """Tables this batch has reached (a handful of names)."""
+        led = self._mine()
+        return set() if led is None else {r[0] for r in led.filter(F.col("batch_id") == batch_id).select("sink").collect()}
 
     def last(self, table: str, before: int) -> int | None:
         """Newest finished batch below ``before``."""
-        if not self.lake.exists("ops.sink_ledger"):
-            return None
-        led = self.lake.read("ops.sink_ledger").filter(
-            (F.col("query_name") == self.query) & (F.col("sink") == table) & (F.col("batch_id") < before))
-        return led.agg(F.max("batch_id")).first()[0]
-
-    def ledger(self, batch_id: int, sink: str, rows: int, t0: float) -> None:
-        row = [(self.query, batch_id, sink, int(rows), dt.datetime.now(dt.timezone.utc).replace(tzinfo=None),
-                int((time.time() - t0) * 1000))]
-        self.lake.spark.createDataFrame(row, LEDGER).write.mode("append").parquet(self.lake.path("ops.sink_ledger"))
+        led = self._mine()
+        return None if led is None else led.filter((F.col("sink") == table) & (F.col("batch_id") < before)).agg(F.max("batch_id")).first()[0]
+
+    def append(self, df: DataFrame, table: str, batch_id: int) -> bool:
+        return bool(self.append_all({table: df}, batch_id))
+
+    def append_all(self, frames: dict[str, DataFrame], batch_id: int) -> list[str]:
+        """Write several tables of one batch at the same time, then record them in one ledger file.
+
+        A failed write fails the call before the ledger is touched; the retry then writes every table again, and
+        the batch folders make that a replacement.
+        """
+        done = self.done(batch_id)
+        todo = {n: d for n, d in frames.items() if n not in done}
+
+        def one(item):
+            t0 = time.time()
+            n = self.lake.commit(item[1], item[0], batch_id)
+            return (self.query, batch_id, item[0], int(n), dt.datetime.now(dt.timezone.utc).replace(tzinfo=None), int((time.time() - t0) * 1000))
+
+        if not todo:
+            return []
+        with ThreadPoolExecutor(min(6, len(todo))) as pool:
+            rows = list(pool.map(inheritable_thread_target(self.lake.spark)(one), todo.items()))
+        self.lake.spark.createDataFrame(rows, LEDGER).coalesce(1).write.mode("append").parquet(self.lake.path("ops.sink_ledger"))
+        return list(todo)
 
 
 LEDGER = "query_name string, batch_id bigint, sink string, rows bigint, committed_at timestamp, duration_ms bigint"

@@ -61,11 +61,13 @@ def write_batch(lake: Lake, log: CommitLog):
     def run(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
+            out = {}
             for name, build in (("game_scores", scores), ("period_scores", period_scores), ("match_events", match_events)):
                 keys, null_safe = KEYS[name]
                 # a retried batch must not see its own first attempt as "already there"
                 old = lake.read(name).filter(F.col("batch_id") != batch_id)
-                log.append(merge_insert_only(build(batch), old, keys, null_safe), name, batch_id)
+                out[name] = merge_insert_only(build(batch), old, keys, null_safe)
+            log.append_all(out, batch_id)
         finally:
             batch.unpersist()
     return run

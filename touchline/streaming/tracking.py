@@ -78,12 +78,13 @@ def start_bronze(messages: DataFrame, lake: Lake, checkpoint: str, trigger: dict
     def write(batch: DataFrame, batch_id: int) -> None:
         d = attributed(with_validation(batch)).persist()
         try:
-            log.append(d.select(
+            raw = d.select(
                 "topic", "kafka_partition", "kafka_offset", "kafka_ts", "key", "value",
                 F.col("session_id").alias("replay_session_id"), "match_id", "sequence",
                 F.col("invalid_reason").isNull().alias("valid"), "invalid_reason",
-                F.current_timestamp().alias("ingested_at")), "bronze.tracking_raw", batch_id)
-            log.append(quarantine(d.filter(F.col("invalid_reason").isNotNull())), "ops.quarantine", batch_id)
+                F.current_timestamp().alias("ingested_at"))
+            bad = quarantine(d.filter(F.col("invalid_reason").isNotNull()))
+            log.append_all({"bronze.tracking_raw": raw, "ops.quarantine": bad}, batch_id)
         finally:
             d.unpersist()
 
@@ -117,7 +118,16 @@ class Engine:
 
     def _run(self, batch: DataFrame, batch_id: int) -> None:
         cfg, key = self.cfg, ["session_id", "match_id"]
-        put = lambda d, name: self.log.append(d, name, batch_id)
+        out: dict[str, DataFrame] = {}
+        held: list[DataFrame] = []
+
+        def put(d: DataFrame, name: str) -> None:
+            out[name] = d
+
+        def hold(d: DataFrame) -> DataFrame:
+            held.append(d.persist())
+            return held[-1]
+
         late = batch.filter(F.col("kind") == "late").withColumn("p", F.from_json("payload", "seq bigint, reason string, t bigint, attempt int"))
         put(late.select(F.current_timestamp().alias("detected_at"), *key, "seq", F.col("p.reason").alias("reason"),
                         F.concat(F.lit("t_ms="), F.coalesce(F.col("p.t").cast("string"), F.lit("")), F.lit(" attempt="),
@@ -142,13 +152,14 @@ class Engine:
         state = self._state("state.entities", batch_id)
         seeded = pos.withColumn("is_state", F.lit(False)).unionByName(
             state.withColumn("is_state", F.lit(True)), allowMissingColumns=True)
-        obs = tracking.kinematics(seeded, cfg, tracking.plan_chunk(seeded), seeded=True).persist()
-        cursor = self._cursor(batch, fr, batch_id).persist()
         try:
-            self._write(batch, obs, pos, fr, cursor, batch_id, put)
+            obs = hold(tracking.kinematics(seeded, cfg, tracking.plan_chunk(seeded), seeded=True))
+            cursor = hold(self._cursor(batch, fr, batch_id))
+            self._write(obs, pos, fr, cursor, batch_id, put, hold)
+            self.log.append_all(out, batch_id)
         finally:
-            obs.unpersist()
-            cursor.unpersist()
+            for d in held:
+                d.unpersist()
 
     def _cursor(self, batch: DataFrame, fr: DataFrame, batch_id: int) -> DataFrame:
         """Newest frame time, period, released sequence and end flag per match, matches of earlier batches included."""
@@ -164,7 +175,7 @@ class Engine:
                         (F.coalesce("ended", F.lit(False)) | F.coalesce("o_ended", F.lit(False))).alias("ended"),
                         F.col("upto").isNotNull().alias("touched"))
 
-    def _write(self, batch, obs, pos, fr, cursor, batch_id, put) -> None:
+    def _write(self, obs, pos, fr, cursor, batch_id, put, hold) -> None:
         cfg, key = self.cfg, ["session_id", "match_id"]
         real = obs.filter(~F.col("is_state"))
         put(real.withColumns({**{c: safe_round(c) for c in ("x_m", "y_m", "z_m", "x_att", "y_att", "speed_mps", "accel_mps2", "dist_raw_m", "dist_m")},
@@ -175,29 +186,26 @@ class Engine:
             F.col("in_sprint").alias("sprint0")), [*key, "entity_id"], ["seq"])
         alive = cursor.filter(~F.col("ended")).select(*key)
         put(newest.join(alive, key, "left_semi"), "state.entities")
-        iv = tracking.attribute_intervals(obs, self.periods, cfg).persist()
-        try:
-            part = F.lit(batch_id).cast("bigint")
-            mine = tracking.player_windows(iv, cfg).withColumn("part", part)
-            allp = tracking.add_up_player_windows(self._state("state.player_windows", batch_id).unionByName(mine))
-            end = F.col("offset_ms") + (F.col("window") % 10000 + 1) * cfg.window_ms
-            closed = (F.col("c_ended") | (F.floor(F.col("window") / 10000) != F.col("c_period"))
-                      | (end + cfg.max_gap_ms < F.col("c_t")))
-            self._emit(allp, cursor, closed, mine.select(*key, "entity_id", "window"), ["entity_id", "window"], "gold.player_windows",
-                       "state.player_windows", put, lambda d: tracking.with_bounds(d, cfg).withColumns(
-                           {c: safe_round(c) for c in ("distance_m", "distance_raw_m", "hi_distance_m", "max_speed_mps")}))
-            d_now = tracking.dwell(iv)
-            dkey = [*key, "entity_id", "window", "cell_x", "cell_y"]
-            alld = self._state("state.dwell", batch_id).unionByName(d_now.select(*dkey, "team_id", "dwell_ms")).groupBy(*dkey).agg(
-                F.min("team_id").alias("team_id"), F.sum("dwell_ms").alias("dwell_ms"))
-            off = self.periods.select(F.col("match_id").alias("_m"), F.col("period").alias("_p"), "offset_ms")
-            here = (F.col("match_id") == F.col("_m")) & (F.floor(F.col("window") / 10000) == F.col("_p"))
-            alld = alld.join(off, here, "left").drop("_m", "_p").withColumn("offset_ms", F.coalesce("offset_ms", F.lit(0)))
-            self._emit(alld, cursor, closed, iv.select(*key, "entity_id", "window").distinct(), ["entity_id", "window"],
-                       "gold.spatial_dwell", "state.dwell", put, lambda d: d)
-        finally:
-            iv.unpersist()
-        tf = tracking.team_frames(pos, fr, self.keepers, cfg, self.teams, spacing="spacing" in tracking.HOOKS[cfg.name])
+        iv = hold(tracking.attribute_intervals(obs, self.periods, cfg))
+        part = F.lit(batch_id).cast("bigint")
+        mine = tracking.player_windows(iv, cfg).withColumn("part", part)
+        allp = tracking.add_up_player_windows(self._state("state.player_windows", batch_id).unionByName(mine))
+        end = F.col("offset_ms") + (F.col("window") % 10000 + 1) * cfg.window_ms
+        closed = (F.col("c_ended") | (F.floor(F.col("window") / 10000) != F.col("c_period"))
+                  | (end + cfg.max_gap_ms < F.col("c_t")))
+        self._emit(allp, cursor, closed, mine.select(*key, "entity_id", "window"), ["entity_id", "window"], "gold.player_windows",
+                   "state.player_windows", put, hold, lambda d: tracking.with_bounds(d, cfg).withColumns(
+                       {c: safe_round(c) for c in ("distance_m", "distance_raw_m", "hi_distance_m", "max_speed_mps")}))
+        d_now = tracking.dwell(iv)
+        dkey = [*key, "entity_id", "window", "cell_x", "cell_y"]
+        alld = self._state("state.dwell", batch_id).unionByName(d_now.select(*dkey, "team_id", "dwell_ms")).groupBy(*dkey).agg(
+            F.min("team_id").alias("team_id"), F.sum("dwell_ms").alias("dwell_ms"))
+        off = self.periods.select(F.col("match_id").alias("_m"), F.col("period").alias("_p"), "offset_ms")
+        here = (F.col("match_id") == F.col("_m")) & (F.floor(F.col("window") / 10000) == F.col("_p"))
+        alld = alld.join(off, here, "left").drop("_m", "_p").withColumn("offset_ms", F.coalesce("offset_ms", F.lit(0)))
+        self._emit(alld, cursor, closed, iv.select(*key, "entity_id", "window").distinct(), ["entity_id", "window"],
+                   "gold.spatial_dwell", "state.dwell", put, hold, lambda d: d)
+        tf = hold(tracking.team_frames(pos, fr, self.keepers, cfg, self.teams, spacing="spacing" in tracking.HOOKS[cfg.name]))
         rounded = [c for c in ("centroid_x", "centroid_y", "width_m", "depth_m", "hull_area_m2", "def_line_height_m") ]
         put(tf.withColumns({**{c: safe_round(c) for c in rounded}, "feature_version": F.lit(self.version)}), "gold.team_frame_metrics")
         tw = tracking.team_windows(tf, self.periods, cfg).withColumn("part", F.lit(batch_id).cast("bigint"))
@@ -206,26 +214,22 @@ class Engine:
         now_w = F.col("c_period") * 10000 + F.floor(F.greatest(F.col("c_t") - F.col("offset_ms"), F.lit(0)) / cfg.window_ms)
         tclosed = F.col("c_ended") | (F.floor(F.col("window") / 10000) != F.col("c_period")) | (F.col("window") < now_w)
         self._emit(allt, cursor, tclosed, tw.select(*key, "team_id", "window"), ["team_id", "window"], "gold.team_windows",
-                   "state.team_windows", put, lambda d: tracking.with_bounds(tracking.team_means(d), cfg).withColumns(
+                   "state.team_windows", put, hold, lambda d: tracking.with_bounds(tracking.team_means(d), cfg).withColumns(
                        {f"mean_{c}": safe_round(f"mean_{c}") for c in tracking.SHAPE}))
         # a finished match leaves the state one batch after its end
         put(cursor.filter(F.col("touched") | ~F.col("ended")).drop("touched"), "state.cursor")
 
-    def _emit(self, rows, cursor, closed, touched, tkey, table, state, put, shape: Callable) -> None:
+    def _emit(self, rows, cursor, closed, touched, tkey, table, state, put, hold, shape: Callable) -> None:
         """Closed windows once as final; open windows that changed as partial; open ones kept as state."""
         key = ["session_id", "match_id"]
         c = cursor.select(*key, F.col("t_ms").alias("c_t"), F.col("period").alias("c_period"), F.col("upto").alias("c_upto"),
                           F.col("ended").alias("c_ended"))
         d = rows.join(c, key, "left").withColumn("is_final", F.coalesce(closed, F.lit(False)))
-        t = touched.distinct().withColumn("_t", F.lit(True))
-        d = d.join(t, [*key, *tkey], "left").persist()
-        try:
-            out = d.filter(F.col("is_final") | F.coalesce("_t", F.lit(False)))
-            put(shape(out).withColumns({"version": F.col("c_upto") * 2 + F.col("is_final").cast("int"),
-                                        "feature_version": F.lit(self.version)}), table)
-            put(d.filter(~F.col("is_final")), state)
-        finally:
-            d.unpersist()
+        d = hold(d.join(touched.distinct().withColumn("_t", F.lit(True)), [*key, *tkey], "left"))
+        out = d.filter(F.col("is_final") | F.coalesce("_t", F.lit(False)))
+        put(shape(out).withColumns({"version": F.col("c_upto") * 2 + F.col("is_final").cast("int"),
+                                    "feature_version": F.lit(self.version)}), table)
+        put(d.filter(~F.col("is_final")), state)
 
 
 _ENT = ("struct<entity_type: string, canonical_player_id: string, team_id: string, x_m: double, y_m: double, z_m: double, "
