@@ -40,7 +40,7 @@ def sections(frames: DataFrame, track: str = "track_id", frame_s: float = FRAME_
     extra = [F.max(duration).alias("_dur")] if duration else []
     t = d.groupBy(track).agg(F.max("rms").alias("_top"),
                              F.array_sort(F.collect_list(F.struct("frame_idx", "rms"))).alias("_f"), *extra)
-    t = t.withColumn("e", F.transform("_f", lambda x: x["rms"] / F.col("_top"))).withColumn("n", F.size("e"))
+    t = t.withColumn("e", F.transform("_f", lambda x: F.try_divide(x["rms"], F.col("_top")))).withColumn("n", F.size("e"))
     t = t.withColumn("total_s", F.col("_dur").cast("double") if duration else F.col("n") * F.lit(frame_s))
     silent = t.filter(F.col("_top") < 1e-10).select(
         track, F.lit(0).alias("section"), F.lit("silence").alias("label"), F.lit(0.0).alias("start_sec"),
