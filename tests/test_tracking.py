@@ -76,9 +76,26 @@ def _shoelace_hull(pts):
     return edges / 2
 
 
+def _corners(p):
+    """Longest directed edges with every point on or left of them."""
+    out = []
+    for a in set(p):
+        for b in set(p):
+            side = [(b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0]) for c in p]
+            inside = [(c[0] - a[0]) * (c[0] - b[0]) + (c[1] - a[1]) * (c[1] - b[1]) <= 0 for c in p]
+            if a != b and all(s > 0 or (s == 0 and i) for s, i in zip(side, inside)):
+                out.append((a, b))
+    return out
+
+
 def test_hull_special_cases():
-    assert geo._hull_area(np.array([[0, 0], [1, 1], [2, 2], [3, 3.0]])) == 0
-    assert geo._hull_area(np.array([[0, 0], [2, 0], [2, 2], [0, 2], [1, 1], [1, 0], [0, 0.0]])) == pytest.approx(4)
+    assert geo._hull_area([0, 1, 2, 3.0], [0, 1, 2, 3.0]) == 0
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        p = [tuple(map(float, v)) for v in rng.integers(0, 6, (10, 2))]
+        want = sum(max(a[0] * b[1] - a[1] * b[0], -1e9) for a, b in _corners(p))
+        assert geo._hull_area(*zip(*p)) == pytest.approx(abs(want) / 2)
+    assert geo._hull_area([0, 2, 2, 0, 1, 1, 0.0], [0, 0, 2, 2, 1, 0, 0.0]) == pytest.approx(4)
 
 
 def test_split_plan_equals_plain_plan(circle, result):

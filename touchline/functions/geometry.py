@@ -83,30 +83,31 @@ def nearest(points, x, y) -> Column:
     return F.array_min(F.transform(_c(points), lambda a: F.hypot(a["x"] - px, a["y"] - py)))
 
 
-def _hull_area(xy: np.ndarray) -> float:
-    """Area of the convex hull by gift wrapping; 0 when all points lie on a line."""
-    pts = np.unique(xy, axis=0)
+def _hull_area(xs, ys) -> float:
+    """Area of the convex hull by gift wrapping on plain floats (groups are a dozen points); 0 on a line."""
+    pts = list(dict.fromkeys(zip(xs, ys)))
     if len(pts) < 3:
         return 0.0
-    start = at = int(np.lexsort((pts[:, 1], pts[:, 0]))[0])
-    ring = []
+    first = at = min(pts)
+    twice, steps = 0.0, 0
     while True:
-        ring.append(at)
-        d = pts - pts[at]
-        nxt = (at + 1) % len(pts)
-        for j in range(len(pts)):
-            turn = d[nxt, 0] * d[j, 1] - d[nxt, 1] * d[j, 0]
-            if turn < 0 or (turn == 0 and (d[j] ** 2).sum() > (d[nxt] ** 2).sum()):
-                nxt = j
-        at = nxt
-        if at == start or len(ring) > len(pts):
-            break
-    x, y = pts[ring, 0], pts[ring, 1]
-    return float(abs(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) / 2)
+        ax, ay = at
+        bx, by, reach = ax, ay, 0.0
+        for px, py in pts:
+            dx, dy = px - ax, py - ay
+            turn = (bx - ax) * dy - (by - ay) * dx
+            # the next corner has no point to its right; of points in line the farthest is taken
+            if turn < 0.0 or (turn == 0.0 and dx * dx + dy * dy > reach):
+                bx, by, reach = px, py, dx * dx + dy * dy
+        twice += (ax - first[0]) * (by - first[1]) - (bx - first[0]) * (ay - first[1])
+        at = (bx, by)
+        steps += 1
+        if at == first or steps > len(pts):
+            return abs(twice) / 2.0
 
 
 @F.pandas_udf(T.DoubleType())
 def hull_area(xs: pd.Series, ys: pd.Series) -> pd.Series:
     """Convex hull area per row from two arrays; null below three points. Arrow batches."""
-    return pd.Series([None if x is None or len(x) < 3 else _hull_area(np.column_stack([x, y]).astype(float))
+    return pd.Series([None if x is None or len(x) < 3 else _hull_area(np.asarray(x).tolist(), np.asarray(y).tolist())
                       for x, y in zip(xs, ys)], dtype="float64")

@@ -18,7 +18,8 @@ from touchline.operators.windows import segment_break
 from touchline.session import materialize
 
 BLOCK = 256
-ENTITY = ["session_id", "match_id", "entity_id"]
+# most selective first: rows are sorted by these
+ENTITY = ["entity_id", "match_id", "session_id"]
 
 
 @dataclass(frozen=True)
@@ -76,16 +77,22 @@ def ema(df: DataFrame, alpha: float, by, order: str, cols: dict[str, str], start
     if chunk is not None:
         d = materialize(d, "ema")
     d = d.withColumns({"_blk": F.floor(F.col("_n") / BLOCK), "_k": (F.col("_n") % BLOCK).cast("double")})
-    upto = lambda *part: Window.partitionBy(*by, *part).orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("_seg", F.sum(F.col(start).cast("int")).over(upto("_blk")))
+    # a piece is a segment cut at block borders; numbering pieces along the key keeps the sort order already there
+    scope = [*by] if chunk is None else [*by, "_blk"]
+    along = Window.partitionBy(*scope).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    cut = F.col(start) | (F.col("_k") == 0)
+    d = d.withColumns({"_piece": F.sum(cut.cast("int")).over(along),
+                       # no break since the block began: the block before still has a share
+                       "_open": F.last(F.when(cut, ~F.col(start)), ignorenulls=True).over(along)})
     w = F.when(F.col(start), 1.0).otherwise(alpha)
     up, down = F.pow(F.lit(keep), -F.col("_k")), F.pow(F.lit(keep), F.col("_k"))
     first = {c: (F.coalesce(F.col(seeds[c]), F.col(c)) if c in seeds else F.col(c)) for c in cols}
-    d = d.withColumns({f"_l_{c}": F.sum(w * first[c] * up).over(upto("_blk", "_seg")) * down for c in cols})
+    piece = Window.partitionBy(*scope, "_piece").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumns({f"_l_{c}": F.sum(w * first[c] * up).over(piece) * down for c in cols})
     ends = F.struct(*[F.col(f"_l_{c}").alias(c) for c in cols])
     if chunk is None:
         # block ends are the rows numbered 255, 511, ...; the latest one before a row closes the block before it
-        before = Window.partitionBy(*by).orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)
+        before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
         d = d.withColumn("_end", F.last(F.when(F.col("_k") == BLOCK - 1, ends), ignorenulls=True).over(before))
     else:
         edge = d.filter(F.col("_k") == BLOCK - 1).select(
@@ -95,9 +102,9 @@ def ema(df: DataFrame, alpha: float, by, order: str, cols: dict[str, str], start
             cond = cond & F.col(c).eqNullSafe(F.col(f"_e_{c}"))
         d = d.join(edge, cond, "left").drop("_e_blk", *[f"_e_{c}" for c in by])
     rest = F.pow(F.lit(keep), F.col("_k") + 1)
-    carried = lambda c: F.when(F.col("_seg") == 0, rest * F.col(f"_end.{c}")).otherwise(F.lit(0.0))
-    d = d.withColumns({out: F.col(f"_l_{c}") + F.coalesce(carried(c), F.lit(0.0)) for c, out in cols.items()})
-    return d.drop("_n", "_blk", "_k", "_seg", "_end", *[f"_l_{c}" for c in cols])
+    carried = lambda c: F.when(F.col("_open"), F.coalesce(rest * F.col(f"_end.{c}"), F.lit(0.0))).otherwise(F.lit(0.0))
+    d = d.withColumns({out: F.col(f"_l_{c}") + carried(c) for c, out in cols.items()})
+    return d.drop("_n", "_blk", "_k", "_piece", "_open", "_end", *[f"_l_{c}" for c in cols])
 
 
 def sprint_entries(d: DataFrame, sprint_speed: float, chunk: Column | None = None, by=None, order: str = "seq") -> DataFrame:
@@ -179,6 +186,11 @@ def attribute_intervals(obs: DataFrame, periods: DataFrame, cfg: Sport) -> DataF
         "both_detected": F.coalesce("p_detected", F.lit(False)) & F.coalesce("is_detected", F.lit(False))})
 
 
+# columns that windows and dwell need
+INTERVAL = ["session_id", "match_id", "entity_id", "seq", "team", "window", "offset_ms", "is_gap", "gap_ms", "dist_m", "dist_raw_m",
+            "speed_mps", "accel_mps2", "sprint_entry", "both_detected", "possession", "p_cell_x", "p_cell_y"]
+
+
 def player_windows(iv: DataFrame, cfg: Sport, by=("session_id", "match_id")) -> DataFrame:
     """Sums per (entity, window); every measure is a sum, a count or a maximum, so parts can be added up."""
     ok = ~F.col("is_gap")

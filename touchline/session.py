@@ -18,6 +18,8 @@ def build_session(app: str = "touchline", master: str | None = None, **conf: str
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # windows over one entity keep this many rows in memory before they use the spillable buffer
+        "spark.sql.windowExec.buffer.in.memory.threshold": "65536",
         "spark.sql.streaming.stateStore.providerClass":
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     }
