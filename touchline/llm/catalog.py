@@ -5,6 +5,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from touchline.llm import exact, mix
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -29,8 +31,25 @@ def op1(spark, sf_dir):
     return tokens.count_tokens(documents(spark, sf_dir), tokens.production_path())
 
 
+@query("op2_simhash_pigeonring")
+def op2(spark, sf_dir):
+    from touchline.llm import simhash
+
+    return simhash.classes(documents(spark, sf_dir))
+
+
+@query("op4_patricia_exact", exact.SQL)
+def op4(spark, sf_dir):
+    return exact.classes(documents(spark, sf_dir))
+
+
 @query("op5_byte_bpe")
 def op5(spark, sf_dir):
     from touchline.llm import bpe
 
     return bpe.round_trip(documents(spark, sf_dir), bpe.production_path())
+
+
+@query("op10_systematic_mix", mix.SQL)
+def op10(spark, sf_dir):
+    return mix.plan(documents(spark, sf_dir)).drop("row_hash")
