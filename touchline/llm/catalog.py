@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import exact, mix
+from touchline.llm import exact, mix, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -50,6 +50,11 @@ def op5(spark, sf_dir):
     return bpe.round_trip(documents(spark, sf_dir), bpe.production_path())
 
 
+@query("op7_trigram_secrets", secrets.SQL)
+def op7(spark, sf_dir):
+    return secrets.scan(documents(spark, sf_dir))
+
+
 @query("op10_systematic_mix", mix.SQL)
 def op10(spark, sf_dir):
     return mix.plan(documents(spark, sf_dir)).drop("row_hash")
