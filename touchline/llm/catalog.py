@@ -50,6 +50,13 @@ def op5(spark, sf_dir):
     return bpe.round_trip(documents(spark, sf_dir), bpe.production_path())
 
 
+@query("op6_ppm_scores")
+def op6(spark, sf_dir):
+    from touchline.llm import ppm
+
+    return ppm.score(documents(spark, sf_dir))
+
+
 @query("op7_trigram_secrets", secrets.SQL)
 def op7(spark, sf_dir):
     return secrets.scan(documents(spark, sf_dir))
