@@ -62,6 +62,13 @@ def op7(spark, sf_dir):
     return secrets.scan(documents(spark, sf_dir))
 
 
+@query("op8_kneser_ney_quality")
+def op8(spark, sf_dir):
+    from touchline.llm import kneser
+
+    return kneser.judged(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 @query("op10_systematic_mix", mix.SQL)
 def op10(spark, sf_dir):
     return mix.plan(documents(spark, sf_dir)).drop("row_hash")

@@ -48,6 +48,6 @@ def drop_written(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def join_small(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner", most: int = 100_000) -> DataFrame:
+def join_small(df: DataFrame, small: DataFrame, on, how: str = "inner", most: int = 100_000) -> DataFrame:
     """Join a table of a few narrow rows: broadcast while it has at most ``most`` rows, else an ordinary join."""
     return df.join(F.broadcast(small) if small.limit(most + 1).count() <= most else small, on, how)
