@@ -150,7 +150,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATT
             out = []
             for i in range(0, b.num_rows, 256):
                 texts = b.column("text").slice(i, 256).to_pylist()
-                for text, e in zip(texts, tok.encode_batch(texts, add_special_tokens=False)):
+                for text, e in zip(texts, tok.encode_batch_fast(texts, add_special_tokens=False)):
                     ids = e.ids
                     back = decode_bytes(table, ids)
                     out.append((len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(),
