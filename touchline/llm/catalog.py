@@ -69,6 +69,13 @@ def op8(spark, sf_dir):
     return kneser.judged(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@query("op9_webp_media")
+def op9(spark, sf_dir):
+    from touchline.llm import media
+
+    return media.digests(documents(spark, sf_dir))
+
+
 @query("op10_systematic_mix", mix.SQL)
 def op10(spark, sf_dir):
     return mix.plan(documents(spark, sf_dir)).drop("row_hash")
