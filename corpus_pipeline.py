@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import bpe, exact, kneser, mix, simhash
+from touchline.llm import bpe, exact, kneser, mix, simlong
 from touchline.llm.util import drop_written, written
 
 
@@ -24,8 +24,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: shingles of five words, fingerprints within 4 of 64 bits."""
-    return simhash.dedup(docs, width=5)
+    """One document of each group of near copies: shingles of five words, similarity 0.8."""
+    return simlong.dedup(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
