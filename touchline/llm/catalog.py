@@ -38,6 +38,15 @@ def op2(spark, sf_dir):
     return simhash.classes(documents(spark, sf_dir))
 
 
+@query("op3_fuzzy_lines")
+def op3(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from touchline.llm import lines
+
+    return lines.dedup(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_kept", F.sha2("text", 256).alias("text_sha256"))
+
+
 @query("op4_patricia_exact", exact.SQL)
 def op4(spark, sf_dir):
     return exact.classes(documents(spark, sf_dir))
