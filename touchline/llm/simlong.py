@@ -31,7 +31,7 @@ CHAIN = 16                                      # segments of the budget that is
 SPREAD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
-def most_differing(similarity: float, sigmas: float = 1.0) -> int:
+def most_differing(similarity: float, sigmas: float = 1.5) -> int:
     """Bits that may differ: what a pair of that Jaccard similarity is expected to, and some standard deviations."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     return int(BITS * p + sigmas * math.sqrt(BITS * p * (1 - p)))
