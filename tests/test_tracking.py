@@ -174,3 +174,19 @@ def test_basketball_frame(spark):
     r = {x["team_id"]: x for x in tracking.team_frames(pos, fr, gk, tracking.BASKETBALL, teams, spacing=True).collect()}
     assert (r["off"]["paint_count"], r["off"]["corner_count"], r["off"]["offense"]) == (1, 1, True)
     assert r["def"]["nearest_def_to_ball_m"] == 1.0 and r["def"]["paint_count"] is None
+
+
+@pytest.mark.parametrize("alpha", [0.01, 0.05, 0.35, 0.5, 0.95, 1.0])
+@pytest.mark.parametrize("chunked", [False, True])
+def test_smoothing_for_every_alpha(spark, alpha, chunked):
+    """Against the recurrence, over long segments and short ones."""
+    from touchline.operators import ordered, tracking
+
+    rows = [("a", i, i % 1700 == 0 or i in (1800, 1803), 1000.0 + 50 * math.sin(i / 7) + i % 13) for i in range(4000)]
+    df = spark.createDataFrame(rows, "entity string, seq bigint, segment_start boolean, x double")
+    chunk = ordered.by_number("seq", 1500) if chunked else None
+    got = {r.seq: r.s for r in tracking.ema(df, alpha, ["entity"], "seq", {"x": "s"}, chunk=chunk).collect()}
+    s = 0.0
+    for _, i, start, x in rows:
+        s = x if start else alpha * x + (1 - alpha) * s
+        assert got[i] == pytest.approx(s, rel=1e-9), i

@@ -128,13 +128,13 @@ def _(t):
     return quality.lineage({"positions": pos, "raw": raw}, "s", "view")
 
 
-@query("ag20_direction_votes", """WITH fr AS (SELECT day(ts) % 4 AS period, user_id AS frame, CASE WHEN event_id % 2 = 0 THEN 'home' ELSE 'away' END AS side, value AS x FROM events WHERE value BETWEEN 0 AND 94),
+@query("ag20_direction_votes", """WITH fr AS (SELECT day(ts) % 4 AS period, user_id * 100 + day(ts) AS frame, CASE WHEN event_id % 2 = 0 THEN 'home' ELSE 'away' END AS side, value AS x FROM events),
  f AS (SELECT period, frame, count(*) AS n, max(x) AS hi, min(x) AS lo, avg(abs(x - 5.25)) FILTER (WHERE side = 'home') AS hl, avg(abs(x - 5.25)) FILTER (WHERE side = 'away') AS al, avg(abs(x - 88.75)) FILTER (WHERE side = 'home') AS hr, avg(abs(x - 88.75)) FILTER (WHERE side = 'away') AS ar FROM fr GROUP BY 1, 2),
- v AS (SELECT period, (CASE WHEN hi < 47 THEN hl > al WHEN lo > 47 THEN hr > ar END) = (lo > 47) AS plus FROM f WHERE n >= 4 AND (hi < 47 OR lo > 47))
+ v AS (SELECT period, (CASE WHEN hi < 47 THEN hl > al WHEN lo > 47 THEN hr > ar END) = (lo > 47) AS plus FROM f WHERE n >= 2 AND (hi < 47 OR lo > 47))
 SELECT period, count(*) FILTER (WHERE plus) AS plus, count(*) FILTER (WHERE NOT plus) AS minus, CASE WHEN count(*) FILTER (WHERE plus) >= count(*) FILTER (WHERE NOT plus) THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS home_sign FROM v GROUP BY 1""")
 def _(t):
-    d = t("events").filter("value between 0 and 94").select((F.dayofmonth("ts") % 4).alias("period"), F.col("user_id").alias("frame"), F.when(F.col("event_id") % 2 == 0, "home").otherwise("away").alias("side"), F.col("value").alias("x"))
-    return agg.direction_votes(d, ["period"], players=4).select("period", "plus", "minus", "home_sign")
+    d = t("events").select((F.dayofmonth("ts") % 4).alias("period"), (F.col("user_id") * 100 + F.dayofmonth("ts")).alias("frame"), F.when(F.col("event_id") % 2 == 0, "home").otherwise("away").alias("side"), F.col("value").alias("x"))
+    return agg.direction_votes(d, ["period"], players=2).select("period", "plus", "minus", "home_sign")
 
 
 @query("ag21_agreement", "SELECT event_type, round(avg(CASE WHEN value > 10 THEN 1.0 ELSE 0.0 END), 9) AS agreement, count(*) AS checked, CASE WHEN avg(CASE WHEN value > 10 THEN 1.0 ELSE 0.0 END) >= 0.6 THEN 'validated' ELSE 'conflict' END AS status FROM events GROUP BY 1")
@@ -151,7 +151,9 @@ def _(t):
 
 @query("ag24_kth_mean", f"WITH {FRAMES} SELECT frame, round(list_avg(list_slice(list_sort(list(x)), 1, 4)), 9) AS line FROM fr GROUP BY 1")
 def _(t):
-    return frames(t).groupBy("frame").agg(F.collect_list("x").alias("xs")).select("frame", F.round(geo.kth_mean("xs", 4), 9).alias("line"))
+    from touchline.operators.ordered import top_k
+    least = top_k(frames(t), ["frame"], [F.asc("x"), F.asc("ent")], 4)
+    return least.groupBy("frame").agg(F.round(F.avg("x"), 9).alias("line"))
 
 
 @query("ag26_region_counts", f"WITH {FRAMES} SELECT frame, team, count(*) FILTER (WHERE x - 47 >= 94 * 0.3048::DOUBLE / 2 - 19 * 0.3048::DOUBLE AND abs(y - 25) <= 8 * 0.3048::DOUBLE) AS paint, count(*) FILTER (WHERE x - 47 >= 94 * 0.3048::DOUBLE / 2 - 14 * 0.3048::DOUBLE AND abs(y - 25) >= 22 * 0.3048::DOUBLE) AS corner FROM fr GROUP BY 1, 2")

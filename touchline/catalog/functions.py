@@ -168,12 +168,12 @@ def _(t):
     return events(t).select("event_id", s["home"].alias("home"), s["away"].alias("away"), s["conflict"].alias("conflict"))
 
 
-@query("fn14_parse_minute", """SELECT event_id, CASE WHEN k % 3 = 2 THEN CAST(floor(k * 37 / 60) AS INTEGER) ELSE k END AS minute
-FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events) WHERE k > 0""")
+@query("fn14_parse_minute", """SELECT event_id, CASE WHEN k % 3 = 2 THEN CASE WHEN k > 0 THEN CAST(floor(k * 37 / 60) AS INTEGER) END ELSE k END AS minute
+FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)""")
 def _(t):
     k = F.col("k")
     txt = F.when(k % 3 == 0, F.concat(k.cast("string"), F.lit("'"))).when(k % 3 == 1, F.concat(k.cast("string"), F.lit("'+2'"))).otherwise("HT")
-    return events(t).filter(k > 0).select("event_id", ps.parse_minute(txt, k * 37).alias("minute"))
+    return events(t).select("event_id", ps.parse_minute(txt, k * 37).alias("minute"))
 
 
 KINDS = ["Goal - Header", "Own Goal", "Yellow Card", "Yellow Red Card", "Red Card", "Substitution", "Kickoff"]
@@ -330,11 +330,15 @@ def _(t):
     return t("part").select("p_partkey", f.alias("flags"), F.size(ps.split_flags(f)).alias("n"))
 
 
-@query("fn36_tokens_overlap", """WITH t AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z0-9]+') AS tok FROM conversations), b AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS tok FROM benchmark WHERE item_id = 0)
-SELECT t.conv_id, t.turn, CAST(len(t.tok) AS INTEGER) AS n_tokens, array_to_string(list_filter(t.tok, lambda x: list_contains(b.tok, x)), ' ') AS shared FROM t, b""")
+@query("fn36_tokens_overlap", """WITH t AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z0-9]+') AS tok FROM conversations), w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS tok FROM benchmark),
+ e AS (SELECT conv_id, turn, generate_subscripts(tok, 1) AS i, unnest(tok) AS tok FROM t), s AS (SELECT conv_id, turn, string_agg(tok, ' ' ORDER BY i) AS shared FROM e WHERE tok IN (SELECT tok FROM w) GROUP BY 1, 2)
+SELECT t.conv_id, t.turn, CAST(len(t.tok) AS INTEGER) AS n_tokens, coalesce(shared, '') AS shared FROM t LEFT JOIN s ON t.conv_id = s.conv_id AND t.turn = s.turn""")
 def _(t):
-    words = t("benchmark").filter("item_id = 0").select(F.lit(1).alias("_j"), ps.tokens("text").alias("q"))
-    d = t("conversations").withColumns({"_j": F.lit(1), "tok": ps.tokens("text")}).join(F.broadcast(words), "_j")
+    # the words of all items meet each turn's words by a join on the word; the overlap keeps the turn's order
+    words = t("benchmark").select(F.explode(ps.tokens("text")).alias("w")).distinct()
+    d = t("conversations").select("conv_id", "turn", ps.tokens("text").alias("tok"))
+    hits = d.select("conv_id", "turn", F.explode(F.array_distinct("tok")).alias("w")).join(words, "w").groupBy("conv_id", "turn").agg(F.collect_set("w").alias("q"))
+    d = d.join(hits, ["conv_id", "turn"], "left").withColumn("q", F.coalesce("q", F.array().cast("array<string>")))
     return d.select("conv_id", "turn", F.size("tok").alias("n_tokens"), F.array_join(ps.overlap("tok", "q"), " ").alias("shared"))
 
 

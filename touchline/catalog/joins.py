@@ -123,14 +123,18 @@ def _(t):
     return joins.pair_key_join(a, b, "h", "w", "x", "y").select("g", "e")
 
 
-FRAMES = "fr AS (SELECT o_custkey AS frame, o_orderkey AS ent, (o_totalprice / 5000) AS x, (o_orderkey % 50)::DOUBLE AS y, o_orderkey % 2 AS team FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 40))"
+FRAMES = "fr AS (SELECT o_custkey AS frame, o_orderkey AS ent, (o_totalprice / 5000) AS x, (o_orderkey % 50)::DOUBLE AS y, o_orderkey % 2 AS team FROM orders)"
 
 
 def frames(t):
-    """Orders of a customer as the entities of a frame; over-full frames break the contract and are left out."""
-    d = t("orders").select(F.col("o_custkey").alias("frame"), F.col("o_orderkey").alias("ent"), (F.col("o_totalprice") / 5000).alias("x"),
+    """Orders of a customer as the entities of a frame."""
+    return t("orders").select(F.col("o_custkey").alias("frame"), F.col("o_orderkey").alias("ent"), (F.col("o_totalprice") / 5000).alias("x"),
                            (F.col("o_orderkey") % 50).cast("double").alias("y"), (F.col("o_orderkey") % 2).alias("team"))
-    return agg.bounded_frames(d, ["frame"], 40)
+
+
+@query("sk09_overfull_frames", "SELECT o_custkey AS frame, count(*) AS entities, 'too_many_entities' AS reason FROM orders GROUP BY 1 HAVING count(*) > 15")
+def _(t):
+    return agg.overfull_frames(frames(t), ["frame"], 15)
 
 
 @query("jn13_mean_pairwise", f"""WITH {FRAMES}, p AS (SELECT a.frame, avg(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS m, min(sqrt((a.x - 50) ** 2 + (a.y - 25) ** 2)) AS n FROM fr a JOIN fr b ON a.frame = b.frame AND a.ent <> b.ent GROUP BY 1)

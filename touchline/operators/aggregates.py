@@ -98,17 +98,13 @@ def frames_as_arrays(df: DataFrame, frame: Sequence[str], entity: Sequence[str],
     return df.groupBy(*frame).agg(F.array_sort(F.collect_list(F.struct(*entity))).alias(out))
 
 
-def bounded_frames(df: DataFrame, frame: Sequence[str], limit: int = 40) -> DataFrame:
-    """Rows of frames that pass the contract rule "at most ``limit`` entities".
+def overfull_frames(df: DataFrame, frame: Sequence[str], limit: int = 40) -> DataFrame:
+    """Quarantine rows for frames with more entities than the contract allows: the frame, its entities, the reason.
 
-    Counted with a partial aggregate before anything is collected, so an over-full frame never reaches a task.
-    When no frame is over-full (the usual case) the rows are not shuffled for it.
+    Counted with a partial aggregate. The frames themselves are not touched; whoever must not take them joins these.
     """
-    counts = df.groupBy(*frame).agg(F.count(F.lit(1)).alias("_n"))
-    most = counts.agg(F.max("_n")).first()[0]
-    if most is None or most <= limit:
-        return df
-    return df.join(counts.filter(F.col("_n") > limit).select(*frame), list(frame), "left_anti")
+    n = df.groupBy(*frame).agg(F.count(F.lit(1)).alias("entities"))
+    return n.filter(F.col("entities") > limit).withColumn("reason", F.lit("too_many_entities"))
 
 
 def bucket_trend(df: DataFrame, by: Sequence[str], t: str, value: str, width_ms: int) -> DataFrame:

@@ -6,6 +6,7 @@ many rows for a task.
 """
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,11 +14,19 @@ from pyspark.sql import functions as F
 
 from touchline.functions import geometry as geo
 from touchline.operators import ordered
-from touchline.operators.aggregates import bounded_frames
 from touchline.operators.windows import segment_break
 from touchline.session import materialize
 
 BLOCK = 256
+
+
+def block_rows(alpha: float) -> int:
+    """Rows after which a smoothed value has lost its share of what came before, to below double precision.
+
+    Weights grow by as much over a block as values fade, so the same length keeps them in range for every alpha.
+    """
+    return max(2, math.ceil(18 / -math.log10(1.0 - alpha)))
+
 # most selective first: rows are sorted by these
 ENTITY = ["entity_id", "match_id", "session_id"]
 
@@ -67,16 +76,22 @@ def ema(df: DataFrame, alpha: float, by, order: str, cols: dict[str, str], start
     """Causal exponential smoothing that restarts where ``start`` is true, written as running sums.
 
     s_n is the sum of w_i (1-a)^(n-i), with weight 1 on the first row of a segment and ``a`` after it. Rows get
-    a gapless number per key and sums run inside blocks of ``BLOCK`` rows, which keeps the powers in range. A
-    full block shrinks whatever came before it to below double precision, so a block needs only the end value
-    of the block before. ``seeds`` names columns that replace the first value of a segment when not null.
+    a gapless number per key and sums run inside blocks of ``block_rows(alpha)`` rows, which keeps the powers in
+    range. A full block shrinks whatever came before it to below double precision, so a block needs only the end
+    value of the block before. ``seeds`` names columns that replace the first value of a segment when not null.
     """
+    if not 0 < alpha <= 1:
+        raise ValueError("alpha must be above 0 and at most 1")
     keep = 1.0 - alpha
     seeds = seeds or {}
+    if keep == 0:                               # nothing is carried on
+        return df.withColumns({out: F.when(F.col(start) & F.col(seeds[c]).isNotNull(), F.col(seeds[c])).otherwise(F.col(c))
+                               if c in seeds else F.col(c) for c, out in cols.items()})
+    block = block_rows(alpha)
     d = ordered.with_sequence(df, "_n", by, [order], chunk)
     if chunk is not None:
         d = materialize(d, "ema")
-    d = d.withColumns({"_blk": F.floor(F.col("_n") / BLOCK), "_k": (F.col("_n") % BLOCK).cast("double")})
+    d = d.withColumns({"_blk": F.floor(F.col("_n") / block), "_k": (F.col("_n") % block).cast("double")})
     # a piece is a segment cut at block borders; numbering pieces along the key keeps the sort order already there
     scope = [*by] if chunk is None else [*by, "_blk"]
     along = Window.partitionBy(*scope).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
@@ -91,11 +106,11 @@ def ema(df: DataFrame, alpha: float, by, order: str, cols: dict[str, str], start
     d = d.withColumns({f"_l_{c}": F.sum(w * first[c] * up).over(piece) * down for c in cols})
     ends = F.struct(*[F.col(f"_l_{c}").alias(c) for c in cols])
     if chunk is None:
-        # block ends are the rows numbered 255, 511, ...; the latest one before a row closes the block before it
+        # the latest block end before a row closes the block before it
         before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        d = d.withColumn("_end", F.last(F.when(F.col("_k") == BLOCK - 1, ends), ignorenulls=True).over(before))
+        d = d.withColumn("_end", F.last(F.when(F.col("_k") == block - 1, ends), ignorenulls=True).over(before))
     else:
-        edge = d.filter(F.col("_k") == BLOCK - 1).select(
+        edge = d.filter(F.col("_k") == block - 1).select(
             *[F.col(c).alias(f"_e_{c}") for c in by], (F.col("_blk") + 1).alias("_e_blk"), ends.alias("_end"))
         cond = F.col("_blk") == F.col("_e_blk")
         for c in by:
@@ -246,13 +261,13 @@ def team_frames(pos: DataFrame, frames: DataFrame, keepers: DataFrame, cfg: Spor
     """Shape per team and frame over the outfield players; null when too few players are known.
 
     ``teams``: match_id, team_id (two rows per match); ``keepers``: match_id, entity_id. A team without players in
-    a frame still gets a row. Frames over the contract limit of 40 entities are left to quarantine.
+    a frame still gets a row.
     """
     fkey = [*by, "seq"]
     p = pos.filter((F.col("entity_type") == "player") & F.col("team_id").isNotNull()
                    & F.col("x_att").isNotNull() & F.col("y_att").isNotNull())
     gk = keepers.select("match_id", "entity_id").distinct().withColumn("is_keeper", F.lit(True))
-    p = bounded_frames(p, fkey).join(gk, ["match_id", "entity_id"], "left") \
+    p = p.join(gk, ["match_id", "entity_id"], "left") \
         .withColumn("out", F.col("is_keeper").isNull())
     o = F.col("out")
     xy = F.struct(F.col("x_att").alias("x"), F.col("y_att").alias("y"))
@@ -343,22 +358,25 @@ def team_means(df: DataFrame) -> DataFrame:
 def nearest_per_cell(pos: DataFrame, cfg: Sport, cell_m: float, frame=("match_id", "seq"), teams_only: bool = True) -> DataFrame:
     """Team nearest to the centre of every grid cell, one row per frame and cell.
 
-    The grid is fixed by the pitch, and a frame holds at most 40 entities, so each frame is one row with an array
-    of players and the search runs inside the row: no grid join.
+    Each frame is one row with an array of players. The search runs over the cells inside that row, and only its
+    results are exploded: no grid join, and no copy of the players per cell.
     """
     nx, ny = -(-cfg.length_m // cell_m), -(-cfg.width_m // cell_m)
     players = pos.filter((F.col("entity_type") == "player") & F.col("x_m").isNotNull() & F.col("y_m").isNotNull())
-    f = bounded_frames(players, frame).groupBy(*frame).agg(
+    f = players.groupBy(*frame).agg(
         F.collect_list(F.struct(F.col("x_m").alias("x"), F.col("y_m").alias("y"), "team_id", "entity_id")).alias("ents"))
-    cells = F.explode(F.sequence(F.lit(0), F.lit(int(nx * ny) - 1)))
-    d = f.filter(F.size("ents") > 3).withColumn("cell", cells)
-    d = d.withColumns({"cell_x": F.floor(F.col("cell") / int(ny)).cast("int"), "cell_y": (F.col("cell") % int(ny)).cast("int")})
-    x = -cfg.length_m / 2 + (F.col("cell_x") + 0.5) * cell_m
-    y = -cfg.width_m / 2 + (F.col("cell_y") + 0.5) * cell_m
-    best = F.array_min(F.transform("ents", lambda e: F.struct(
-        ((e["x"] - x) * (e["x"] - x) + (e["y"] - y) * (e["y"] - y)).alias("d2"), e["entity_id"].alias("entity_id"),
-        e["team_id"].alias("team_id"))))
-    return d.select(*frame, "cell_x", "cell_y", best["team_id"].alias("team_id"), best["entity_id"].alias("entity_id"))
+    cells = F.sequence(F.lit(0), F.lit(int(nx * ny) - 1))
+
+    def winner(cell: Column) -> Column:
+        cx, cy = F.floor(cell / int(ny)).cast("int"), (cell % int(ny)).cast("int")
+        x, y = -cfg.length_m / 2 + (cx + 0.5) * cell_m, -cfg.width_m / 2 + (cy + 0.5) * cell_m
+        best = F.array_min(F.transform("ents", lambda e: F.struct(
+            ((e["x"] - x) * (e["x"] - x) + (e["y"] - y) * (e["y"] - y)).alias("d2"), e["entity_id"].alias("entity_id"),
+            e["team_id"].alias("team_id"))))
+        return F.struct(cx.alias("cell_x"), cy.alias("cell_y"), best["team_id"].alias("team_id"), best["entity_id"].alias("entity_id"))
+
+    d = f.filter(F.size("ents") > 3).select(*frame, F.explode(F.transform(cells, winner)).alias("w"))
+    return d.select(*frame, "w.cell_x", "w.cell_y", "w.team_id", "w.entity_id")
 
 
 def run_batch(pos: DataFrame, frames: DataFrame, periods: DataFrame, teams: DataFrame, keepers: DataFrame, cfg: Sport,

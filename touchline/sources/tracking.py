@@ -281,14 +281,15 @@ def assemble_frames(frames: DataFrame, positions: DataFrame, session: str, meta:
                     entity: Sequence[str] = ENTITY_FIELDS) -> DataFrame:
     """One message per frame (ball struct, players array) plus one end-of-stream message per match with its roster.
 
-    Returns key, value (JSON), match_id, sequence.
+    Returns key, value (JSON), match_id, sequence. A frame with too many players keeps them all, so that the validator
+    of the receiving side sees the violation.
     """
     pos = positions.withColumn("canonical_player_id", F.col("entity_id")) if "canonical_player_id" not in positions.columns else positions
     have = [c if c in pos.columns else F.lit(None).cast("string").alias(c) for c in entity]
     p = pos.select("match_id", "seq", *have)
     one = F.struct(*entity)
     ball = F.col("entity_type") == "ball"
-    ents = agg.bounded_frames(p, ["match_id", "seq"], 41).groupBy("match_id", "seq").agg(
+    ents = p.groupBy("match_id", "seq").agg(
         F.min_by(F.when(ball, one), F.when(ball, F.col("canonical_player_id"))).alias("ball"),
         F.sort_array(F.collect_list(F.when(~ball, F.struct(F.col("canonical_player_id").alias("k"), one.alias("e"))))).alias("_p"))
     ents = ents.withColumn("players", F.transform("_p", lambda x: x["e"])).drop("_p")
