@@ -1,152 +1,144 @@
 """Per-match reorder buffer: releases frames in sequence order, once each.
 
-The state machine sees only sequence numbers and message text. Everything computed *from* frames runs as a
-DataFrame plan afterwards, spread by entity, so one busy match is not one busy task.
+A batch is judged as a whole: its rows are compared, as columns, with where the match stands and with one another, and
+each gets one verdict. The state of a match is small: the newest and the last released sequence, the frames that still
+wait, and the holes among what was released. Everything computed *from* frames runs as a DataFrame plan afterwards,
+spread by entity, so one busy match is not one busy task.
 """
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 OUT = "session_id string, match_id string, kind string, seq bigint, released_upto bigint, payload string"
+COLUMNS = ["session_id", "match_id", "kind", "seq", "released_upto", "payload"]
 KEEP_AFTER_END_MS = 600_000
+# fixed values: verdicts on rows that come too late, and the counters they are added to
+LATE = {"after_end_of_stream": "after_end", "late_correction": "late_correction", "late_beyond_reorder_buffer": "late_beyond_reorder_buffer"}
+DUPLICATE, CORRECTION, NEW = "duplicate", "corrections_applied", "new"
 
 
-def _row(key, kind, seq, upto, payload):
-    return (key[0], key[1], kind, seq, upto, payload)
+def was_released(seq: np.ndarray, first: int | None, upto: int, holes: list[tuple[int, int]]) -> np.ndarray:
+    """Whether each sequence lies in the released range and in none of its holes (disjoint [a, b], any order)."""
+    if first is None:
+        return np.zeros(seq.size, bool)
+    inside = (seq >= first) & (seq <= upto)
+    if holes:
+        a, b = np.array(sorted(holes)).T
+        at = np.searchsorted(a, seq, side="right") - 1
+        inside &= ~((at >= 0) & (seq <= b[np.maximum(at, 0)]))
+    return inside
+
+
+def verdicts(rows: pd.DataFrame, waiting: set[int], first: int | None, upto: int, holes: list[tuple[int, int]], ended: bool) -> pd.Series:
+    """One verdict per frame of a batch that is sorted by sequence, attempt and offset."""
+    seq, fix = rows["sequence"], rows["correction"].astype(bool)
+    if ended:
+        return pd.Series("after_end_of_stream", index=rows.index)
+    again = seq.isin(waiting) | seq.duplicated()
+    late = np.where(fix, "late_correction", np.where(was_released(seq.to_numpy(), first, upto, holes), DUPLICATE, "late_beyond_reorder_buffer"))
+    return pd.Series(np.where(seq <= upto, late, np.where(~again, NEW, np.where(fix, CORRECTION, DUPLICATE))), index=rows.index)
 
 
 class Reorder(StatefulProcessor):
-    """Buffer of waiting frames plus a small summary per (session, match)."""
+    """Holds the frames of a (session, match) that came ahead of ones still expected."""
 
     def __init__(self, depth: int, idle_ms: int):
         self.depth, self.idle_ms = depth, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        # frames still waiting; at most the reorder depth plus one batch
+        self.where = handle.getValueState("where", "newest bigint, first bigint, upto bigint, ended boolean, counts string")
         self.waiting = handle.getMapState("waiting", "seq bigint", "value string, attempt int")
-        # released sequences as merged [a, b] intervals: one interval unless frames went missing
-        self.released = handle.getMapState("released", "a bigint", "b bigint")
-        self.summary = handle.getValueState("summary", "json string")
+        self.holes = handle.getMapState("holes", "a bigint", "b bigint")
 
-    def _load(self) -> dict:
-        if self.summary.exists():
-            return json.loads(self.summary.get()[0])
-        return {"hwm": -1, "upto": -1, "start": None, "ended": False, "c": {}}
+    def _restore(self) -> None:
+        newest, first, upto, ended, counts = self.where.get() if self.where.exists() else (-1, None, -1, False, "{}")
+        self.newest, self.first, self.upto, self.ended, self.counts = newest, first, upto, ended, Counter(json.loads(counts))
 
-    def _save(self, s: dict) -> None:
-        self.summary.update((json.dumps(s, separators=(",", ":")),))
+    def _keep(self, now: int) -> None:
+        self.where.update((self.newest, self.first, self.upto, self.ended, json.dumps(self.counts)))
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
-        self.handle.registerTimer(self._now + (KEEP_AFTER_END_MS if s["ended"] else self.idle_ms))
-
-    def _was_released(self, seq: int, s: dict) -> bool:
-        if seq > s["upto"]:
-            return False
-        if s["start"] is not None and seq >= s["start"]:
-            return True
-        return any(a[0] <= seq <= b[0] for a, b in self.released.iterator())
-
-    def _mark(self, seq: int, s: dict) -> None:
-        if s["start"] is not None and seq == s["upto"] + 1:
-            pass                                   # the newest interval grows
-        else:
-            if s["start"] is not None:
-                self.released.updateValue((s["start"],), (s["upto"],))
-            s["start"] = seq
-        s["upto"] = seq
-
-    def _release(self, key, s: dict, flush: bool) -> list:
+        self.handle.registerTimer(now + (KEEP_AFTER_END_MS if self.ended else self.idle_ms))
+
+    def _let_go(self, everything: bool) -> list[tuple]:
+        """Waiting frames that are ``depth`` behind the newest, or all; what they skip becomes a hole."""
+        due = np.sort(np.array([k[0] for k in self.waiting.keys()], np.int64))
+        if not everything:
+            due = due[due <= self.newest - self.depth]
+        if not due.size:
+            return []
+        before = np.r_[self.upto if self.first is not None else due[0] - 1, due[:-1]]
+        for a, b in zip((before + 1)[due > before + 1], (due - 1)[due > before + 1]):
+            self.holes.updateValue((int(a),), (int(b),))
+        skipped = due - before - 1
+        if skipped.any():
+            self.counts["sequence_gaps"] += int((skipped > 0).sum())
+            self.counts["missing_frames"] += int(skipped.sum())
+        self.counts["frames_released"] += due.size
         out = []
-        for seq in sorted(k[0] for k in self.waiting.keys()):
-            if not flush and s["hwm"] - seq < self.depth:
-                break
-            value = self.waiting.getValue((seq,))[0]
-            self.waiting.removeKey((seq,))
-            if s["upto"] >= 0 and seq > s["upto"] + 1:
-                self._count(s, "sequence_gaps")
-                self._count(s, "missing_frames", seq - s["upto"] - 1)
-            self._mark(seq, s)
-            self._count(s, "frames_released")
-            out.append(_row(key, "frame", seq, s["upto"], value))
+        for s in due.tolist():
+            out.append(("frame", s, s, self.waiting.getValue((s,))[0]))
+            self.waiting.removeKey((s,))
+        self.first = int(due[0]) if self.first is None else self.first
+        self.upto = int(due[-1])
         return out
 
-    @staticmethod
-    def _count(s: dict, name: str, n: int = 1) -> None:
-        s["c"][name] = s["c"].get(name, 0) + n
-
-    def _stats(self, key, s: dict):
-        waiting = sum(1 for _ in self.waiting.keys())
-        body = {"hwm": s["hwm"], "released_upto": s["upto"], "buffer_size": waiting, "ended": s["ended"],
-                **{f"c_{k}": v for k, v in s["c"].items()}}
-        return _row(key, "stats", s["upto"], s["upto"], json.dumps(body, separators=(",", ":")))
+    def _finish(self) -> list[tuple]:
+        out = self._let_go(everything=True)
+        self.ended = True
+        return [*out, ("end", self.upto, self.upto, None)]
 
-    def _end(self, key, s: dict) -> list:
-        out = self._release(key, s, flush=True)
-        s["ended"] = True
-        out.append(_row(key, "end", s["upto"], s["upto"], None))
-        return out
-
-    def _late(self, key, s: dict, r, reason: str):
-        self._count(s, {"after_end_of_stream": "after_end"}.get(reason, reason))
-        body = {"seq": int(r.sequence), "reason": reason, "t": None if pd.isna(r.t) else int(r.t),
-                "attempt": int(r.attempt)}
-        return _row(key, "late", int(r.sequence), s["upto"], json.dumps(body, separators=(",", ":")))
+    def _answer(self, key, out: list[tuple], now: int) -> pd.DataFrame:
+        # fixed values: the field names of the statistics
+        stats = {"hwm": self.newest, "released_upto": self.upto, "buffer_size": sum(1 for _ in self.waiting.keys()), "ended": self.ended,
+                 **{f"c_{k}": v for k, v in self.counts.items()}}
+        out.append(("stats", self.upto, self.upto, json.dumps(stats, separators=(",", ":"))))
+        self._keep(now)
+        return pd.DataFrame([(*key, *r) for r in out], columns=COLUMNS)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        self._now = timerValues.getCurrentProcessingTimeInMs()
-        s, out, end_seen = self._load(), [], False
-        batch = pd.concat(list(rows)).sort_values(["sequence", "attempt", "kafka_offset"], kind="stable")
-        for r in batch.itertuples(index=False):
-            seq = int(r.sequence)
-            if r.eos:
-                end_seen = True
-            elif s["ended"]:
-                out.append(self._late(key, s, r, "after_end_of_stream"))
-            elif seq <= s["upto"]:
-                if r.correction:
-                    out.append(self._late(key, s, r, "late_correction"))
-                elif self._was_released(seq, s):
-                    self._count(s, "duplicate")
-                else:
-                    out.append(self._late(key, s, r, "late_beyond_reorder_buffer"))
-            elif self.waiting.containsKey((seq,)):
-                if r.correction:
-                    self.waiting.updateValue((seq,), (r.value, int(r.attempt)))
-                    self._count(s, "corrections_applied")
-                else:
-                    self._count(s, "duplicate")
-            else:
-                if seq < s["hwm"]:
-                    self._count(s, "reordered")
-                self.waiting.updateValue((seq,), (r.value, int(r.attempt)))
-                s["hwm"] = max(s["hwm"], seq)
-        out += self._release(key, s, flush=False)
-        if end_seen and not s["ended"]:
-            out += self._end(key, s)
-        out.append(self._stats(key, s))
-        self._save(s)
-        yield pd.DataFrame(out, columns=["session_id", "match_id", "kind", "seq", "released_upto", "payload"])
+        self._restore()
+        batch = pd.concat(list(rows)).sort_values(["sequence", "attempt", "kafka_offset"], kind="stable", ignore_index=True)
+        over = bool(batch["eos"].any())
+        frames = batch[~batch["eos"].astype(bool)]
+        holes = [(a[0], b[0]) for a, b in self.holes.iterator()]
+        verdict = verdicts(frames, {k[0] for k in self.waiting.keys()}, self.first, self.upto, holes, self.ended)
+        out = []
+        tail = frames[verdict.isin(list(LATE))]
+        for (_, r), why in zip(tail.iterrows(), verdict[tail.index]):
+            note = {"seq": int(r["sequence"]), "reason": why, "t": None if pd.isna(r["t"]) else int(r["t"]), "attempt": int(r["attempt"])}
+            out.append(("late", int(r["sequence"]), self.upto, json.dumps(note, separators=(",", ":"))))
+        new = frames.loc[verdict == NEW, "sequence"]
+        self.counts.update({LATE.get(v, v): n for v, n in verdict.value_counts().items() if v != NEW})
+        if (behind := int((new < self.newest).sum())):
+            self.counts["reordered"] += behind
+        # of a sequence's new row and its corrections, the last one stands
+        for r in frames[verdict.isin([NEW, CORRECTION])].drop_duplicates("sequence", keep="last").itertuples(index=False):
+            self.waiting.updateValue((int(r.sequence),), (r.value, int(r.attempt)))
+        if len(new):
+            self.newest = max(self.newest, int(new.max()))
+        out += self._let_go(everything=False)
+        if over and not self.ended:
+            out += self._finish()
+        yield self._answer(key, out, timerValues.getCurrentProcessingTimeInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """Idle: finish the match; idle again later: forget it."""
-        self._now = timerValues.getCurrentProcessingTimeInMs()
-        s = self._load()
-        if s["ended"]:
-            self.waiting.clear()
-            self.released.clear()
-            self.summary.clear()
+        self._restore()
+        if self.ended:
+            for state in (self.waiting, self.holes, self.where):
+                state.clear()
             return
-        out = self._end(key, s)
-        out.append(self._stats(key, s))
-        self._save(s)
-        yield pd.DataFrame(out, columns=["session_id", "match_id", "kind", "seq", "released_upto", "payload"])
+        yield self._answer(key, self._finish(), timerValues.getCurrentProcessingTimeInMs())
 
     def close(self) -> None:
         pass
