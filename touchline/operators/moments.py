@@ -56,24 +56,26 @@ def neighbours(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 
 def similar_moments(index: DataFrame, at: dict, t_ms: int, k: int = 5) -> DataFrame:
-    """Moments most like the one at or just before ``t_ms``; similarity is exp(-distance / median spread)."""
+    """Moments most like the one at or just before ``t_ms`` (else the first); similarity is exp(-distance / median spread).
+
+    A match without moments gives no rows. Anchor, centre and spread are columns of the plan; building it runs no job.
+    """
     m = index
     for c, v in at.items():
         m = m.filter(F.col(c) == F.lit(v))
-    first = m.agg(F.min("t_ms").alias("lo"), F.max(F.when(F.col("t_ms") <= t_ms, F.col("t_ms"))).alias("hi")).first()
-    anchor = first["hi"] if first["hi"] is not None else first["lo"]
-    near = neighbours(m, m.filter(F.col("t_ms") == F.lit(anchor)), k)
+    timed = with_stats(m, [], _at=F.coalesce(F.max(F.when(F.col("t_ms") <= t_ms, F.col("t_ms"))), F.min("t_ms")))
+    near = neighbours(m, timed.filter(F.col("t_ms") == F.col("_at")).drop("_at"), k)
     # vectors are centred, so the spread of a moment is the length of its vector minus the small mean left over
-    n = m.select(F.size("vec").alias("n")).first()["n"]
-    mean = m.agg(*[F.avg(F.get("vec", F.lit(i))).alias(f"c{i}") for i in range(n)]).first()
-    centre = F.array(*[F.lit(float(v)) for v in mean])
-    spread = m.select(F.sqrt(F.aggregate(F.zip_with("vec", centre, lambda a, b: (a - b) * (a - b)), F.lit(0.0),
-                                         lambda a, x: a + x)).alias("s"))
-    scale = spread.agg(F.percentile("s", F.lit(0.5))).first()[0] or 1.0
+    part = m.select(F.posexplode("vec").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("v"))
+    centre = part.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("centre"))
+    length = F.sqrt(F.aggregate(F.zip_with("vec", "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x))
+    spread = m.select(F.lit(1).alias("one"), "vec").join(F.broadcast(centre.withColumn("one", F.lit(1))), "one").select(length.alias("s"))
+    scale = spread.agg(F.percentile("s", F.lit(0.5)).alias("scale")).select(
+        F.lit(1).alias("one"), F.coalesce(F.nullif("scale", F.lit(0.0)), F.lit(1.0)).alias("scale"))
     info = m.select(F.col("moment_id").alias("cid"), "t_ms", "period", "label")
-    return near.join(info, "cid").select(
-        "rank", "t_ms", "period", "label", F.round("distance", 3).alias("distance"),
-        F.round(F.exp(-F.col("distance") / F.lit(float(scale))), 3).alias("similarity"))
+    found = near.join(info, "cid").withColumn("one", F.lit(1)).join(F.broadcast(scale), "one")
+    return found.select("rank", "t_ms", "period", "label", F.round("distance", 3).alias("distance"),
+                        F.round(F.exp(-F.col("distance") / F.col("scale")), 3).alias("similarity"))
 
 
 def lift(index: DataFrame, k: int = 5, circular: bool = False) -> DataFrame:
