@@ -93,7 +93,8 @@ def test_features(summary):
 
 def test_scores(summary):
     f = medallion.features_trade_target(summary)
-    assert scores.score_trade(f).count() == 0                       # fewer than ten players stay: no ranking
+    few = scores.score_trade(f).collect()                           # fewer than ten players stay: ranked, and said so
+    assert few and {r.pool_status for r in few} == {"too_few_rows"} and sorted(r["rank"] for r in few) == list(range(1, len(few) + 1))
     many = f
     for k in range(1, 4):
         many = many.unionByName(f.withColumns({"PLAYER_ID": F.concat("PLAYER_ID", F.lit(str(k))), "salary": F.col("salary") * (1 + k / 10)}))

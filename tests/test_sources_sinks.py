@@ -31,14 +31,15 @@ def test_enveloped_json_with_drift(spark, tmp_path):
     assert auto.count() == 3 and set(t for _, t in auto.dtypes) == {"string"}
 
 
-def test_json_documents_and_jdbc_fallback(spark, tmp_path):
+def test_json_documents_and_jdbc_or_csv(spark, tmp_path):
     (tmp_path / "docs.json").write_text(json.dumps([{"name": "A", "style": {"role": "PG"}, "tags": ["x", "y"]}, {"name": "B"}]))
     d = {r.name: r for r in files.read_documents(spark, f"{tmp_path}/docs.json").collect()}
     assert d["A"].style == '{"role":"PG"}' and d["A"].tags == '["x","y"]' and d["B"].style is None
     assert files.read_json(spark, f"{tmp_path}/docs.json").count() == 2
     (tmp_path / "t.csv").write_text("a,b\n1,2\n")
     assert files.read_jdbc_or_csv(spark, "t", f"{tmp_path}/t.csv").count() == 1
-    assert files.read_jdbc_or_csv(spark, "t", f"{tmp_path}/t.csv", url="jdbc:none:x").count() == 1
+    with pytest.raises(Exception, match="(?i)driver"):              # a database that cannot be read is not replaced by a file
+        files.read_jdbc_or_csv(spark, "t", f"{tmp_path}/t.csv", url="jdbc:none:x")
 
 
 def test_asset_audit(spark, tmp_path):
@@ -225,3 +226,20 @@ def test_season_rows(spark):
     assert json.loads(payloads.leader_rows(d, "epl", "2025").first().stats) == {"goals": "15.0"}
     r = payloads.leader_rows(d, "nfl", "2025", "passing", "abbreviation").first()
     assert r.team == "TT" and json.loads(r.stats)["category"] == "passing"
+
+
+def test_question_clock_and_length(spark):
+    """The minute that stands first counts, full-width digits are digits, and a long question is refused, not cut."""
+    from touchline.functions import questions
+
+    ask = ["show similar in the 30th minute, minute 45", "similar at minute 45 or the 30th minute", "moments similar to ２０：３０", "similar " + "x" * 600]
+    r = [x.asDict() for x in questions.route(spark.createDataFrame([(q,) for q in ask], "question string")).collect()]
+    assert [x["t_ms"] for x in r] == [1_800_000, 2_700_000, 1_230_000, None]
+    assert [x["refusal_reason"] for x in r] == [None, None, None, "question too long"]
+
+
+def test_analyst_arguments_out_of_range(spark):
+    from touchline.plans import analyst
+
+    with pytest.raises(ValueError, match="bucket_min"):
+        analyst.team_shape_trend(spark.range(1), {}, bucket_min=90)

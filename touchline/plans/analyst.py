@@ -21,13 +21,19 @@ def _allowed(value: str, options: Sequence[str], what: str) -> None:
         raise ValueError(f"{what} {value!r} is not allowed")
 
 
+def _within(value: int, low: int, high: int, what: str) -> int:
+    if not low <= int(value) <= high:
+        raise ValueError(f"{what} must be from {low} to {high}, not {value}")
+    return int(value)
+
+
 def team_shape_trend(team_windows: DataFrame, scope: dict, metric: str = "width_m", bucket_min: int = 10,
                      team_id: str | None = None, teams: Sequence[str] | None = None) -> DataFrame:
     """First and last bucket mean of a shape metric per team, and the difference."""
     _allowed(metric, TEAM_METRICS, "metric")
     if team_id is not None and teams is not None:
         _allowed(team_id, teams, "team_id")
-    width = max(1, min(int(bucket_min), 45)) * 60000
+    width = _within(bucket_min, 1, 45, "bucket_min") * 60000
     d = scoped(team_windows, {"session_id": scope.get("session_id"), "match_id": scope.get("match_id"), "team_id": team_id},
                scope.get("as_of_ms")).filter(F.col("n_sufficient") > 0)
     t = agg.bucket_trend(d, ["team_id"], "window_start_ms", f"mean_{metric}", width)
@@ -46,7 +52,7 @@ def top_players(player_windows: DataFrame, scope: dict, metric: str = "distance_
     t = agg.player_totals(d).withColumn("distance_per_active_min_m", F.col("distance_m") / (F.col("active_ms") / 60000))
     if metric == "distance_per_active_min_m":
         t = t.filter(F.col("active_ms") >= 10 * 60000)
-    t = top_n(t, metric, max(1, min(int(n), 10)), ["entity_id"])
+    t = top_n(t, metric, _within(n, 1, 10, "n"), ["entity_id"])
     if meta is not None:
         t = t.join(meta, "entity_id", "left")
     return t.withColumns({"value": F.round(F.col(metric).cast("double"), 2),
@@ -68,11 +74,11 @@ def shape_changes(team_seconds: DataFrame, by: Sequence[str], features: Sequence
         c = c.filter(F.col("t_ms") <= as_of_ms)
     if team_id is not None:
         c = c.filter(F.col("team_id") == team_id)
-    c = top_n(c, "magnitude_z", max(1, min(top, 10)), [F.asc("t_ms"), *by])
+    c = top_n(c, "magnitude_z", _within(top, 1, 10, "top"), [F.asc("t_ms"), *by])
     return changes.evidence(c, "change", *by, "t_ms").orderBy("t_ms", *by)
 
 
 def similar_moments(index: DataFrame, at: dict, t_ms: int, as_of_ms: int, k: int = 5) -> DataFrame:
     m = index.filter(F.col("t_ms") <= as_of_ms)
-    return moments.similar_moments(m, at, min(t_ms, as_of_ms), max(1, min(k, 10))).withColumn(
+    return moments.similar_moments(m, at, min(t_ms, as_of_ms), _within(k, 1, 10, "k")).withColumn(
         "evidence_id", F.concat(F.lit("moment:t="), F.col("t_ms").cast("string")))

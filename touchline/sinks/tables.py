@@ -208,12 +208,12 @@ def upsert(new: DataFrame, target: DataFrame | None, keys: Sequence[str], order:
 
 
 def quarantine(bad: DataFrame, value: str = "value", key_note: str = "attributed_by_key") -> DataFrame:
-    """Rejected rows with reason, detail and the start of the raw value (4000 characters kept for inspection)."""
+    """Rejected rows with reason, detail and the whole raw value."""
     detail = F.concat(F.lit("offset="), F.col("kafka_offset").cast("string"),
                       F.when(F.col(key_note), F.lit(" session_from=kafka_key")).otherwise(F.lit("")))
     return bad.select(
         F.current_timestamp().alias("detected_at"), F.col("session_id"), F.col("match_id"), F.col("sequence").alias("seq"),
-        F.col("invalid_reason").alias("reason"), detail.alias("detail"), F.substring(value, 1, 4000).alias("raw_value"),
+        F.col("invalid_reason").alias("reason"), detail.alias("detail"), F.col(value).alias("raw_value"),
         "kafka_partition", "kafka_offset")
 
 
