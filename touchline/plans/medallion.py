@@ -1,6 +1,8 @@
 """Bronze -> silver -> gold for player data. Every builder takes and returns DataFrames."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +43,8 @@ def dim_players(api: DataFrame | None, rosters: DataFrame | None) -> DataFrame |
         return None
     d = sets.union_sources(frames).withColumns({
         "player_id": ids.player_id("nba_api_player_id"), "player_name_normalized": ids.normalize_name("player_name")})
-    # players without a readable id share no identity and stay out of the dimension's single-id rows
-    d = ordered.first_by(d, ["player_id"], ["source", "player_name", "nba_api_player_id"])
+    # rows whose id is not readable are in ``unreadable_ids``; folding them by a null id would merge different players
+    d = ordered.first_by(d.filter(F.col("player_id").isNotNull()), ["player_id"], ["source", "player_name", "nba_api_player_id"])
     return d.select("player_id", "nba_api_player_id", "player_name", "player_name_normalized", "from_year", "to_year")
 
 
@@ -69,13 +71,27 @@ def _with_ids(df: DataFrame) -> DataFrame:
     return d.withColumn("SEASON_ID", ids.season_id("SEASON")) if "SEASON" in d.columns else d
 
 
+def unreadable_ids(tables: dict[str, tuple[DataFrame | None, str]]) -> DataFrame | None:
+    """Quarantine of rows whose player id is text that is no number: table_name, raw_id, reason, row (as JSON).
+
+    ``tables``: name -> (table, its id column). The builders leave such rows out; here each of them is kept.
+    """
+    parts = []
+    for name, (df, column) in tables.items():
+        if df is not None:
+            bad = df.filter(F.col(column).isNotNull() & ids.player_id(F.col(column).cast("string")).isNull())
+            parts.append(bad.select(F.lit(name).alias("table_name"), F.col(column).cast("string").alias("raw_id"),
+                                    F.lit("unreadable_player_id").alias("reason"), F.to_json(F.struct(*df.columns)).alias("row")))
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
 def fact_player_season_stats(base: DataFrame, advanced: DataFrame | None = None) -> DataFrame:
     b = _with_ids(base)
     team = F.col("TEAM_ABBREVIATION") if "TEAM_ABBREVIATION" in b.columns else F.lit("UNK")
     b = b.withColumn("TEAM_ABBR", ids.normalize_team(team))
     key = ["PLAYER_ID", "SEASON_ID"]
     order = [c for c in ("TEAM_ABBREVIATION", "GP") if c in b.columns] or key
-    b = ordered.first_by(b, key, order)
+    b = ordered.first_by(b.filter(F.col("PLAYER_ID").isNotNull()), key, order)
     if advanced is not None:
         a = _with_ids(advanced)
         cols = [c for c in ADVANCED if c in a.columns and c not in b.columns]
@@ -92,7 +108,7 @@ def fact_player_game_stats(logs: DataFrame) -> DataFrame:
     else:
         key = ["PLAYER_ID", "SEASON_ID"]
     rest = sorted(c for c in d.columns if c not in key)
-    return ordered.first_by(d, key, rest)
+    return ordered.first_by(d.filter(F.col("PLAYER_ID").isNotNull()), key, rest)
 
 
 def fact_player_contracts(contracts: DataFrame) -> DataFrame | None:
@@ -119,6 +135,11 @@ def fact_player_shot_profiles(shots: DataFrame) -> DataFrame:
     return cast_void(_with_ids(shots))
 
 
+def fact_player_profiles(profiles: DataFrame | None) -> DataFrame | None:
+    """Scouting profiles as they were ingested; columns without a type become text."""
+    return None if profiles is None else cast_void(profiles)
+
+
 def fact_team_results(standings: DataFrame | None, historical: DataFrame | None) -> DataFrame | None:
     src = standings if standings is not None else historical
     if src is None:
