@@ -171,7 +171,7 @@ def test_basketball_frame(spark):
     fr = spark.createDataFrame([("s", "m", 0, 0, 1, "off")], "session_id string, match_id string, seq bigint, t_ms bigint, period int, possession string")
     teams = spark.createDataFrame([("m", "off"), ("m", "def")], "match_id string, team_id string")
     gk = spark.createDataFrame([], "match_id string, entity_id string")
-    r = {x["team_id"]: x for x in tracking.team_frames(pos, fr, gk, tracking.BASKETBALL, teams, spacing=True).collect()}
+    r = {x["team_id"]: x for x in tracking.team_frames(pos, fr, gk, tracking.BASKETBALL, teams, hooks=[tracking.SPACING]).collect()}
     assert (r["off"]["paint_count"], r["off"]["corner_count"], r["off"]["offense"]) == (1, 1, True)
     assert r["def"]["nearest_def_to_ball_m"] == 1.0 and r["def"]["paint_count"] is None
 
@@ -190,3 +190,17 @@ def test_smoothing_for_every_alpha(spark, alpha, chunked):
     for _, i, start, x in rows:
         s = x if start else alpha * x + (1 - alpha) * s
         assert got[i] == pytest.approx(s, rel=1e-9), i
+
+
+def test_hooks_are_callables(spark, circle):
+    """A sport's own measure, registered without touching the engine."""
+    high = tracking.Hook("reach", lambda: {"_far": F.max("x_att")}, lambda d, pos, key: d.withColumn("reach", F.col("_far") + 1.0))
+    args = (circle["positions"], circle["frames"], circle["keepers"], tracking.SOCCER, circle["teams"])
+    d = tracking.team_frames(*args, hooks=[high]).filter("n_outfield > 0")
+    assert "_far" not in d.columns and "mel_ms" in d.columns and d.filter("reach is null").count() == 0
+    try:
+        tracking.register_hook("handball", high)
+        tracking.register_hook("handball", high)
+        assert tracking.HOOKS["handball"] == [high]
+    finally:
+        tracking.HOOKS.pop("handball", None)

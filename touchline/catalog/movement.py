@@ -117,7 +117,7 @@ def teams(t):
 def team_frames(t, cfg=CFG, spacing=False):
     p = frame_positions(t)
     gk = p.filter("user_id % 25 = 0").select("match_id", "entity_id")
-    return tracking.team_frames(p, frame_rows(t), gk, cfg, teams(t), spacing=spacing)
+    return tracking.team_frames(p, frame_rows(t), gk, cfg, teams(t), hooks=[tracking.SPACING] if spacing else [])
 
 
 SHAPE_SQL = f"""agg AS (SELECT seq, team, count(*) AS n, count(*) FILTER (WHERE det) AS nd, avg(x) AS cx, max(y) - min(y) AS w, max(x) - min(x) AS dp, list_avg(list_slice(list_sort(list(x)), 1, 4)) + 52.5 AS line FROM outf GROUP BY 1, 2),

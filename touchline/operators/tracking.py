@@ -7,6 +7,7 @@ many rows for a task.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -257,11 +258,11 @@ def dwell(iv: DataFrame, by=("session_id", "match_id")) -> DataFrame:
 
 
 def team_frames(pos: DataFrame, frames: DataFrame, keepers: DataFrame, cfg: Sport, teams: DataFrame,
-                by=("session_id", "match_id"), spacing: bool = False) -> DataFrame:
+                by=("session_id", "match_id"), hooks: Sequence[Hook] = ()) -> DataFrame:
     """Shape per team and frame over the outfield players; null when too few players are known.
 
     ``teams``: match_id, team_id (two rows per match); ``keepers``: match_id, entity_id. A team without players in
-    a frame still gets a row.
+    a frame still gets a row. Each of ``hooks`` adds a sport's own measures.
     """
     fkey = [*by, "seq"]
     p = pos.filter((F.col("entity_type") == "player") & F.col("team_id").isNotNull()
@@ -271,20 +272,15 @@ def team_frames(pos: DataFrame, frames: DataFrame, keepers: DataFrame, cfg: Spor
         .withColumn("out", F.col("is_keeper").isNull())
     o = F.col("out")
     xy = F.struct(F.col("x_att").alias("x"), F.col("y_att").alias("y"))
-    extra = []
-    if spacing:
-        extra = [F.sort_array(F.collect_list(xy)).alias("all_xy"),
-                 F.sort_array(F.collect_list(F.struct(F.col("x_m").alias("x"), F.col("y_m").alias("y")))).alias("all_m"),
-                 F.avg((F.col("x_att") > 0).cast("double")).alias("front_share"),
-                 F.count_if(geo.in_paint("x_att", "y_att")).alias("paint"),
-                 F.count_if(geo.in_corner("x_att", "y_att")).alias("corner")]
+    extra = {n: c for h in hooks for n, c in h.gather().items()}
     g = p.groupBy(*fkey, "team_id").agg(
         F.count_if(o).alias("n_outfield"), F.count_if(o & F.coalesce("is_detected", F.lit(False))).alias("n_detected"),
         F.avg(F.when(o, F.col("x_att"))).alias("cx"), F.avg(F.when(o, F.col("y_att"))).alias("cy"),
         (F.max(F.when(o, F.col("y_att"))) - F.min(F.when(o, F.col("y_att")))).alias("w"),
         (F.max(F.when(o, F.col("x_att"))) - F.min(F.when(o, F.col("x_att")))).alias("dp"),
-        F.sort_array(F.collect_list(F.when(o, xy))).alias("pts"), *extra)
-    base = frames.select(*by, "seq", "t_ms", "period", "possession").join(teams.select("match_id", "team_id"), "match_id")
+        F.sort_array(F.collect_list(F.when(o, xy))).alias("pts"), *[c.alias(n) for n, c in extra.items()])
+    mel = F.col("mel_ms") if "mel_ms" in frames.columns else F.lit(None).cast("bigint").alias("mel_ms")
+    base = frames.select(*by, "seq", "t_ms", mel, "period", "possession").join(teams.select("match_id", "team_id"), "match_id")
     d = base.join(g, [*fkey, "team_id"], "left")
     d = d.withColumns({"n_outfield": F.coalesce("n_outfield", F.lit(0)), "n_detected": F.coalesce("n_detected", F.lit(0))})
     ok = F.col("n_outfield") >= cfg.min_outfield
@@ -297,11 +293,27 @@ def team_frames(pos: DataFrame, frames: DataFrame, keepers: DataFrame, cfg: Spor
         "centroid_x": F.when(ok, F.col("cx")), "centroid_y": F.when(ok, F.col("cy")),
         "width_m": F.when(ok, F.col("w")), "depth_m": F.when(ok, F.col("dp")),
         "hull_area_m2": hull, "def_line_height_m": F.when(ok, line)})
-    drop = ["cx", "cy", "w", "dp", "pts", "possession"]
-    if spacing:
-        d = _spacing(d, pos, fkey)
-        drop += ["all_xy", "all_m", "front_share", "paint", "corner"]
-    return d.drop(*drop)
+    for h in hooks:
+        d = h.finish(d, pos, fkey)
+    return d.drop("cx", "cy", "w", "dp", "pts", "possession", *extra)
+
+
+@dataclass(frozen=True)
+class Hook:
+    """Measures of one sport per team and frame.
+
+    ``gather`` names aggregates over the team's players of the frame (columns x_att, y_att, x_m, y_m);
+    ``finish(rows, positions, frame key)`` makes the measures from them. The gathered columns are dropped afterwards.
+    """
+    name: str
+    gather: Callable[[], dict[str, Column]]
+    finish: Callable[[DataFrame, DataFrame, list[str]], DataFrame]
+
+
+def _spacing_inputs() -> dict[str, Column]:
+    at = lambda x, y: F.sort_array(F.collect_list(F.struct(F.col(x).alias("x"), F.col(y).alias("y"))))
+    return {"all_xy": at("x_att", "y_att"), "all_m": at("x_m", "y_m"), "front_share": F.avg((F.col("x_att") > 0).cast("double")),
+            "paint": F.count_if(geo.in_paint("x_att", "y_att")), "corner": F.count_if(geo.in_corner("x_att", "y_att"))}
 
 
 def _spacing(d: DataFrame, pos: DataFrame, fkey) -> DataFrame:
@@ -322,8 +334,16 @@ def _spacing(d: DataFrame, pos: DataFrame, fkey) -> DataFrame:
                                         F.round(geo.nearest("all_m", "ball.x", "ball.y"), 3))}).drop("ball")
 
 
-# per-frame metric transforms by sport
-HOOKS = {"soccer": [], "basketball": ["spacing"]}
+SPACING = Hook("spacing", _spacing_inputs, _spacing)
+# a sport's hooks, in the order they are applied
+HOOKS: dict[str, list[Hook]] = {"soccer": [], "basketball": [SPACING]}
+
+
+def register_hook(sport: str, hook: Hook) -> None:
+    """Add a hook to a sport, new or known; a hook of the same name is replaced."""
+    HOOKS[sport] = [h for h in HOOKS.get(sport, []) if h.name != hook.name] + [hook]
+
+
 SHAPE = ["centroid_x", "width_m", "depth_m", "hull_area_m2", "def_line_height_m"]
 
 
@@ -384,6 +404,6 @@ def run_batch(pos: DataFrame, frames: DataFrame, periods: DataFrame, teams: Data
     """All results of one or many matches: obs, player_window, dwell, team_frame, team_window."""
     obs = kinematics(pos, cfg, plan_chunk(pos, hot_rows))
     iv = attribute_intervals(obs, periods, cfg)
-    tf = team_frames(pos, frames, keepers, cfg, teams, spacing="spacing" in HOOKS[cfg.name])
+    tf = team_frames(pos, frames, keepers, cfg, teams, hooks=HOOKS.get(cfg.name, []))
     return {"obs": obs, "player_window": with_bounds(player_windows(iv, cfg), cfg), "dwell": dwell(iv),
             "team_frame": tf, "team_window": with_bounds(team_means(team_windows(tf, periods, cfg)), cfg)}

@@ -17,6 +17,7 @@ from touchline.sinks.tables import CommitLog, Lake, quarantine
 from touchline.streaming.reorder import released
 from touchline.streaming.validate import ENVELOPE, attributed, with_validation
 
+# fixed values: names and order of the tables' columns are what readers of the lake expect
 OBS = ("session_id string, match_id string, seq bigint, t_ms bigint, mel_ms bigint, period int, entity_id string, "
        "entity_type string, team_id string, x_m double, y_m double, z_m double, x_att double, y_att double, "
        "is_detected boolean, position_source string, speed_mps double, accel_mps2 double, dist_raw_m double, dist_m double, "
@@ -33,7 +34,7 @@ TEAM_WINDOW = ("session_id string, match_id string, team_id string, window bigin
                "version bigint, feature_version string, batch_id bigint")
 DWELL = ("session_id string, match_id string, entity_id string, team_id string, window bigint, cell_x int, cell_y int, "
          "dwell_ms bigint, is_final boolean, version bigint, feature_version string, batch_id bigint")
-TEAM_FRAME = ("session_id string, match_id string, seq bigint, t_ms bigint, period int, team_id string, n_outfield bigint, "
+TEAM_FRAME = ("session_id string, match_id string, seq bigint, t_ms bigint, mel_ms bigint, period int, team_id string, n_outfield bigint, "
               "n_detected bigint, sufficient boolean, in_possession boolean, centroid_x double, centroid_y double, width_m double, "
               "depth_m double, hull_area_m2 double, def_line_height_m double, spacing_hull_m2 double, mean_pairwise_m double, "
               "paint_count bigint, corner_count bigint, nearest_def_to_ball_m double, offense boolean, feature_version string, batch_id bigint")
@@ -205,7 +206,7 @@ class Engine:
         alld = alld.join(off, here, "left").drop("_m", "_p").withColumn("offset_ms", F.coalesce("offset_ms", F.lit(0)))
         self._emit(alld, cursor, closed, iv.select(*key, "entity_id", "window").distinct(), ["entity_id", "window"],
                    "gold.spatial_dwell", "state.dwell", put, hold, lambda d: d)
-        tf = hold(tracking.team_frames(pos, fr, self.keepers, cfg, self.teams, spacing="spacing" in tracking.HOOKS[cfg.name]))
+        tf = hold(tracking.team_frames(pos, fr, self.keepers, cfg, self.teams, hooks=tracking.HOOKS[cfg.name]))
         rounded = [c for c in ("centroid_x", "centroid_y", "width_m", "depth_m", "hull_area_m2", "def_line_height_m") ]
         put(tf.withColumns({**{c: safe_round(c) for c in rounded}, "feature_version": F.lit(self.version)}), "gold.team_frame_metrics")
         tw = tracking.team_windows(tf, self.periods, cfg).withColumn("part", F.lit(batch_id).cast("bigint"))
