@@ -235,8 +235,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = ids.join(own, "text_sha256")
     from pyspark.sql import Window
 
+    # dealt out again by id and digest: left where the join has put them, all copies of a text would be one task's
     turn = F.row_number().over(Window.partitionBy("text_sha256", "doc_id").orderBy(F.lit(1)))
-    rows = rows.withColumn("turn", turn)
+    rows = rows.repartition("doc_id", "text_sha256").withColumn("turn", turn)
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("turn") == 1)
     return rows.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
