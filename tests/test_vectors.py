@@ -113,6 +113,7 @@ def test_moments_match_brute_force(spark):
     assert [(r.period, r.t_ms // 1000) for r in sim] == [keys[j] for j in want]
     scale = np.median(np.linalg.norm(X - X.mean(0), axis=1))
     assert [r.similarity for r in sim] == pytest.approx([math.exp(-np.linalg.norm(X[j] - X[i]) / scale) for j in want], abs=6e-4)
+    assert moments.similar_moments(idx, {"match_id": "no such match"}, 100_000, 5).count() == 0
     hits = tot = 0
     lab = [n for n, l in enumerate(labels) if l]
     for n in lab:

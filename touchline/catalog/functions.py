@@ -397,6 +397,40 @@ def _(t):
     return questions.route(d).select("event_id", "tool", "metric", "n", "t_ms", "refusal_reason")
 
 
+LEADS = ["", "Top 3 players by sprints. ", "Show moments similar to 20:15. ", "Similar at minute 45 or the 30th minute? ", "Similar in the 30th minute, minute 45? ",
+         "Did the defensive line shift? ", "Who will win? ", "What changed? "]
+
+
+def _case(table, column):
+    return "CASE " + " ".join(f"WHEN regexp_matches({column}, '{rx.replace(chr(39), chr(39) * 2)}') THEN '{m}'" for rx, m in table) + " END"
+
+
+def _route_sql() -> str:
+    q = questions
+    quote = lambda rx: "'" + rx.replace("'", "''") + "'"
+    hit = lambda rx: f"regexp_matches(l, {quote(rx)})"
+    grab = lambda rx, i: f"TRY_CAST(nullif(regexp_extract(x, {quote('(?i)' + rx)}, {i}), '') AS INTEGER)"
+    leads = ", ".join("'" + x + "'" for x in LEADS)
+    return f"""WITH q AS (SELECT conv_id, turn, ([{leads}])[CAST((conv_id + turn) % {len(LEADS)} AS INTEGER) + 1] || coalesce(text, '') AS t FROM conversations),
+ c AS (SELECT conv_id, turn, regexp_replace(regexp_replace(t, '[\x00-\x1f\x7f]', '', 'g'), '\p{{Zs}}', ' ', 'g') AS x FROM q),
+ w AS (SELECT *, lower(x) AS l FROM c), m AS (SELECT *, {_case(q.TEAM_WORDS, 'l')} AS team, {_case(q.PLAYER_WORDS, 'l')} AS player FROM w),
+ r AS (SELECT *, CASE WHEN {hit(q.QUALITY)} THEN 'quality_gaps' WHEN {hit(q.SIMILAR)} THEN 'similar_moments' WHEN {hit(q.PLAYERS)} OR (player IS NOT NULL AND team IS NULL) THEN 'top_players'
+   WHEN team IS NOT NULL THEN 'team_shape_trend' WHEN {hit(q.CHANGES)} THEN 'shape_changes' END AS tl FROM m),
+ f AS (SELECT *, CASE WHEN length(x) > 500 THEN 'question too long' WHEN trim(x) = '' THEN 'empty question' WHEN {hit(q.COMMANDS)} THEN 'commands in question' WHEN {hit(q.OFF_TOPIC)} THEN 'off topic'
+   WHEN tl IS NULL THEN 'no tool matches' END AS refusal_reason FROM r)
+SELECT conv_id, turn, refusal_reason, CASE WHEN refusal_reason IS NULL THEN tl END AS tool, CASE WHEN refusal_reason IS NULL AND tl = 'top_players' THEN coalesce(player, 'distance_m') WHEN refusal_reason IS NULL AND tl = 'team_shape_trend' THEN team END AS metric,
+ CASE WHEN refusal_reason IS NULL AND tl = 'top_players' THEN coalesce({grab(q.TOP_N, 1)}, 5) END AS n,
+ CASE WHEN refusal_reason IS NULL AND tl = 'similar_moments' THEN CAST(coalesce(({grab(q.CLOCK, 1)} * 60 + {grab(q.CLOCK, 2)}) * 1000, coalesce({grab(q.MINUTE, 1)}, {grab(q.MINUTE, 2)}) * 60000) AS BIGINT) END AS t_ms
+FROM f"""
+
+
+@query("fn44_route_texts", _route_sql())
+def _(t):
+    lead = F.get(F.array(*map(F.lit, LEADS)), ((F.col("conv_id") + F.col("turn")) % len(LEADS)).cast("int"))
+    d = t("conversations", "conv_id", "turn", "text").withColumn("question", F.concat(lead, F.coalesce("text", F.lit(""))))
+    return questions.route(d).select("conv_id", "turn", "tool", "metric", "n", "t_ms", "refusal_reason")
+
+
 @query("fn45_evidence_id", f"WITH {EVENTS} SELECT event_id, 'change:' || event_type || ':' || user_id || ':' || t_ms AS evidence_id FROM ev")
 def _(t):
     from touchline.operators.changes import evidence

@@ -79,7 +79,9 @@ def zscore(df: DataFrame, cols: dict[str, str], by: Sequence[str] = ()) -> DataF
 
 def percentile_cap(df: DataFrame, col: str, p: float, by: Sequence[str] = ()) -> DataFrame:
     """Keep rows at or below the interpolated percentile of the rows that reached this filter."""
-    return with_stats(df, by, _cap=F.percentile(col, F.lit(p))).filter(F.col(col) <= F.col("_cap")).drop("_cap")
+    from touchline.operators.aggregates import with_quantiles
+
+    return with_quantiles(df, col, {"_cap": p}, by).filter(F.col(col) <= F.col("_cap")).drop("_cap")
 
 
 def latest_partition(df: DataFrame, col: str) -> DataFrame:
@@ -88,15 +90,23 @@ def latest_partition(df: DataFrame, col: str) -> DataFrame:
 
 def exclude_stars(df: DataFrame, pts: float = 22.0, obvious: float = 25.0, p: float = 0.75) -> DataFrame:
     """Drop high scorers on big contracts and every very high scorer; a missing salary never matches."""
-    valid = F.when(F.col("salary") > 0, F.col("salary"))
-    d = with_stats(df, [], _q=F.percentile(valid, F.lit(p)))
-    star = ((F.col("PTS") >= pts) & (valid >= F.col("_q"))) | (F.col("PTS") >= obvious)
-    return d.filter(~F.coalesce(star, F.lit(False))).drop("_q")
+    from touchline.operators.aggregates import with_quantiles
+
+    d = with_quantiles(df.withColumn("_valid", F.when(F.col("salary") > 0, F.col("salary"))), "_valid", {"_q": p})
+    star = ((F.col("PTS") >= pts) & (F.col("_valid") >= F.col("_q"))) | (F.col("PTS") >= obvious)
+    return d.filter(~F.coalesce(star, F.lit(False))).drop("_q", "_valid")
 
 
 def median_stats(col: str) -> dict[str, Column]:
-    """Aggregates that ``median_bonus`` needs."""
-    return {"_med": F.percentile(col, F.lit(0.5)), "_cheap": F.min(col), "_dear": F.max(col)}
+    """Aggregates that ``median_bonus`` needs besides the median."""
+    return {"_cheap": F.min(col), "_dear": F.max(col)}
+
+
+def with_median(df: DataFrame, col: str) -> DataFrame:
+    """Attach the column's median as ``_med``."""
+    from touchline.operators.aggregates import with_quantiles
+
+    return with_quantiles(df, col, {"_med": 0.5})
 
 
 def median_bonus(col: str) -> Column:
@@ -109,7 +119,7 @@ def median_bonus(col: str) -> Column:
 
 def below_median_bonus(df: DataFrame, col: str, out: str) -> DataFrame:
     stats = median_stats(col)
-    return with_stats(df, [], **stats).withColumn(out, median_bonus(col)).drop(*stats)
+    return with_median(with_stats(df, [], **stats), col).withColumn(out, median_bonus(col)).drop(*stats, "_med")
 
 
 def scaled(col: str) -> Column:

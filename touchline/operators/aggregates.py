@@ -1,7 +1,7 @@
 """Grouped aggregates. All use Spark's partial aggregation, so a hot key is combined before the shuffle."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,25 +72,60 @@ def rates(df: DataFrame) -> DataFrame:
         "detected_share": F.round(F.try_divide(F.col("detected_ms"), F.col("active_ms")), 3)})
 
 
-def exact_quantiles(df: DataFrame, col: str, ps: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
-    """Element at rank ``floor(p * n)`` (0-based, last element for p = 1) of the sorted values.
+def value_chunks(df: DataFrame, col: str, pieces: int = 64) -> Column:
+    """A number that never falls as ``col`` rises and cuts the table's values into about equal pieces.
 
-    Values are counted first, so the work after the first shuffle is on distinct values, not on rows; the
-    ranks come from a chunked running sum over those values.
+    The cuts come from one approximate-percentile job; they only decide how rows are spread.
     """
-    counts = df.filter(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("_n"))
-    upto = ordered.running_sum(counts, "_n", "_upto", by, [col], F.floor(F.col(col).cast("double") / 1000))
-    total = counts.groupBy(*by).agg(F.sum("_n").alias("_total")) if by else None
-    if by:
-        upto = upto.join(total, list(by))
-    else:
-        upto = with_stats(upto, [], _total=F.sum("_n"))
-    picks = []
-    for name, p in ps.items():
-        rank = F.least(F.floor(F.lit(p) * F.col("_total")), F.col("_total") - 1)
-        picks.append(F.min(F.when(F.col("_upto") > rank, F.col(col))).alias(name))
+    steps = F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
+    cuts = df.agg(F.percentile_approx(F.col(col).cast("double"), steps, 10_000)).first()[0] or []
+    inside = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
+    return F.size(F.filter(inside, lambda c: c < F.col(col).cast("double")))
+
+
+def _values_at(df: DataFrame, col: str, ranks: dict[str, Callable[[Column], Column]], by: Sequence[str]) -> DataFrame:
+    """The values at 0-based ranks of the sorted column, per group; each rank is a function of the group's count.
+
+    Values are counted first, so the work after the first shuffle is on distinct values, not on rows; ranks come from
+    a running sum over those values in chunks, and each pick is a minimum: no task holds a group's values.
+    """
+    known = df.filter(F.col(col).isNotNull())
+    counts = known.groupBy(*by, col).agg(F.count(F.lit(1)).alias("_n"))
+    upto = ordered.running_sum(counts, "_n", "_upto", by, [col], value_chunks(known, col))
+    upto = with_stats(upto, by, _total=F.sum("_n"))
     g = upto.groupBy(*by) if by else upto
-    return g.agg(*picks)
+    return g.agg(F.max("_total").alias("_total"), *[F.min(F.when(F.col("_upto") > r(F.col("_total")), F.col(col))).alias(n) for n, r in ranks.items()])
+
+
+def exact_quantiles(df: DataFrame, col: str, ps: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """Element at rank ``floor(p * n)`` (0-based, last element for p = 1) of the sorted values."""
+    ranks = {name: (lambda n, p=p: F.least(F.floor(F.lit(p) * n), n - 1)) for name, p in ps.items()}
+    return _values_at(df, col, ranks, by).drop("_total")
+
+
+def interpolated_quantiles(df: DataFrame, col: str, ps: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """Quantiles between the two neighbours of ``p * (n - 1)``; null for a group without values."""
+    ranks = {}
+    for name, p in ps.items():
+        ranks[f"_l_{name}"] = lambda n, p=p: F.floor(F.lit(p) * (n - 1))
+        ranks[f"_h_{name}"] = lambda n, p=p: F.ceil(F.lit(p) * (n - 1))
+    found = _values_at(df, col, ranks, by)
+
+    def between(name, p):
+        at, low, high = F.lit(p) * (F.col("_total") - 1), F.col(f"_l_{name}").cast("double"), F.col(f"_h_{name}").cast("double")
+        return F.when(F.floor(at) == F.ceil(at), low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high).alias(name)
+
+    return found.select(*by, *[between(name, p) for name, p in ps.items()])
+
+
+def with_quantiles(df: DataFrame, col: str, ps: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """Attach interpolated quantiles of the row's group; without groups they are one row."""
+    q = interpolated_quantiles(df, col, ps, by)
+    if not by:
+        return df.withColumn("_one", F.lit(1)).join(F.broadcast(q.withColumn("_one", F.lit(1))), "_one", "left").drop("_one")
+    q = q.select(*[F.col(b).alias(f"_q{i}") for i, b in enumerate(by)], *ps)
+    same = [F.col(b).eqNullSafe(F.col(f"_q{i}")) for i, b in enumerate(by)]
+    return df.join(q, same, "left").drop(*[f"_q{i}" for i in range(len(by))])
 
 
 def frames_as_arrays(df: DataFrame, frame: Sequence[str], entity: Sequence[str], out: str = "ents") -> DataFrame:

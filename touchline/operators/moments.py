@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions.scoring import with_stats, zscore
 from touchline.operators import vectors
+from touchline.operators.aggregates import interpolated_quantiles
 from touchline.operators.windows import moment_vectors
 
 # Fixed values
@@ -58,7 +59,7 @@ def neighbours(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 def similar_moments(index: DataFrame, at: dict, t_ms: int, k: int = 5) -> DataFrame:
     """Moments most like the one at or just before ``t_ms`` (else the first); similarity is exp(-distance / median spread).
 
-    A match without moments gives no rows. Anchor, centre and spread are columns of the plan; building it runs no job.
+    A match without moments gives no rows. Anchor, centre and spread are columns of the plan.
     """
     m = index
     for c, v in at.items():
@@ -70,7 +71,7 @@ def similar_moments(index: DataFrame, at: dict, t_ms: int, k: int = 5) -> DataFr
     centre = part.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("centre"))
     length = F.sqrt(F.aggregate(F.zip_with("vec", "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x))
     spread = m.select(F.lit(1).alias("one"), "vec").join(F.broadcast(centre.withColumn("one", F.lit(1))), "one").select(length.alias("s"))
-    scale = spread.agg(F.percentile("s", F.lit(0.5)).alias("scale")).select(
+    scale = interpolated_quantiles(spread, "s", {"scale": 0.5}).select(
         F.lit(1).alias("one"), F.coalesce(F.nullif("scale", F.lit(0.0)), F.lit(1.0)).alias("scale"))
     info = m.select(F.col("moment_id").alias("cid"), "t_ms", "period", "label")
     found = near.join(info, "cid").withColumn("one", F.lit(1)).join(F.broadcast(scale), "one")
