@@ -2,10 +2,11 @@
 
 Sets of five-word shingles of Jaccard similarity 0.8 differ in about 15 % of SimHash bits (the angle between them is
 acos(2 J / (1 + J))). In 64 bits that is too blurred to tell from less similar texts, so here a fingerprint has 256
-bits, a ring of 64 segments of 4; it links with another if at most ``most_differing(0.8)`` bits differ. A pair is looked
-for where four segments in a row agree, from any of the 64 starts, and then has to keep the chain's budget over the
-first 16 segments before all bits are compared. What four agreeing segments miss is measured, not guessed: see
-``tests/llm`` and the README. Only wide windows keep buckets small as the corpus grows: ``head`` is a parameter.
+bits, a ring of 64 segments of 4; it links with another if at most ``most_differing(0.8)`` bits differ. The bits are put
+around the ring in four orders, so that chances of a start do not hang together. A pair is looked for where four
+segments in a row agree, from any of 16 starts of each ring, and then has to keep the chain's budget over the first 16
+segments before all bits are compared. What four agreeing segments miss is measured, not guessed: see ``tests/llm`` and
+the README. Only wide windows keep buckets small as the corpus grows: ``head`` is a parameter.
 """
 from __future__ import annotations
 
@@ -24,8 +25,10 @@ from touchline.llm.util import text_of, written
 WORDS = 4
 BITS = 64 * WORDS
 SEGMENT = 4
-STARTS = BITS // SEGMENT
+RING = BITS // SEGMENT                          # segments around a ring
 HEAD = 4                                        # agreeing segments that make a bucket
+STARTS = RING // HEAD                           # of each ring
+STEPS = (1, 37, 73, 151)                        # odd, so each step meets every bit once: the rings' orders
 CHAIN = 16                                      # segments of the budget that is asked before all bits are
 # odd multipliers that spread one shingle hash over four words
 SPREAD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -86,20 +89,29 @@ def _bits_of(fp: np.ndarray, at: int, n: int) -> np.ndarray:
     return low & np.uint64((1 << n) - 1) if n < 64 else low
 
 
+def on_ring(fp: np.ndarray, ring: int) -> np.ndarray:
+    """The fingerprints with their bits in a ring's order."""
+    bits = np.unpackbits(np.ascontiguousarray(fp, "<u8").view(np.uint8).reshape(-1, BITS // 8), axis=1, bitorder="little")
+    order = np.arange(BITS) * STEPS[ring] % BITS
+    return np.ascontiguousarray(np.packbits(bits[:, order], axis=1, bitorder="little")).view("<u8").reshape(-1, WORDS)
+
+
 def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each fingerprint under each of its windows: key = start and window's bits."""
+    """Each fingerprint under each of its windows: key = ring, start and the window's bits."""
     for b in batches:
         fp = np.stack([b.column(f).to_numpy().view(np.uint64) for f in FIELDS], axis=1)
-        for s in range(STARTS):
-            key = (np.uint64(s) << np.uint64(48) | _bits_of(fp, s * SEGMENT, SEGMENT * HEAD)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key), *b.columns], names=["key", "node", *FIELDS])
+        for r in range(len(STEPS)):
+            turned = on_ring(fp, r)
+            for s in range(STARTS):
+                key = (np.uint64(r * STARTS + s) << np.uint64(48) | _bits_of(turned, s * SEGMENT * HEAD, SEGMENT * HEAD)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key), *b.columns], names=["key", "node", *FIELDS])
 
 
 def spanning_links(fp: np.ndarray, node: np.ndarray, start: int, most: int) -> Iterator[tuple[int, np.ndarray]]:
     """Links that join what is linked within one bucket: each step takes out all that the current one reaches."""
-    budget = CHAIN * most // STARTS
+    budget = CHAIN * most // RING
     rest = np.arange(node.size)
-    head = _bits_of(fp, start * SEGMENT, CHAIN * SEGMENT)
+    head = _bits_of(on_ring(fp, start // STARTS), start % STARTS * SEGMENT * HEAD, CHAIN * SEGMENT)
     while rest.size > 1:
         queue, rest = [rest[0]], rest[1:]
         while queue and rest.size:
