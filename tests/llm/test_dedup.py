@@ -190,6 +190,45 @@ def test_lines_equal_brute_force(spark):
     assert got == plain_lines(rows)
 
 
+def test_lines_of_five_to_forty_words_are_compared_by_edits_alone(spark):
+    """Every line within a fifth of its words goes, whatever its fingerprint; none beyond that does."""
+    rng, rows = random.Random(11), []
+    for i in range(130):
+        n = rng.randrange(5, 41)
+        w = [f"w{rng.randrange(200)}" for _ in range(n)]
+        v = list(w)
+        for _ in range(n // 5 + (i % 5 == 0)):          # some are one edit too far
+            at = rng.randrange(len(v))
+            v[at:at + 1] = rng.choice([[f"x{rng.randrange(10**6)}"], [f"x{rng.randrange(10**6)}", v[at]], []])
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+    got = {r["doc_id"]: r["text"] for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = plain_lines(rows, near=64)
+    assert sum(not t for t in want.values()) > 80
+    assert got == want
+
+
+def test_long_lines_meet(spark):
+    rng, rows = random.Random(12), []
+    for i, n in enumerate([215, 420, 900, 2500]):
+        w = [f"w{rng.randrange(3000)}" for _ in range(n)]
+        v = [x if j % 5 else f"x{rng.randrange(10**6)}" for j, x in enumerate(w)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+    got = {r["doc_id"]: r["n_kept"] for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: 1 - i % 2 for i in range(8)}
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.7, 0.8, 0.9])
+def test_some_segment_of_the_longer_line_is_a_run_of_the_shorter(similarity):
+    """The lengths of runs that lines take part with: each pair within the edits shares one."""
+    by = lines.run_lengths(similarity)
+    part = lambda m: {k for k, lo, hi in by if m >= lo and (hi is None or m <= hi)}
+    for n in range(1, 1500):
+        t = lines.edits(n, similarity)
+        if t:
+            fits = [k for k in part(n) if k <= n // (t + 1)]
+            assert all(set(fits) & part(m) for m in range(n - t, n + 1))
+
+
 @pytest.mark.parametrize("text", ["", "a b", "one two three four five six " * 50])
 def test_fingerprint(text):
     assert simhash.fingerprint(text) == plain_fingerprint(text)
