@@ -141,6 +141,24 @@ def test_similarity_recall_and_clean_texts(spark):
     assert sum(i not in kept for i in closer) >= 0.97 * len(closer)
 
 
+def test_full_buckets_link_what_pairs_do():
+    """A third fingerprint under the key changes nothing: only the limit over all bits counts."""
+    import pyarrow as pa
+
+    rng, most = np.random.default_rng(9), simlong.most_differing(0.8)
+    for differing in (12, 30, most, most + 1):
+        bits = rng.integers(0, 2, (3, simlong.BITS), np.uint8)
+        bits[1] = bits[0]
+        bits[1, 16:16 + differing] ^= 1                 # right after the window of ring 0, start 0
+        bits[2, :16] = bits[0, :16]
+        fp = np.packbits(bits, axis=1, bitorder="little").view("<u8").view(np.int64)
+        for n in (2, 3):
+            batch = pa.RecordBatch.from_arrays([pa.array([0] * n), pa.array(range(n)), *(pa.array(np.ascontiguousarray(fp[:n, i])) for i in range(simlong.WORDS))],
+                                               names=["key", "node", *simlong.FIELDS])
+            got = [(r["a"], r["b"]) for out in simlong.bucket_links(most)(iter([batch])) for r in out.to_pylist()]
+            assert got == ([(0, 1)] if differing <= most else [])
+
+
 def plain_lines(rows, similarity=0.8, near=3):
     norm = lambda s: re.sub(r"[\W_]+", " ", s.lower()).strip()
     place = {}

@@ -4,8 +4,8 @@ Sets of five-word shingles of Jaccard similarity 0.8 differ in about 15 % of Sim
 acos(2 J / (1 + J))). In 64 bits that is too blurred to tell from less similar texts, so here a fingerprint has 256
 bits, a ring of 64 segments of 4; it links with another if at most ``most_differing(0.8)`` bits differ. The bits are put
 around the ring in four orders, so that chances of a start do not hang together. A pair is looked for where four
-segments in a row agree, from any of 16 starts of each ring, and then has to keep the chain's budget over the first 16
-segments before all bits are compared. What four agreeing segments miss is measured, not guessed: see ``tests/llm`` and
+segments in a row agree, from any of 16 starts of each ring; then all bits are compared, however many fingerprints meet
+there. What four agreeing segments miss is measured, not guessed: see ``tests/llm`` and
 the README. Only wide windows keep buckets small as the corpus grows: ``head`` is a parameter.
 """
 from __future__ import annotations
@@ -29,7 +29,6 @@ RING = BITS // SEGMENT                          # segments around a ring
 HEAD = 4                                        # agreeing segments that make a bucket
 STARTS = RING // HEAD                           # of each ring
 STEPS = (1, 37, 73, 151)                        # odd, so each step meets every bit once: the rings' orders
-CHAIN = 16                                      # segments of the budget that is asked before all bits are
 # odd multipliers that spread one shingle hash over four words
 SPREAD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -107,22 +106,19 @@ def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(key), *b.columns], names=["key", "node", *FIELDS])
 
 
-def spanning_links(fp: np.ndarray, node: np.ndarray, start: int, most: int) -> Iterator[tuple[int, np.ndarray]]:
+def spanning_links(fp: np.ndarray, node: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
     """Links that join what is linked within one bucket: each step takes out all that the current one reaches."""
-    budget = CHAIN * most // RING
     rest = np.arange(node.size)
-    head = _bits_of(on_ring(fp, start // STARTS), start % STARTS * SEGMENT * HEAD, CHAIN * SEGMENT)
     while rest.size > 1:
         queue, rest = [rest[0]], rest[1:]
         while queue and rest.size:
             x = queue.pop()
-            near = np.bitwise_count(head[rest] ^ head[x]) <= budget
-            found = np.flatnonzero(near)
-            found = found[np.bitwise_count(fp[rest[found]] ^ fp[x]).sum(axis=1, dtype=np.int64) <= most]
+            near = np.bitwise_count(fp[rest] ^ fp[x]).sum(axis=1, dtype=np.int64) <= most
+            found = rest[near]
             if found.size:
-                yield int(node[x]), node[rest[found]]
-                queue += rest[found].tolist()
-                rest = np.delete(rest, found)
+                yield int(node[x]), node[found]
+                queue += found.tolist()
+                rest = rest[~near]
 
 
 def bucket_links(most: int):
@@ -137,7 +133,7 @@ def bucket_links(most: int):
         a.append(node[two[ok]])
         b.append(node[two[ok] + 1])
         for i, n in zip(first[size > 2], size[size > 2]):
-            for x, ys in spanning_links(fp[i:i + n], node[i:i + n], int(key[i] >> 48), most):
+            for x, ys in spanning_links(fp[i:i + n], node[i:i + n], most):
                 a.append(np.full(ys.size, x))
                 b.append(ys)
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
