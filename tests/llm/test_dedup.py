@@ -159,6 +159,49 @@ def test_full_buckets_link_what_pairs_do():
             assert got == ([(0, 1)] if differing <= most else [])
 
 
+def edited(rng, w, least, most):
+    """A copy of the words of similarity ``least`` to ``most``, that similarity."""
+    while True:
+        v = list(w)
+        while True:
+            v[rng.randrange(len(v))] = f"x{rng.randrange(10**6)}"
+            a, b = shingles(w), shingles(v)
+            j = len(a & b) / len(a | b)
+            if j <= most:
+                break
+        if j >= least:
+            return v
+
+
+def test_only_similar_texts_go(spark):
+    """Texts of similarity 0.68 to 0.78 all stay; of those from 0.8 to 0.86 at least 0.9 go."""
+    rng, rows = random.Random(6), []
+    for i in range(160):
+        w = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(150, 400))]
+        rows += [(i, " ".join(w)), (1000 + i, " ".join(edited(rng, w, *((0.68, 0.78) if i % 2 else (0.8, 0.86)))))]
+    kept = {r["doc_id"] for r in simlong.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i for i, _ in rows if i % 2} | set(range(160)) <= kept
+    assert sum(1000 + i not in kept for i in range(0, 160, 2)) >= 0.9 * 80
+
+
+def test_refused_links_hide_no_others(spark):
+    """Many texts that are candidates of each other, in groups of similar ones: each group keeps one."""
+    rng, rows = random.Random(8), []
+    base = [f"w{rng.randrange(3000)}" for _ in range(300)]
+    for g in range(12):
+        w = edited(rng, base, 0.76, 0.79)
+        for k in range(6):
+            rows.append((10 * g + k, " ".join(edited(rng, w, 0.95, 0.99) if k else w)))
+    sets, of = Sets(), {i: shingles(t.split(" ")) for i, t in rows}
+    for a in of:
+        sets.find(a)
+        for b in of:
+            if a < b and len(of[a] & of[b]) >= 0.8 * len(of[a] | of[b]):
+                sets.join(a, b)
+    kept = [r["doc_id"] for r in simlong.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(kept) == sorted({sets.find(i) for i in of}) and len(kept) > 6
+
+
 def plain_lines(rows, similarity=0.8, near=3):
     norm = lambda s: re.sub(r"[\W_]+", " ", s.lower()).strip()
     place = {}

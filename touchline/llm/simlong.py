@@ -2,11 +2,14 @@
 
 Sets of five-word shingles of Jaccard similarity 0.8 differ in about 15 % of SimHash bits (the angle between them is
 acos(2 J / (1 + J))). In 64 bits that is too blurred to tell from less similar texts, so here a fingerprint has 256
-bits, a ring of 64 segments of 4; it links with another if at most ``most_differing(0.8)`` bits differ. The bits are put
+bits, a ring of 64 segments of 4; it is a candidate with another if at most ``most_differing(0.8, SIGMAS)`` bits differ.
+Candidates with differing fingerprints are linked only if the shingles of the first text of each have the similarity: it
+is counted exactly. The bits are put
 around the ring in four orders, so that chances of a start do not hang together. A pair is looked for where four
 segments in a row agree, from any of 16 starts of each ring; then all bits are compared, however many fingerprints meet
 there. What four agreeing segments miss is measured, not guessed: see ``tests/llm`` and
-the README. Only wide windows keep buckets small as the corpus grows: ``head`` is a parameter.
+the README. Within a bucket only links that span it are tried first; where one of them is refused, all other candidates
+between components are tried too, so that no refused link hides another. Only wide windows keep buckets small as the corpus grows: ``head`` is a parameter.
 """
 from __future__ import annotations
 
@@ -16,7 +19,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.llm.components import components
@@ -29,6 +32,7 @@ RING = BITS // SEGMENT                          # segments around a ring
 HEAD = 4                                        # agreeing segments that make a bucket
 STARTS = RING // HEAD                           # of each ring
 STEPS = (1, 37, 73, 151)                        # odd, so each step meets every bit once: the rings' orders
+SIGMAS = 3.0                                    # standard deviations of the bits of a pair that is just similar enough
 # odd multipliers that spread one shingle hash over four words
 SPREAD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -39,20 +43,26 @@ def most_differing(similarity: float, sigmas: float = 1.5) -> int:
     return int(BITS * p + sigmas * math.sqrt(BITS * p * (1 - p)))
 
 
-def fingerprint(text: str, width: int = 5) -> np.ndarray:
-    """Four words; a bit is set if it is in over half of the distinct shingles' hashes. No word: all zero."""
+def shingles(text: str, width: int = 5) -> np.ndarray:
+    """Hashes of the distinct shingles; a text of fewer words is one shingle. No word: none."""
     import xxhash
 
     words = text.encode("utf-8").lower().split()
-    counts = np.zeros(BITS, np.int64)
     if not words:
-        return np.zeros(WORDS, np.uint64)
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     ends = [e - 1 for e in accumulate(len(w) + 1 for w in words)]
     starts = [0, *(e + 1 for e in ends[:-1])]
     digest = xxhash.xxh64_intdigest
     spans = [(0, len(joined))] if len(words) <= width else zip(starts, ends[width - 1:])
-    hashes = np.array(list({digest(joined[a:b]) for a, b in spans}), np.uint64)
+    return np.array(list({digest(joined[a:b]) for a, b in spans}), np.uint64)
+
+
+def fingerprint(text: str, width: int = 5) -> np.ndarray:
+    """Four words; a bit is set if it is in over half of the distinct shingles' hashes. No word: all zero."""
+    hashes, counts = shingles(text, width), np.zeros(BITS, np.int64)
+    if not hashes.size:
+        return np.zeros(WORDS, np.uint64)
     for i in range(0, hashes.size, 1 << 13):
         h = hashes[i:i + (1 << 13), None] * SPREAD
         h ^= h >> np.uint64(29)
@@ -106,37 +116,37 @@ def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(key), *b.columns], names=["key", "node", *FIELDS])
 
 
-def spanning_links(fp: np.ndarray, node: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Links that join what is linked within one bucket: each step takes out all that the current one reaches."""
+def spanning_links(fp: np.ndarray, node: np.ndarray, most: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first of the group, node, nodes): links that join what is linked within one bucket, each group on its own; each
+    step takes out all that the current one reaches."""
     rest = np.arange(node.size)
     while rest.size > 1:
-        queue, rest = [rest[0]], rest[1:]
+        group, queue, rest = int(node[rest[0]]), [rest[0]], rest[1:]
         while queue and rest.size:
             x = queue.pop()
             near = np.bitwise_count(fp[rest] ^ fp[x]).sum(axis=1, dtype=np.int64) <= most
             found = rest[near]
             if found.size:
-                yield int(node[x]), node[found]
+                yield group, int(node[x]), node[found]
                 queue += found.tolist()
                 rest = rest[~near]
 
 
 def bucket_links(most: int):
-    """Links from rows sorted by key; holds one bucket and one batch at a time."""
+    """(a, b, key, group, larger) from rows sorted by key: links, where they were found, and whether their group may hold
+    others. Holds one bucket and one batch at a time."""
+    names = ["a", "b", "key", "grp", "larger"]
 
     def links(key, node, fp):
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[first, key.size])
-        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         two = first[size == 2]
-        ok = np.bitwise_count(fp[two] ^ fp[two + 1]).sum(axis=1, dtype=np.int64) <= most
-        a.append(node[two[ok]])
-        b.append(node[two[ok] + 1])
+        two = two[np.bitwise_count(fp[two] ^ fp[two + 1]).sum(axis=1, dtype=np.int64) <= most]
+        out = [(node[two], node[two + 1], key[two], node[two], np.zeros(two.size, bool))]
         for i, n in zip(first[size > 2], size[size > 2]):
-            for x, ys in spanning_links(fp[i:i + n], node[i:i + n], most):
-                a.append(np.full(ys.size, x))
-                b.append(ys)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+            for group, x, ys in spanning_links(fp[i:i + n], node[i:i + n], most):
+                out.append((np.full(ys.size, x), ys, np.full(ys.size, key[i]), np.full(ys.size, group), np.ones(ys.size, bool)))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, WORDS), np.uint64))
@@ -156,6 +166,51 @@ def bucket_links(most: int):
     return run
 
 
+def shingle_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(node, shingles): the distinct shingles' hashes of the first text of each given (node, place)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t.as_py(), width).view(np.int64) for t in b.column("text")]
+            ends = np.cumsum([0, *(s.size for s in sets)])
+            values = pa.array(np.concatenate([*sets, np.empty(0, np.int64)]))
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], names=["node", "shingles"])
+
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_of(text_col)).alias("h"), text_of(text_col).alias("text"))
+    at = nodes.select("node", F.col("place.doc_id").alias("p_id"), F.col("place.text_hash").alias("p_hash"))
+    src = src.join(at, F.col("id").eqNullSafe(F.col("p_id")) & (F.col("h") == F.col("p_hash"))).select("node", "text")
+    return src.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those (a, b) whose sets of shingles are at least that similar."""
+    a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
+    b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
+    both, of_a, of_b = F.size(F.array_intersect("of_a", "of_b")), F.size("of_a"), F.size("of_b")
+    return pairs.join(a, "a").join(b, "b").filter(F.least(of_a, of_b) >= similarity * F.greatest(of_a, of_b) - 1e-9) \
+        .filter(both >= similarity * (of_a + of_b - both) - 1e-9).select("a", "b")
+
+
+def _others(links: DataFrame, root: DataFrame, distinct: DataFrame, most: int) -> DataFrame:
+    """Candidates (a, b) between components of groups in which links were refused. The largest component of a group
+    is not compared with itself, so a large group of near copies never makes all its pairs."""
+    of_group = ["key", "grp"]
+    of = links.filter("larger")
+    of = of.select(*of_group, F.col("a").alias("node")).union(of.select(*of_group, "b")).distinct()
+    of = of.join(root.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select(*of_group, "node", F.coalesce("root", "node").alias("root"))
+    of = of.withColumn("same", F.count(F.lit(1)).over(Window.partitionBy(*of_group, "root")))
+    w = Window.partitionBy(*of_group)
+    of = of.select("*", F.min("root").over(w).alias("lo"), F.max("root").over(w).alias("hi"), F.max(F.struct("same", "root")).over(w).alias("largest"))
+    of = of.filter("lo <> hi").select(*of_group, "node", "root", (F.col("root") != F.col("largest.root")).alias("minor"))
+    of = written(of.join(distinct, "node"), "simlong-groups")
+    right = of.select(*[F.col(c).alias(f"o_{c}") for c in of.columns])
+    differing = sum(F.bit_count(F.col(f).bitwiseXOR(F.col(f"o_{f}"))) for f in FIELDS)
+    once = ~F.col("o_minor") | (F.col("node") < F.col("o_node"))
+    found = of.filter("minor").join(right, (F.col("key") == F.col("o_key")) & (F.col("grp") == F.col("o_grp")) & (F.col("root") != F.col("o_root"))
+                                    & once & (differing <= most))
+    return found.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct()
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each group of near copies, with the input's columns: that of the smallest id (null ids last), then of
     the least text hash; of rows that repeat both, any one.
@@ -167,10 +222,18 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     node = F.xxhash64(*FIELDS)
     distinct = prints.select(node.alias("node"), *FIELDS).distinct()
     rows = distinct.mapInArrow(keyed, f"key long, node long, {', '.join(f'{f} long' for f in FIELDS)}")
-    found = rows.repartition("key").sortWithinPartitions("key").mapInArrow(bucket_links(most_differing(similarity)), "a long, b long")
-    root = components(found)
+    most = most_differing(similarity, SIGMAS)
+    found = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(
+        bucket_links(most), "a long, b long, key long, grp long, larger boolean")
+    found = written(found, "simlong-links")
+    tried = written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simlong-tried")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     of = prints.select(node.alias("n"), place.alias("place")).groupBy("n").agg(F.min("place").alias("place"))
+    wanted = tried.select(F.col("a").alias("node")).union(tried.select("b")).distinct()
+    sets = written(shingle_sets(docs, wanted.join(of, F.col("node") == F.col("n")).select("node", "place"), id_col, text_col, width), "simlong-sets")
+    first = components(verified(tried, sets, similarity))
+    others = _others(found, first, distinct, most).join(tried, ["a", "b"], "left_anti")
+    root = components(verified(others, sets, similarity).union(first.toDF("a", "b")))
     of = of.join(root, F.col("n") == F.col("node"), "left").groupBy(F.coalesce("root", "n").alias("root")).agg(F.min("place").alias("k"))
     keep = of.select(F.col("k.doc_id").alias("k_id"), F.col("k.text_hash").alias("k_hash"))
     full = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_of(text_col)).alias("h"))
