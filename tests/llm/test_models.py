@@ -119,6 +119,29 @@ def test_quality_on_labelled_documents(spark):
     assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.15 * len(bad)
 
 
+@pytest.mark.parametrize("n, copies", [(1, 0), (2, 0), (5, 0), (1, 30)])
+def test_few_labels_of_a_language_reject_no_clean_documents(spark, n, copies):
+    """One language keeps 1, 2 or 5 good labels, or one text in many copies; the others keep theirs."""
+    from pyspark.sql import functions as F
+
+    sf = "/root/testdata/sf0.01"
+    labels, docs = spark.read.parquet(f"{sf}/labels.parquet"), spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    lang = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    rare = Counter(lang.values()).most_common()[-1][0]
+    all_labels = [(r["doc_id"], r["quality"], r["toxic"]) for r in labels.collect()]
+    clean = sorted(d for d, q, x in all_labels if q == 1 and x == 0 and lang.get(d) == rare)
+    assert len(clean) >= 30
+    some = [r for r in all_labels if lang.get(r[0]) != rare] + [(d, 1, 0) for d in clean[:n]]
+    if copies:
+        first = docs.filter(F.col("doc_id") == clean[0])
+        docs = docs.union(spark.range(copies).crossJoin(first).select((F.col("id") + 10**7).alias("doc_id"), "text", "lang"))
+        some += [(10**7 + i, 1, 0) for i in range(copies)]
+    got = {r["doc_id"]: r["kept"] for r in kneser.judged(docs, spark.createDataFrame(some, labels.select("doc_id", "quality", "toxic").schema)).collect()}
+    assert sum(got[d] for d in clean) >= 0.95 * len(clean)
+    bad = [got[d] for d, q, _ in all_labels if q == 0 and lang.get(d) not in (None, rare)]
+    assert sum(bad) <= 0.3 * len(bad)
+
+
 def test_targets_share_what_is_above_the_most(spark):
     sizes = {"a": 10, "b": 1000, "c": 500, None: 40, "d": 0}
     df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
