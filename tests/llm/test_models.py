@@ -142,6 +142,23 @@ def test_few_labels_of_a_language_reject_no_clean_documents(spark, n, copies):
     assert sum(bad) <= 0.3 * len(bad)
 
 
+def test_a_long_text_shuts_out_no_other(spark):
+    rows = [(i, f"text {i} " * (5000 if i % 10 == 0 else 10)) for i in range(100)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, 1, 0) for i in range(100)], "doc_id long, quality int, toxic int")
+    every = {r["text"][:8] for r in kneser.sample(docs, labels, 4000, 1 << 30, "doc_id", "text").collect()}
+    got = [r["text"] for r in kneser.sample(docs, labels, 4000, 20_000, "doc_id", "text").collect()]
+    assert len(every) > 50 and {t[:8] for t in got} == every
+    assert 19_900 <= sum(len(t.encode()) for t in got) <= 20_000
+
+
+def test_labels_without_text_are_reported(spark):
+    docs = spark.createDataFrame([(i, "" if i < 20 else "some text", "en") for i in range(40)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    with pytest.warns(UserWarning, match="none has text"):
+        rows = kneser.judged(docs, labels).collect()
+    assert len(rows) == 40 and all(r["kept"] and r["threshold"] is None for r in rows)
+
+
 def test_targets_share_what_is_above_the_most(spark):
     sizes = {"a": 10, "b": 1000, "c": 500, None: 40, "d": 0}
     df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
