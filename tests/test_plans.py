@@ -225,3 +225,23 @@ def test_lyrics(spark):
     s = lyric_sections(rows.withColumn("dur", F.lit(70000)), ["doc"], "time_ms", "dur")
     assert sorted((r.start_ms, r.end_ms, r.type) for r in s.collect()) == [
         (2000, 5000, "instrumental"), (5500, 10123, "vocal"), (9123, 59500, "instrumental"), (60000, 63000, "vocal"), (63000, 69000, "instrumental")]
+
+
+@pytest.mark.parametrize("name, module, attribute, asked", [
+    ("cp11_score_underrated", "touchline.plans.scores", "score_underrated", "trees"), ("cp11_score_improvement", "touchline.plans.scores", "score_improvement", "trees"),
+    ("ml03_train_value_models", "touchline.models.training", "train_value", "models"), ("ml04_train_improvement_models", "touchline.models.training", "train_improvement", "models")])
+def test_registered_queries_fit_the_default_models(spark, monkeypatch, name, module, attribute, asked):
+    import importlib
+
+    from touchline.catalog import QUERIES
+
+    class Called(Exception):
+        pass
+
+    def seen(*args, **options):
+        assert asked not in options
+        raise Called
+
+    monkeypatch.setattr(importlib.import_module(module), attribute, seen)
+    with pytest.raises(Called):
+        QUERIES[name](spark, "/root/testdata/sf0.001")

@@ -119,13 +119,13 @@ def _(t):
 @query("cp11_score_underrated")
 def _(t):
     f = gold(t, "value_model")
-    return scores.score_underrated(f, trees=20).select("rank", "PLAYER_ID", "salary", "predicted_salary", "undervaluation_ratio")
+    return scores.score_underrated(f).select("rank", "PLAYER_ID", "salary", "predicted_salary", "undervaluation_ratio")
 
 
 @query("cp11_score_improvement")
 def _(t):
     f = gold(t, "improvement_model")
-    return scores.score_improvement(f, trees=5).select("rank", "PLAYER_ID", "improvement_probability", "trajectory_bonus", "breakout_score", "predicted_improved")
+    return scores.score_improvement(f).select("rank", "PLAYER_ID", "improvement_probability", "trajectory_bonus", "breakout_score", "predicted_improved")
 
 
 # ------------------------------------------------------------------ silver
@@ -313,7 +313,7 @@ def _(t):
 @query("ml03_train_value_models")
 def _(t):
     f = gold(t, "value_model")
-    r = training.train_value(f, "1998-99", "1999-00", models=training.value_models(trees=5))
+    r = training.train_value(f, "1998-99", "1999-00")
     spark = f.sparkSession
     return spark.createDataFrame([(n, m["mae"], m["rmse"], m["r2"], n == r["best"]) for n, m in r["results"].items()],
                                  "model string, mae double, rmse double, r2 double, best boolean")
@@ -322,7 +322,7 @@ def _(t):
 @query("ml04_train_improvement_models")
 def _(t):
     f = gold(t, "improvement_model")
-    r = training.train_improvement(f, "1998-99", models=training.improvement_models(trees=5))
+    r = training.train_improvement(f, "1998-99")
     return f.sparkSession.createDataFrame([(n, m["accuracy"], m["f1"], m["auc"], n == r["best"]) for n, m in r["results"].items()],
                                           "model string, accuracy double, f1 double, auc double, best boolean")
 
