@@ -4,7 +4,7 @@ from __future__ import annotations
 import pytest
 
 import corpus_pipeline
-from touchline.llm import bpe, exact, kneser, lines, media, mix, ppm, secrets, simhash, simlong, tokens
+from touchline.llm import bpe, exact, kneser, lines, media, merkle, mix, ppm, secrets, simhash, simlong, token_files, tokens
 
 LONG = "Anst on the rend " * 12_000 + "\nlast line"
 TEXTS = [
@@ -33,10 +33,11 @@ def per_row(labels):
         "tokens": lambda d: tokens.count_tokens(d, tokens.production_path()), "simhash": simhash.classes, "lines": lines.dedup,
         "exact": exact.classes, "bpe": lambda d: bpe.round_trip(d, bpe.production_path()),
         "encode": lambda d: bpe.encode(d, bpe.production_path()), "ppm": lambda d: ppm.score(d, block_bytes=50_000), "secrets": secrets.scan,
-        "kneser": lambda d: kneser.judged(d, labels), "media": media.digests, "mix": mix.plan}
+        "kneser": lambda d: kneser.judged(d, labels), "media": media.digests, "mix": mix.plan,
+        "merkle": merkle.tampered_proofs, "token_files": lambda d: token_files.round_trip(d, token_files.production_path())}
 
 
-NAMES = ["tokens", "simhash", "lines", "exact", "bpe", "encode", "ppm", "secrets", "kneser", "media", "mix"]
+NAMES = ["tokens", "simhash", "lines", "exact", "bpe", "encode", "ppm", "secrets", "kneser", "media", "mix", "merkle", "token_files"]
 
 
 @pytest.mark.parametrize("name", NAMES)

@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import exact, mix, secrets
+from touchline.llm import exact, merkle, mix, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -88,3 +88,22 @@ def op9(spark, sf_dir):
 @query("op10_systematic_mix", mix.SQL)
 def op10(spark, sf_dir):
     return mix.plan(documents(spark, sf_dir)).drop("row_hash")
+
+
+@query("op11_whitening")
+def op11(spark, sf_dir):
+    from touchline.llm import whiten
+
+    return whiten.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query("op12_merkle_manifest", merkle.SQL)
+def op12(spark, sf_dir):
+    return merkle.tampered_proofs(documents(spark, sf_dir))
+
+
+@query("op13_rans_tokens")
+def op13(spark, sf_dir):
+    from touchline.llm import token_files
+
+    return token_files.round_trip(documents(spark, sf_dir), token_files.production_path())
