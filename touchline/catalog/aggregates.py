@@ -222,7 +222,7 @@ SELECT team_id, round(arg_max(v, b) - arg_min(v, b), 2) AS value, min(t0) AS fir
 def _(t):
     w = events(t).groupBy(F.col("event_type").alias("team_id"), (F.floor(F.col("t_ms") / 60000) * 60000).alias("window_start_ms")).agg(
         F.count_if(F.col("k") > 20).alias("n_sufficient"), F.avg("value").alias("mean_width_m")).withColumn("window_end_ms", F.col("window_start_ms") + 60000)
-    return analyst.team_shape_trend(w, {"as_of_ms": 1705500000000}, "width_m", 60).select("team_id", "value", "first_t", "last_t")
+    return analyst.team_shape_trend(w, {"as_of_ms": 1705500000000}, "width_m", 45).select("team_id", "value", "first_t", "last_t")
 
 
 @query("cp20_frames_page", f"WITH {FRAMES}, p AS (SELECT DISTINCT frame FROM fr WHERE frame >= 100 ORDER BY frame LIMIT 300) SELECT frame AS seq, count(*) AS n, min(ent) AS first_ent FROM fr JOIN p USING (frame) GROUP BY 1")

@@ -411,7 +411,7 @@ def _route_sql() -> str:
     hit = lambda rx: f"regexp_matches(l, {quote(rx)})"
     grab = lambda rx, i: f"TRY_CAST(nullif(regexp_extract(x, {quote('(?i)' + rx)}, {i}), '') AS INTEGER)"
     leads = ", ".join("'" + x + "'" for x in LEADS)
-    return f"""WITH q AS (SELECT conv_id, turn, ([{leads}])[CAST((conv_id + turn) % {len(LEADS)} AS INTEGER) + 1] || coalesce(text, '') AS t FROM conversations),
+    return rf"""WITH q AS (SELECT conv_id, turn, ([{leads}])[CAST((conv_id + turn) % {len(LEADS)} AS INTEGER) + 1] || coalesce(text, '') AS t FROM conversations),
  c AS (SELECT conv_id, turn, regexp_replace(regexp_replace(t, '[\x00-\x1f\x7f]', '', 'g'), '\p{{Zs}}', ' ', 'g') AS x FROM q),
  w AS (SELECT *, lower(x) AS l FROM c), m AS (SELECT *, {_case(q.TEAM_WORDS, 'l')} AS team, {_case(q.PLAYER_WORDS, 'l')} AS player FROM w),
  r AS (SELECT *, CASE WHEN {hit(q.QUALITY)} THEN 'quality_gaps' WHEN {hit(q.SIMILAR)} THEN 'similar_moments' WHEN {hit(q.PLAYERS)} OR (player IS NOT NULL AND team IS NULL) THEN 'top_players'
