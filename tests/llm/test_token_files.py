@@ -26,10 +26,20 @@ def ids_of(texts):
 def test_words_alone_give_the_librarys_ids(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()
     texts = [r["text"] or "" for r in rows] + ODD + [" ".join(ODD)]
+    texts += ["".join(map(chr, range(a, a + 64))) for a in range(0, 0x2100, 64)] + [f"Don't {chr(c)}we'LL{chr(c)}x{chr(c)}" for c in range(1, 0x2100)]
     words = token_files.WordEncoder(PATH)
+    assert words.merges is not None
     assert [np.frombuffer(words(t), words.kind).tolist() + [1] for t in texts] == ids_of(texts)
 
 
+def test_forgotten_words_are_encoded_again(monkeypatch):
+    monkeypatch.setattr(token_files, "REMEMBERED", 5)
+    texts = [" ".join(f"w{(i * j) % 23}é{'x' * (j % 90)}" for j in range(12)) for i in range(60)] + ODD
+    words = token_files.WordEncoder(PATH)
+    got = [np.frombuffer(b, words.kind).tolist() + [1] for a in range(0, len(texts), 7) for b in words.many(texts[a:a + 7])]
+    assert got == ids_of(texts)
+
+
 def test_rows_equal_the_library(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
@@ -57,7 +67,7 @@ def test_empty_tables_and_no_end_id(spark):
 def test_ids_come_back_from_many_blocks_and_files(spark, tmp_path):
     texts = [(i, f"row {i} " + "word next " * (i % 37)) for i in range(500)]
     tokens = written(token_files.encode(spark.createDataFrame(texts, "doc_id long, text string"), PATH), "t")
-    token_files.write(tokens, f"{tmp_path}/f", "<u2", 49408, block_ids=300, blocks_a_file=3)
+    token_files.write(tokens, f"{tmp_path}/f", "<u2", block_ids=300, blocks_a_file=3)
     assert len(glob.glob(f"{tmp_path}/f/blocks/part-*")) > 10
     got = {r["doc_id"]: r["ids"] for r in token_files.read(spark, f"{tmp_path}/f").collect()}
     assert [got[i] for i, _ in texts] == ids_of([t for _, t in texts])
@@ -65,7 +75,7 @@ def test_ids_come_back_from_many_blocks_and_files(spark, tmp_path):
 
 def test_damage_is_noticed(spark, tmp_path):
     tokens = written(token_files.encode(spark.createDataFrame([(i, "some words here " * 50) for i in range(20)], "doc_id long, text string"), PATH), "t")
-    table = token_files.write(tokens, f"{tmp_path}/f", "<u2", 49408)
+    table = token_files.write(tokens, f"{tmp_path}/f", "<u2")
     path = max(glob.glob(f"{tmp_path}/f/blocks/part-*"), key=lambda p: len(open(p, "rb").read()))
     data, codec = open(path, "rb").read(), rans.Codec(table)
     assert sum(len(b.doc_ids) for b in rans.read_blocks(data, codec)) > 0

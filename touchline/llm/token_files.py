@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from touchline.llm.rans import Codec, Table, pack_block, read_blocks, scaled, unpack_table
-from touchline.llm.tokens import load
+from touchline.llm.tokens import _L, _N, _S, ONLY_COMMON, byte_alphabet, load
 from touchline.llm.util import drop_written, join_small, shared_dir, text_of, written
 
 REMEMBERED, LONGEST = 400_000, 64        # words kept in a worker, and their length
@@ -27,77 +27,165 @@ BLOCK_IDS = 1 << 20
 BLOCKS_A_FILE = 16
 
 
+# fixed values: the parts of a vocabulary file whose words can be cut and lower-cased here
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PIECES = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+_LOWER = _L + "ɐ-ʯⱥⱦ"              # and the letters that some of them become in lower case
+CUT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LOWER}]+|[{_N}]|[^{_S}{_LOWER}{_N}]+")
+
+
 class WordEncoder:
-    """Ids of whole texts by remembered words; lives in one Python worker."""
+    """Ids of whole texts by remembered words; lives in one Python worker.
+
+    A word of common characters is lower-cased and cut here, and all pieces of many words go through the library's merges in
+    one call: a piece ends with the one token that has the end mark. Other words go through the whole library.
+    """
 
     def __init__(self, path: str):
+        import json
+
+        from tokenizers import Tokenizer, models, pre_tokenizers
+
         self.tok = load(path)
         self.kind = "<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4"
+        self.size = np.dtype(self.kind).itemsize
         self.known: dict[str, bytes] = {}
         # white space of str.split that the library would not drop: texts with it are encoded whole
         plain = self.tok.encode("a", add_special_tokens=False).ids
         odd = [c for c in map(chr, range(0x3001)) if c.isspace() and self.tok.encode(f"a{c}a", add_special_tokens=False).ids != plain * 2]
         self.odd = re.compile("[" + re.escape("".join(odd)) + "]") if odd else None
+        self.added = [a.content for a in self.tok.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, end = spec["model"], spec["model"].get("end_of_word_suffix")
+        alphabet = byte_alphabet()
+        simple = spec["normalizer"] == NORMALIZER and spec["pre_tokenizer"] == PIECES and end and model["type"] == "BPE" and not any(
+            model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+        self.merges = None
+        if simple and all(c in model["vocab"] and c + end in model["vocab"] for c in alphabet.values()):
+            pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+            self.merges = Tokenizer(models.BPE(vocab=model["vocab"], merges=pairs, end_of_word_suffix=end))
+            self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            self.last = np.zeros(max(model["vocab"].values()) + 1, dtype=bool)
+            self.last[[i for t, i in model["vocab"].items() if t.endswith(end)]] = True
+            self.letters = {b: c for b, c in alphabet.items() if b != 32}       # the blank parts the pieces
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
 
-    def __call__(self, text: str) -> bytes:
-        if self.odd and self.odd.search(text):
-            return self._encode([text])[0]
-        words, known = text.split(), self.known
-        new = [w for w in set(words) if w not in known]
+    def _simple(self, word: str) -> bool:
+        return ONLY_COMMON.fullmatch(word) is not None and not any(a in word for a in self.added)
+
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of each word."""
+        simple = [w for w in words if self._simple(w)] if self.merges else []
+        if len(simple) == len(words):
+            found = {}
+        else:
+            taken = set(simple)
+            rest = [w for w in words if w not in taken]
+            found = dict(zip(rest, self._encode(rest)))
+        if simple:
+            cut = [CUT.findall(w.lower()) for w in simple]
+            joined = " ".join([" ".join(c) for c in cut])
+            joined = joined.encode("utf-8").decode("latin-1").translate(self.letters)
+            ids = np.array(self.merges.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=np.int64)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            pieces = np.cumsum([len(c) for c in cut])
+            if len(ends) != pieces[-1]:
+                raise ValueError("a piece without exactly one end mark")
+            at = [0, *(np.concatenate([[0], ends])[pieces] * self.size).tolist()]
+            raw = ids.astype(self.kind).tobytes()
+            found.update((w, raw[a:b]) for w, a, b in zip(simple, at, at[1:]))
+        return found
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        split = [None if self.odd and self.odd.search(t) else t.split() for t in texts]
+        known = self.known
+        new = [w for w in set().union(*[w for w in split if w]) if w not in known]
+        own = {}
         if new:
+            found = self._words(new)
             if len(known) > REMEMBERED:
                 known.clear()
-                new = list(set(words))
-            found = dict(zip(new, self._encode(new)))
-            known.update((w, b) for w, b in found.items() if len(w) <= LONGEST)
-            if len(found) and max(map(len, found)) > LONGEST:
-                return b"".join([known[w] if w in known else found[w] for w in words])
-        return b"".join(map(known.__getitem__, words))
+                found |= self._words([w for w in set().union(*[w for w in split if w]) if w not in found])
+            own = {w: b for w, b in found.items() if len(w) > LONGEST}
+            known.update(found if not own else {w: b for w, b in found.items() if len(w) <= LONGEST})
+        get = known.__getitem__ if not own else lambda w: known[w] if w in known else own[w]
+        return [self._encode([t])[0] if w is None else b"".join(map(get, w)) for t, w in zip(texts, split)]
+
+    def __call__(self, text: str) -> bytes:
+        return self.many([text])[0]
+
+
+def _runs(texts: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
+    """Texts in runs of about ``most`` characters."""
+    run, held = [], 0
+    for t in texts:
+        run.append(t)
+        held += len(t)
+        if held >= most:
+            yield run
+            run, held = [], 0
+    if run:
+        yield run
 
 
 def encode(docs: DataFrame, path: str, end: int | None = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n and ids (little-endian, 16 bits where the vocabulary fits, else 32) of every row, ``end`` appended."""
+    """doc_id, n and ids (little-endian, 16 bits where the vocabulary fits, else 32) of every row, ``end`` appended.
+
+    Each task adds one row at its end: how often it met each id, in ``counts`` (64 bits an id), which is null in all others.
+    """
+    size = max(load(path).get_vocab_size(), (end or 0) + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         words = WordEncoder(path)
-        tail, size = np.array([] if end is None else [end], words.kind).tobytes(), np.dtype(words.kind).itemsize
+        tail, total = np.array([] if end is None else [end], words.kind).tobytes(), np.zeros(size, dtype=np.int64)
+        names = ["doc_id", "n", "ids", "counts"]
         for b in batches:
-            found = [words(t) + tail for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) // size for x in found], pa.int64()), pa.array(found, pa.binary())],
-                                             names=["doc_id", "n", "ids"])
+            at = 0
+            for texts in _runs(b.column("text").to_pylist()):
+                found = [x + tail for x in words.many(texts)]
+                total += np.bincount(np.frombuffer(b"".join(found), words.kind), minlength=size)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, len(texts)), pa.array([len(x) // words.size for x in found], pa.int64()),
+                                                  pa.array(found, pa.binary()), pa.nulls(len(texts), pa.binary())], names=names)
+                at += len(texts)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()),
+                                          pa.array([total.astype("<i8").tobytes()], pa.binary())], names=names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, "doc_id long, n long, ids binary")
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    return src.mapInArrow(run, "doc_id long, n long, ids binary, counts binary")
 
 
-def count_ids(tokens: DataFrame, kind: str, size: int) -> np.ndarray:
-    """How often each id occurs; at most the vocabulary comes to the driver."""
+def count_ids(tokens: DataFrame) -> np.ndarray:
+    """How often each id occurs, from the tasks' own counts; at most the vocabulary comes to the driver."""
 
     def run(batches):
-        total = np.zeros(size, dtype=np.int64)
         for b in batches:
-            total += np.bincount(np.frombuffer(b"".join(b.column("ids").to_pylist()), kind), minlength=size)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["id", "c"])
-
-    counts = np.zeros(size, dtype=np.int64)
-    for r in tokens.select("ids").mapInArrow(run, "id int, c long").groupBy("id").agg(F.sum("c").alias("c")).collect():
+            for c in b.column("counts"):
+                total = np.frombuffer(c.as_py(), "<i8")
+                at = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["id", "c"])
+
+    found = tokens.filter("counts is not null").select("counts").mapInArrow(run, "id int, c long").groupBy("id").agg(F.sum("c").alias("c")).collect()
+    counts = np.zeros(max([r["id"] for r in found], default=0) + 1, dtype=np.int64)
+    for r in found:
         counts[r["id"]] = r["c"]
     return counts
 
 
-def write(tokens: DataFrame, folder: str, kind: str, size: int, block_ids: int = BLOCK_IDS, blocks_a_file: int = BLOCKS_A_FILE) -> Table | None:
+def write(tokens: DataFrame, folder: str, kind: str, block_ids: int = BLOCK_IDS, blocks_a_file: int = BLOCKS_A_FILE) -> Table | None:
     """Files of a written table of ``encode``, in ascending doc_id order (nulls first; equal ids by ids and then place).
 
     ``folder``/table holds the frequencies, ``folder``/blocks the blocks. None, and no table, if there are no ids.
     """
     spark = tokens.sparkSession
-    counts = count_ids(tokens, kind, size)
+    counts = count_ids(tokens)
     if not counts.any():
         return None
     table = scaled(counts)
@@ -129,7 +217,7 @@ def write(tokens: DataFrame, folder: str, kind: str, size: int, block_ids: int =
             yield block()
 
     keys = ["doc_id", "n", "_sum", "_tie"]       # the last spreads rows that repeat altogether
-    ordered = (tokens.withColumn("_sum", F.xxhash64("ids")).withColumn("_tie", F.monotonically_increasing_id())
+    ordered = (tokens.filter("counts is null").drop("counts").withColumn("_sum", F.xxhash64("ids")).withColumn("_tie", F.monotonically_increasing_id())
                .repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "ids"))
     binary(ordered.mapInArrow(run, "record binary")).option("maxRecordsPerFile", blocks_a_file).text(f"{folder}/blocks")
     return table
@@ -187,14 +275,12 @@ def round_trip(docs: DataFrame, path: str, end: int | None = 1, id_col: str = "d
     table gives an empty result and no files.
     """
     spark = docs.sparkSession
-    tok = load(path)
-    size = tok.get_vocab_size()
-    kind = "<u2" if size <= 1 << 16 else "<u4"
+    kind = "<u2" if load(path).get_vocab_size() <= 1 << 16 else "<u4"
     folder = f"{shared_dir(spark)}/llm-{spark.sparkContext.applicationId}/token-files-{uuid.uuid4().hex}"
     tokens = written(encode(docs, path, end, id_col, text_col), "token-ids")
-    table = write(tokens, folder, kind, max(size, (end or 0) + 1))
+    table = write(tokens, folder, kind)
     if table is None:
-        out = tokens.select("doc_id", F.lit(0).cast("long").alias("start"), F.col("n").alias("n_tokens"), F.lit(0).cast("long").alias("ids_crc32"))
+        out = tokens.filter("counts is null").select("doc_id", F.lit(0).cast("long").alias("start"), F.col("n").alias("n_tokens"), F.lit(0).cast("long").alias("ids_crc32"))
         return out                                           # no ids at all: every document is empty
     drop_written(tokens)
     back = written(read(spark, folder, digests_only=True), "token-rows")
