@@ -8,8 +8,8 @@ is counted exactly. The bits are put
 around the ring in four orders, so that chances of a start do not hang together. A pair is looked for where four
 segments in a row agree, from any of 16 starts of each ring; then all bits are compared, however many fingerprints meet
 there. What four agreeing segments miss is measured, not guessed: see ``tests/llm`` and
-the README. Within a bucket only links that span it are tried first; where one of them is refused, all other candidates
-between components are tried too, so that no refused link hides another. Only wide windows keep buckets small as the corpus grows: ``head`` is a parameter.
+the README. Within a bucket only links that span it are tried first; where one of them is refused, every pair of the
+bucket's components that can be similar is looked for by a prefix filter on the sets, so that no refused link hides another. Only wide windows keep buckets small as the corpus grows: ``head`` is a parameter.
 """
 from __future__ import annotations
 
@@ -19,11 +19,11 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm.components import components
-from touchline.llm.util import text_of, written
+from touchline.llm.util import drop_written, text_of, written
 
 WORDS = 4
 BITS = 64 * WORDS
@@ -191,32 +191,64 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
         .filter(both >= similarity * (of_a + of_b - both) - 1e-9).select("a", "b")
 
 
-def _others(links: DataFrame, root: DataFrame, distinct: DataFrame, most: int) -> DataFrame:
-    """Candidates (a, b) between components of groups in which links were refused. The largest component of a group
-    is not compared with itself, so a large group of near copies never makes all its pairs."""
+def _refused(links: DataFrame, root: DataFrame) -> DataFrame:
+    """(node, root) of the members of groups that their verified links do not hold together."""
     of_group = ["key", "grp"]
     of = links.filter("larger")
     of = of.select(*of_group, F.col("a").alias("node")).union(of.select(*of_group, "b")).distinct()
     of = of.join(root.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select(*of_group, "node", F.coalesce("root", "node").alias("root"))
-    of = of.withColumn("same", F.count(F.lit(1)).over(Window.partitionBy(*of_group, "root")))
-    w = Window.partitionBy(*of_group)
-    of = of.select("*", F.min("root").over(w).alias("lo"), F.max("root").over(w).alias("hi"), F.max(F.struct("same", "root")).over(w).alias("largest"))
-    of = of.filter("lo <> hi").select(*of_group, "node", "root", (F.col("root") != F.col("largest.root")).alias("minor"))
-    of = written(of.join(distinct, "node"), "simlong-groups")
-    right = of.select(*[F.col(c).alias(f"o_{c}") for c in of.columns])
-    differing = sum(F.bit_count(F.col(f).bitwiseXOR(F.col(f"o_{f}"))) for f in FIELDS)
+    apart = of.groupBy(*of_group).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select(*of_group)
+    return of.join(apart, of_group).select("node", "root").distinct()
+
+
+def _overlap(n: str, least: str, similarity: float) -> str:
+    """Shingles that a set of ``n`` must share with one of at least ``least`` to be that similar."""
+    return f"cast(ceil(({n} + {least}) * {similarity / (1 + similarity)!r}D - 1e-9D) as int)"
+
+
+def _across(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (a, b) of different components among (node, root) that may be similar: a prefix filter on the exact sets.
+
+    Shingles are put in order, the rarest first. Of two sets that must share o shingles, each has one of them among its
+    first n - o + 1, so those are enough to meet on. How many that are depends on both sizes; sizes are put in classes, and
+    a set is filed for each class that a partner can have. Texts that share a common passage but are otherwise their own
+    meet on nothing. The largest component under a shingle is not compared with itself.
+    """
+    step = similarity ** -0.5                      # a partner's class is at most two away
+    members = sets.join(nodes, "node").withColumn("n", F.size("shingles")).filter("n > 0")
+    rows = members.select("node", F.explode("shingles").alias("s"))
+    often = rows.groupBy("s").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    # a shingle of one set only comes first in it, and no one else looks for it: it only takes up places
+    shared = rows.join(often, "s").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("of"))
+    members = members.select("node", "root", "n").join(shared, "node").withColumn("alone", F.expr("n - size(of)"))
+    members = members.withColumn("cls", F.expr(f"cast(floor(ln(n) / {math.log(step)!r}D + 1e-9D) as int)"))
+    filed = members.select("*", F.explode(F.expr("sequence(cls - 2, cls + 2)")).alias("other"))
+    least = f"greatest(cast(ceil(pow({step!r}D, other) - 1e-6D) as int), cast(ceil(n * {similarity!r}D - 1e-9D) as int), 1)"
+    filed = filed.withColumn("first", F.expr(f"n - {_overlap('n', least, similarity)} + 1 - alone")).filter("first > 0")
+    key = ["s", "lo", "hi"]
+    filed = filed.select("node", "root", "n", "cls", F.least("cls", "other").alias("lo"), F.greatest("cls", "other").alias("hi"),
+                         F.explode(F.expr("slice(of, 1, first)")).alias("x"))
+    filed = filed.select("node", "root", "n", "cls", "lo", "hi", F.col("x.s").alias("s"))
+    per_root = filed.groupBy(*key, "root").agg(F.count(F.lit(1)).alias("rows"))
+    largest = per_root.groupBy(*key).agg(F.max(F.struct("rows", "root")).alias("m"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+    filed = filed.join(largest.select(*key, F.col("m.root").alias("largest")), key).select("*", (F.col("root") != F.col("largest")).alias("minor")).drop("largest")
+    filed = written(filed, "simlong-filed")
+    right = filed.select(*key, *[F.col(c).alias(f"o_{c}") for c in ("node", "root", "n", "cls", "minor")])
     once = ~F.col("o_minor") | (F.col("node") < F.col("o_node"))
-    found = of.filter("minor").join(right, (F.col("key") == F.col("o_key")) & (F.col("grp") == F.col("o_grp")) & (F.col("root") != F.col("o_root"))
-                                    & once & (differing <= most))
-    return found.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct()
+    alike = F.expr(f"least(n, o_n) >= {similarity!r}D * greatest(n, o_n) - 1e-9D")
+    found = filed.filter("minor").join(right, key).filter((F.col("root") != F.col("o_root")) & once & alike
+                                                          & ((F.col("lo") == F.col("hi")) | (F.col("cls") != F.col("o_cls"))))
+    out = written(found.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct(), "simlong-across")
+    drop_written(filed)
+    return out
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each group of near copies, with the input's columns: that of the smallest id (null ids last), then of
     the least text hash; of rows that repeat both, any one.
 
-    Null and empty texts, and texts without a word, are one group. Texts of fewer than ``width`` words are one shingle.
-    Extra columns of any name are carried along. An empty table gives an empty result.
+    Null and empty texts, and texts without a word, are one group. Texts of fewer than ``width`` words are one shingle; of
+    very long ones every shingle counts. Extra columns of any name are carried along. An empty table gives an empty result.
     """
     prints = written(fingerprints(docs, id_col, text_col, width), "simlong")
     node = F.xxhash64(*FIELDS)
@@ -232,8 +264,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     wanted = tried.select(F.col("a").alias("node")).union(tried.select("b")).distinct()
     sets = written(shingle_sets(docs, wanted.join(of, F.col("node") == F.col("n")).select("node", "place"), id_col, text_col, width), "simlong-sets")
     first = components(verified(tried, sets, similarity))
-    others = _others(found, first, distinct, most).join(tried, ["a", "b"], "left_anti")
-    root = components(verified(others, sets, similarity).union(first.toDF("a", "b")))
+    others = _across(_refused(found, first), sets, similarity)
+    root = components(verified(others.join(tried, ["a", "b"], "left_anti"), sets, similarity).union(first.toDF("a", "b")))
+    for done in (found, tried, sets, first, others):
+        drop_written(done)
     of = of.join(root, F.col("n") == F.col("node"), "left").groupBy(F.coalesce("root", "n").alias("root")).agg(F.min("place").alias("k"))
     keep = of.select(F.col("k.doc_id").alias("k_id"), F.col("k.text_hash").alias("k_hash"))
     full = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_of(text_col)).alias("h"))
