@@ -1,7 +1,7 @@
 """Documents as files of token ids, in the order of their ids, and those files read back (format: ``rans``).
 
 Texts are cut at white space, which the vocabulary's library drops, and a word's ids are remembered; what the library says
-about a word alone is what it says inside a text. Ids are counted once over the whole table, the scaled counts are shared by
+about a word alone is what it says inside a text. Ids are counted while texts are encoded, the scaled counts are shared by
 all blocks, and rows are dealt out by ranges of the order, so that the files of one task hold consecutive documents. A
 document's place among all ids is its place in the task's files plus the ids of the tasks before.
 """
@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ from touchline.llm.rans import Codec, Table, pack_block, read_blocks, scaled, un
 from touchline.llm.tokens import _L, _N, _S, ONLY_COMMON, byte_alphabet, load
 from touchline.llm.util import drop_written, join_small, shared_dir, text_of, written
 
-REMEMBERED, LONGEST = 400_000, 64        # words kept in a worker, and their length
+REMEMBERED, HELD_BYTES = 3_000_000, 1 << 27        # words kept in a worker, and what they and their ids take
 BLOCK_IDS = 1 << 20
 BLOCKS_A_FILE = 16
 
@@ -39,8 +40,9 @@ CUT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LOWER}]+|[{_N}]|[^{_S}{_LOWER}{_N
 class WordEncoder:
     """Ids of whole texts by remembered words; lives in one Python worker.
 
-    A word of common characters is lower-cased and cut here, and all pieces of many words go through the library's merges in
-    one call: a piece ends with the one token that has the end mark. Other words go through the whole library.
+    Words are told apart and numbered by Arrow, column-wise; only those not met before are looked at one by one. A word of
+    common characters is lower-cased and cut here, and all pieces of many words go through the library's merges in one
+    call: a piece ends with the one token that has the end mark. Other words go through the whole library.
     """
 
     def __init__(self, path: str):
@@ -50,12 +52,13 @@ class WordEncoder:
 
         self.tok = load(path)
         self.kind = "<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4"
-        self.size = np.dtype(self.kind).itemsize
-        self.known: dict[str, bytes] = {}
-        # white space of str.split that the library would not drop: texts with it are encoded whole
-        plain = self.tok.encode("a", add_special_tokens=False).ids
-        odd = [c for c in map(chr, range(0x3001)) if c.isspace() and self.tok.encode(f"a{c}a", add_special_tokens=False).ids != plain * 2]
-        self.odd = re.compile("[" + re.escape("".join(odd)) + "]") if odd else None
+        self.tok_size = np.dtype(self.kind).itemsize
+        self._forget()
+        # characters that Arrow cuts words at and the library would not drop: texts with them are encoded whole
+        plain, every = self.tok.encode("a", add_special_tokens=False).ids, [chr(c) for c in range(0x3001)]
+        apart = pc.list_value_length(pc.utf8_split_whitespace(pa.array([f"a{c}a" for c in every]))).to_pylist()
+        odd = [c for c, n in zip(every, apart) if n == 2 and self.tok.encode(f"a{c}a", add_special_tokens=False).ids != plain * 2]
+        self.odd = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in odd) + "]" if odd else None
         self.added = [a.content for a in self.tok.get_added_tokens_decoder().values()]
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -66,71 +69,91 @@ class WordEncoder:
         self.merges = None
         if simple and all(c in model["vocab"] and c + end in model["vocab"] for c in alphabet.values()):
             pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-            self.merges = Tokenizer(models.BPE(vocab=model["vocab"], merges=pairs, end_of_word_suffix=end))
+            self.merges = Tokenizer(models.BPE(vocab=model["vocab"], merges=pairs, end_of_word_suffix=end, cache_capacity=0))
             self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
             self.last = np.zeros(max(model["vocab"].values()) + 1, dtype=bool)
             self.last[[i for t, i in model["vocab"].items() if t.endswith(end)]] = True
-            self.letters = {b: c for b, c in alphabet.items() if b != 32}       # the blank parts the pieces
+            self.letters = {b: c for b, c in alphabet.items() if b not in (10, 32)}       # these part words and pieces
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+    def _forget(self) -> None:
+        self.known = pa.array([], pa.string())                       # the words by number
+        self.ids = pa.array([], pa.large_binary())                   # and their ids
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.tok.encode_batch(texts, add_special_tokens=False)]
 
     def _simple(self, word: str) -> bool:
         return ONLY_COMMON.fullmatch(word) is not None and not any(a in word for a in self.added)
 
-    def _words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of each word."""
-        simple = [w for w in words if self._simple(w)] if self.merges else []
-        if len(simple) == len(words):
-            found = {}
-        else:
-            taken = set(simple)
-            rest = [w for w in words if w not in taken]
-            found = dict(zip(rest, self._encode(rest)))
-        if simple:
-            cut = [CUT.findall(w.lower()) for w in simple]
-            joined = " ".join([" ".join(c) for c in cut])
+    def _learn(self, words: list[str]) -> None:
+        """Number the words and keep their ids."""
+        rest = words if not self.merges else [] if self._simple("".join(words)) else [w for w in words if not self._simple(w)]
+        if rest:
+            found = self._encode(rest)
+            self._add(rest, np.concatenate(found), np.concatenate([[0], np.cumsum([len(x) for x in found])]))
+            taken = set(rest)
+            words = [w for w in words if w not in taken]
+        if words:
+            # one piece a blank, one word a line
+            joined = CUT.sub(r"\g<0> ", "\n".join(words).lower())
+            counts = [0, *(line.count(" ") for line in joined.split("\n"))]
             joined = joined.encode("utf-8").decode("latin-1").translate(self.letters)
-            ids = np.array(self.merges.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=np.int64)
-            ends = np.flatnonzero(self.last[ids]) + 1
-            pieces = np.cumsum([len(c) for c in cut])
-            if len(ends) != pieces[-1]:
+            ids = np.array(self.merges.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=self.kind)
+            ends = np.concatenate([[0], np.flatnonzero(self.last[ids]) + 1])
+            pieces = np.cumsum(counts)
+            if len(pieces) != len(words) + 1 or len(ends) != pieces[-1] + 1:
                 raise ValueError("a piece without exactly one end mark")
-            at = [0, *(np.concatenate([[0], ends])[pieces] * self.size).tolist()]
-            raw = ids.astype(self.kind).tobytes()
-            found.update((w, raw[a:b]) for w, a, b in zip(simple, at, at[1:]))
-        return found
-
-    def many(self, texts: list[str]) -> list[bytes]:
-        split = [None if self.odd and self.odd.search(t) else t.split() for t in texts]
-        known = self.known
-        new = [w for w in set().union(*[w for w in split if w]) if w not in known]
-        own = {}
-        if new:
-            found = self._words(new)
-            if len(known) > REMEMBERED:
-                known.clear()
-                found |= self._words([w for w in set().union(*[w for w in split if w]) if w not in found])
-            own = {w: b for w, b in found.items() if len(w) > LONGEST}
-            known.update(found if not own else {w: b for w, b in found.items() if len(w) <= LONGEST})
-        get = known.__getitem__ if not own else lambda w: known[w] if w in known else own[w]
-        return [self._encode([t])[0] if w is None else b"".join(map(get, w)) for t, w in zip(texts, split)]
-
-    def __call__(self, text: str) -> bytes:
-        return self.many([text])[0]
-
-
-def _runs(texts: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
-    """Texts in runs of about ``most`` characters."""
-    run, held = [], 0
-    for t in texts:
-        run.append(t)
-        held += len(t)
-        if held >= most:
-            yield run
-            run, held = [], 0
-    if run:
-        yield run
+            self._add(words, ids, ends[pieces])
+
+    def _add(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        packed = pa.Array.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(ends.astype(np.int64) * self.tok_size), pa.py_buffer(ids)])
+        self.known, self.ids = pa.concat_arrays([self.known, pa.array(words, pa.string())]), pa.concat_arrays([self.ids, packed])
+
+    def many(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text of a string array without nulls."""
+        whole = np.flatnonzero(pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)) if self.odd else []
+        split = pc.utf8_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        if len(self.known) + len(coded.dictionary) > REMEMBERED or self.known.nbytes + self.ids.nbytes > HELD_BYTES:
+            self._forget()
+        number = pc.index_in(coded.dictionary, self.known)
+        if number.null_count:
+            missing, first = pc.is_null(number), len(self.known)
+            new = coded.dictionary.filter(missing)
+            self._learn(new.to_pylist())
+            number = pc.replace_with_mask(number, missing, pc.add(pc.index_in(new, self.known.slice(first)), pa.scalar(first, pa.int32())))
+        found = self.ids.take(number.take(coded.indices))
+        ids = np.frombuffer(found.buffers()[2] or b"", self.kind)
+        ends = np.frombuffer(found.buffers()[1], np.int64, len(found) + 1) // self.tok_size
+        cuts = ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        out = [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+        for i in whole:
+            out[i] = self._encode([texts[int(i)].as_py()])[0]
+        return out
+
+    def __call__(self, text: str) -> np.ndarray:
+        return self.many(pa.array([text]))[0]
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """The worker's encoder for a vocabulary: a worker that is used again still knows its words."""
+    if path not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
+def _runs(texts: pa.Array, most: int = 1 << 25) -> Iterator[tuple[int, pa.Array]]:
+    """(place, texts): slices of about ``most`` bytes."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    a = 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most)))
+        yield a, texts.slice(a, b - a)
+        a = b
 
 
 def encode(docs: DataFrame, path: str, end: int | None = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -144,17 +167,19 @@ def encode(docs: DataFrame, path: str, end: int | None = 1, id_col: str = "doc_i
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words = WordEncoder(path)
-        tail, total = np.array([] if end is None else [end], words.kind).tobytes(), np.zeros(size, dtype=np.int64)
+        words = encoder(path)
+        tail, total = np.array([] if end is None else [end], words.kind), np.zeros(size, dtype=np.int64)
         names = ["doc_id", "n", "ids", "counts"]
         for b in batches:
-            at = 0
-            for texts in _runs(b.column("text").to_pylist()):
-                found = [x + tail for x in words.many(texts)]
-                total += np.bincount(np.frombuffer(b"".join(found), words.kind), minlength=size)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, len(texts)), pa.array([len(x) // words.size for x in found], pa.int64()),
-                                                  pa.array(found, pa.binary()), pa.nulls(len(texts), pa.binary())], names=names)
-                at += len(texts)
+            for at, texts in _runs(b.column("text")):
+                found = words.many(texts)
+                length = np.array([len(x) for x in found], np.int64) + len(tail)
+                flat = np.concatenate([x for ids in found for x in (ids, tail)])
+                total += np.bincount(flat, minlength=size)
+                ends = np.concatenate([[0], np.cumsum(length * words.tok_size)])
+                packed = pa.Array.from_buffers(pa.large_binary(), len(found), [None, pa.py_buffer(ends), pa.py_buffer(flat)])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, len(texts)), pa.array(length), packed.cast(pa.binary()),
+                                                  pa.nulls(len(texts), pa.binary())], names=names)
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()),
                                           pa.array([total.astype("<i8").tobytes()], pa.binary())], names=names)
 
