@@ -5,6 +5,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from touchline.operators import changes, moments, sections, vectors
 
@@ -27,7 +28,7 @@ def test_knn_join_is_exact(spark, copies):
         c[::3] = c[0]
     q = np.concatenate([c[5:40:7], rng.normal(0, 10, (5, 8))])
     mk = lambda a, n: spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(a)], f"{n} bigint, vec array<double>")
-    got = vectors.knn_join(mk(q, "qid"), mk(c, "cid"), 7, pivots=12, block_rows=20, query_rows=4).collect()
+    got = vectors.knn_join(mk(q, "qid"), mk(c, "cid"), 7, cells=5, leaf=10, block_rows=20, query_rows=4).collect()
     want = brute(q, c, 7)
     for i in want:
         rows = sorted((r for r in got if r.qid == i), key=lambda r: r["rank"])
@@ -37,10 +38,70 @@ def test_knn_join_is_exact(spark, copies):
 
 def test_knn_join_fewer_rows_than_k_and_empty(spark):
     mk = lambda a, n: spark.createDataFrame(a, f"{n} bigint, vec array<double>")
-    assert vectors.knn_join(mk([(1, [0.0])], "qid"), mk([(1, [1.0]), (2, [3.0])], "cid"), 5, pivots=2).count() == 2
+    assert vectors.knn_join(mk([(1, [0.0])], "qid"), mk([(1, [1.0]), (2, [3.0])], "cid"), 5, cells=2, leaf=1).count() == 2
     assert vectors.knn_join(mk([(1, [0.0])], "qid"), mk([], "cid"), 5).count() == 0
 
 
+def _clusters(spark, many=40, each=60):
+    rng = np.random.default_rng(8)
+    c = np.concatenate([m + rng.normal(0, 0.2, (each, 6)) for m in rng.normal(0, 30, (many, 6))])
+    q = c[::37] + rng.normal(0, 0.05, (len(c[::37]), 6))
+    mk = lambda a, n: spark.createDataFrame([("g", i, [float(x) for x in v]) for i, v in enumerate(a)], f"g string, {n} bigint, vec array<double>")
+    return q, c, mk(q, "qid"), mk(c, "cid")
+
+
+def test_a_query_reaches_only_what_its_bound_allows(spark):
+    """On clusters nearly all blocks are ruled out, and no block's vectors are sent more than once for one search."""
+    from touchline.operators import balls
+
+    q, c, queries, corpus = _clusters(spark)
+    index = balls.build(corpus, 5, cells=12, leaf=20, block_rows=30)
+    assert index.points.count() == len(c) and index.blocks.agg({"n": "sum"}).first()[0] == len(c)
+    blocks = index.blocks.count()
+    assert blocks >= 80 and index.blocks.agg({"n": "max"}).first()[0] <= 30
+    allowed = balls.routes(index, queries, 5).count()
+    one, rest = balls.rounds(index, queries, 5)
+    assert allowed <= 0.25 * blocks * len(q) and rest.count() <= 0.03 * blocks * len(q)
+    assert one.groupBy("qid").count().agg({"count": "max"}).first()[0] == 5
+    held, streamed = balls._sliced(index.points, queries.withColumns({"cell": F.lit(0), "sub": F.lit(1), "part": F.lit("0-0")}), balls.BLOCK, 20_000)
+    assert held.count() <= 30
+    want = brute(q, c, 5)
+    got = balls.nearest(index, queries, 5).collect()
+    assert {(r.qid, r["rank"], r.cid) for r in got} == {(i, n + 1, j) for i in want for n, (j, _) in enumerate(want[i])}
+
+
+def test_plan_has_no_cross_join_and_no_copies(spark):
+    from touchline.operators import balls
+
+    _, _, queries, corpus = _clusters(spark, 6, 30)
+    plan = vectors.knn_join(queries, corpus, 3, by="g", cells=4, leaf=10)._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    with pytest.raises(ValueError, match="fewer than"):
+        balls.nearest(balls.build(corpus, 2), queries, 3)
+
+
+def test_copies_cost_one_vector(spark):
+    """A third of all rows are one vector: it is kept once, with the smallest ids, and ties go by id."""
+    from touchline.operators import balls
+
+    rows = [("g", i, [0.0, 1.0] if i % 3 == 0 else [float(i), 2.0]) for i in range(900)]
+    corpus = spark.createDataFrame(rows, "g string, cid bigint, vec array<double>")
+    index = balls.build(corpus, 4, leaf=50, block_rows=60)
+    assert index.points.count() == 601
+    got = balls.nearest(index, spark.createDataFrame([(2**62 + 1, "g", [0.0, 1.0]), (2, "h", [0.0, 1.0])], "qid bigint, g string, vec array<double>"), 4).collect()
+    assert [(r.qid, r.cid, r.distance) for r in sorted(got, key=lambda r: r["rank"])] == [(2**62 + 1, c, 0.0) for c in (0, 3, 6, 9)]
+
+
+def test_bounds_hold_where_rounding_is_large():
+    from touchline.operators import balls
+
+    rng = np.random.default_rng(2)
+    v = rng.normal(1e6, 1e-3, (40, 16))
+    low, far = balls.gaps(v, v[:10])
+    exact = np.sqrt(((v[:, None] - v[None, :10]) ** 2).sum(-1))
+    assert (low <= exact).all() and (exact <= far).all()
+
+
 def test_suppression_and_pool_bound(spark):
     rng = np.random.default_rng(1)
     cand = [(q, i, int(i // 200), (i % 200) * 2, float(rng.random())) for q in range(3) for i in range(400)]

@@ -105,7 +105,7 @@ def _(t):
 @query("ve02_knn_join_in_group", f"WITH {VEC}, d AS (SELECT a.vec_id AS qid, b.vec_id AS cid, {KNN} AS d2 FROM v a JOIN v b ON a.label = b.label), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d2, cid) AS rank FROM d) SELECT qid, cid, rank, round(sqrt(d2), 9) AS distance FROM r WHERE rank <= 3")
 def _(t):
     e = t("embeddings")
-    d = vectors.knn_join(e.select(F.col("vec_id").alias("qid"), "label", F.col("embedding").alias("vec")), e.select(F.col("vec_id").alias("cid"), "label", F.col("embedding").alias("vec")), 3, by="label", pivots=8, block_rows=16)
+    d = vectors.knn_join(e.select(F.col("vec_id").alias("qid"), "label", F.col("embedding").alias("vec")), e.select(F.col("vec_id").alias("cid"), "label", F.col("embedding").alias("vec")), 3, by="label", cells=4, leaf=16, block_rows=32)
     return d.select("qid", "cid", "rank", F.round("distance", 9).alias("distance"))
 
 

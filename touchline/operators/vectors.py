@@ -1,21 +1,14 @@
-"""Vector search: cosine top-k, exact blocked k-nearest-neighbour join, rerank, suppression."""
+"""Vector search: cosine top-k, exact k-nearest-neighbour join, rerank, suppression."""
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from touchline.functions import music
-from touchline.operators import ordered
-from touchline.session import materialize
-
-BLOCK_ROWS = 4096        # corpus vectors searched together in one task
-QUERY_ROWS = 20000       # query vectors sent to one block together
-PIVOTS = 32
+from touchline.operators import balls
 
 
 def literal_vector(values: Sequence[float]) -> Column:
@@ -37,109 +30,21 @@ def vector_topk(df: DataFrame, query: Sequence[float], col: str, k: int = 5, min
     return df.withColumn("score", score).filter(F.col("score") >= min_score).orderBy(F.desc("score"), F.asc(key)).limit(k)
 
 
-def _local_topk(k: int):
-    """Per block: k nearest corpus rows for every query, by matrix products on slices of the queries."""
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"qid": [], "cid": [], "d2": []}).astype({"qid": "int64", "cid": "int64", "d2": "float64"})
-        c = np.asarray(right["vec"].tolist(), dtype=np.float64)
-        ids = right["cid"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        c, ids = c[order], ids[order]
-        take = min(k, len(ids))
-        cc = (c * c).sum(1)
-        out = []
-        for i in range(0, len(left), 512):
-            part = left.iloc[i:i + 512]
-            q = np.asarray(part["vec"].tolist(), dtype=np.float64)
-            qq = (q * q).sum(1)
-            rough = qq[:, None] + cc[None, :] - 2.0 * q @ c.T
-            # everything within rounding of the k-th rough distance is measured again, copies included
-            limit = np.partition(rough, take - 1, axis=1)[:, take - 1] + 1e-9 * (qq + cc.max()) + 1e-12
-            for n, qid in enumerate(part["qid"].to_numpy()):
-                near = np.flatnonzero(rough[n] <= limit[n])
-                d2 = ((c[near] - q[n]) ** 2).sum(1)
-                best = np.lexsort((ids[near], d2))[:take]
-                out.append((np.full(len(best), qid), ids[near[best]], d2[best]))
-        qid, cid, d2 = (np.concatenate(a) for a in zip(*out))
-        return pd.DataFrame({"qid": qid, "cid": cid, "d2": d2})
-    return run
-
-
-def _nearest_pivot(pivots: np.ndarray, all_bounds: bool):
-    def run(batches):
-        for pdf in batches:
-            v = np.asarray(pdf["vec"].tolist(), dtype=np.float64).reshape(len(pdf), -1)
-            d = np.sqrt(np.maximum((v * v).sum(1)[:, None] + (pivots * pivots).sum(1)[None] - 2 * v @ pivots.T, 0)) \
-                if len(pdf) else np.zeros((0, len(pivots)))
-            out = pdf.assign(cell=d.argmin(1).astype("int32") if len(pdf) else np.zeros(0, "int32"))
-            out["pd"] = list(d) if all_bounds else d.min(1) if len(pdf) else np.zeros(0)
-            yield out
-    return run
-
-
-def knn_join(queries: DataFrame, corpus: DataFrame, k: int, by: str | None = None, pivots: int | None = None,
-             block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
-    """Exact ``k`` nearest corpus rows (Euclidean) per query: qid, cid, distance.
-
-    queries: qid, vec (and ``by``); corpus: cid, vec (and ``by``). For unit vectors the order equals cosine order.
-
-    * The corpus is divided into cells around a few pivot vectors; a large cell is divided again by id, so no
-      block holds more than about ``block_rows`` vectors however the data is skewed.
-    * Round one searches the query's own cell and so bounds its k-th distance. Round two visits only cells
-      that the triangle inequality cannot rule out. Nothing is dropped: the result is exact.
-    * Block searches return k rows per query; pairs are never emitted.
+def knn_join(queries: DataFrame, corpus: DataFrame, k: int, by: str | None = None, cells: int | None = None,
+             leaf: int = balls.LEAF, block_rows: int = balls.BLOCK_ROWS, query_rows: int = balls.QUERY_ROWS) -> DataFrame:
+    """Exact ``k`` nearest corpus rows (Euclidean) per query: qid, cid, distance, rank. For unit vectors the order equals cosine order.
+
+    queries: qid, vec (and ``by``); corpus: cid, vec (and ``by``). Rows without a vector or a group take no part. The corpus is
+    indexed once (``balls``), and queries are sent only where their bound allows; pairs are never emitted. Keep a
+    ``balls.build`` to ask several times.
     """
-    q = queries.select("qid", (F.col(by) if by else F.lit(0)).cast("string").alias("g"), F.col("vec").cast("array<double>").alias("vec"))
-    c = corpus.select("cid", (F.col(by) if by else F.lit(0)).cast("string").alias("g"), F.col("vec").cast("array<double>").alias("vec"))
-    if pivots is None:
-        # cells much smaller than k or than a block only add overhead
-        groups = c.groupBy("g").count().agg(F.max("count")).first()[0] or 0
-        pivots = max(1, min(PIVOTS, -(-groups // max(block_rows, 8 * k))))
-    seed = c.orderBy(F.xxhash64("cid"), "cid").limit(pivots).select("vec").collect()      # at most ``pivots`` rows
-    empty = queries.sparkSession.createDataFrame([], "qid bigint, cid bigint, distance double")
-    if not seed:
-        return empty
-    p = np.asarray([r[0] for r in seed], dtype=np.float64)
-    n_q = q.count()
-    salts = max(1, -(-n_q // query_rows))
-    cc = c.mapInPandas(_nearest_pivot(p, False), "cid bigint, g string, vec array<double>, cell int, pd double")
-    qq = q.mapInPandas(_nearest_pivot(p, True), "qid bigint, g string, vec array<double>, cell int, pd array<double>")
-    # a hair of slack covers rounding of the distances to the pivots
-    cells = cc.groupBy("g", "cell").agg(F.count(F.lit(1)).alias("n"), (F.max("pd") * (1 + 1e-9) + 1e-9).alias("radius"))
-    cells = cells.withColumn("subs", F.ceil(F.col("n") / block_rows).cast("int"))
-    blocks = cc.join(cells.select("g", "cell", "subs"), ["g", "cell"]).withColumn(
-        "sub", F.pmod(F.xxhash64("cid"), F.col("subs")).cast("int"))
-    blocks = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    # few cells per group (at most ``pivots``): one array per group
-    atlas = cells.groupBy("g").agg(F.collect_list(F.struct("cell", "n", "radius", "subs")).alias("cells"))
-    salt = F.pmod(F.xxhash64("qid"), F.lit(salts)).cast("int")
-    qa = qq.join(atlas, "g").withColumn("salt", salt)
-
-    def search(sent: DataFrame) -> DataFrame:
-        key = ["g", "cell", "sub", "salt"]
-        sent = sent.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
-        return sent.select(*key, "qid", "vec").groupBy(*key).cogroup(blocks.select(*key, "cid", "vec").groupBy(*key)) \
-            .applyInPandas(_local_topk(k), "qid bigint, cid bigint, d2 double")
-
-    reach = F.get(F.col("pd"), F.col("c.cell"))
-    # round one: the cell with the nearest pivot that exists in the query's group
-    home = F.array_min(F.transform("cells", lambda x: F.struct(
-        F.get(F.col("pd"), x["cell"]).alias("d"), x["cell"].alias("cell"), x["subs"].alias("subs"))))
-    h = qa.withColumn("home", home)
-    r1 = search(h.select("qid", "g", "vec", "salt", F.col("home.cell").alias("cell"), F.col("home.subs").alias("subs")))
-    t1 = ordered.top_k(r1, ["qid"], [F.asc("d2"), F.asc("cid")], k)
-    if len(seed) == 1:
-        return t1.select("qid", "cid", F.sqrt("d2").alias("distance"), "rank")
-    t1 = materialize(t1, "knn-home")
-    bound = t1.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.sqrt(F.max("d2"))).alias("ub"))
-    rest = h.join(bound, "qid", "left").withColumn("c", F.explode("cells")).filter(
-        (F.col("c.cell") != F.col("home.cell"))
-        & (F.col("ub").isNull() | (reach - F.col("c.radius") <= F.col("ub") * (1 + 1e-9) + 1e-9)))
-    r2 = search(rest.select("qid", "g", "vec", "salt", F.col("c.cell").alias("cell"), F.col("c.subs").alias("subs")))
-    both = t1.drop("rank").unionByName(r2)
-    return ordered.top_k(both, ["qid"], [F.asc("d2"), F.asc("cid")], k).select(
-        "qid", "cid", F.sqrt("d2").alias("distance"), "rank")
+    group = (F.col(by) if by else F.lit(0)).cast("string").alias("g")
+    q = queries.select("qid", group, F.col("vec").cast("array<double>").alias("vec")).filter("vec is not null and g is not null")
+    c = corpus.select("cid", group, F.col("vec").cast("array<double>").alias("vec")).filter("vec is not null and g is not null")
+    index = balls.build(c, k, cells, leaf, block_rows)
+    if index is None:
+        return queries.sparkSession.createDataFrame([], "qid bigint, cid bigint, distance double, rank int")
+    return balls.nearest(index, q, k, query_rows)
 
 
 def rerank(df: DataFrame, audio: Sequence[float], text: Sequence[float], k: int = 5, key: str = "track_id",
