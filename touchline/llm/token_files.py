@@ -23,7 +23,8 @@ from touchline.llm.rans import Codec, Table, pack_block, read_blocks, scaled, un
 from touchline.llm.tokens import _L, _N, _S, ONLY_COMMON, byte_alphabet, load
 from touchline.llm.util import drop_written, join_small, shared_dir, text_of, written
 
-REMEMBERED, HELD_BYTES = 3_000_000, 1 << 27        # words kept in a worker, and what they and their ids take
+REMEMBERED, HELD_BYTES = 1_500_000, 1 << 26        # words kept in a worker, and what they and their ids take
+NEW_WORDS = 1 << 16                                # words merged in one call
 BLOCK_IDS = 1 << 20
 BLOCKS_A_FILE = 16
 
@@ -120,7 +121,8 @@ class WordEncoder:
         if number.null_count:
             missing, first = pc.is_null(number), len(self.known)
             new = coded.dictionary.filter(missing)
-            self._learn(new.to_pylist())
+            for at in range(0, len(new), NEW_WORDS):
+                self._learn(new.slice(at, NEW_WORDS).to_pylist())
             number = pc.replace_with_mask(number, missing, pc.add(pc.index_in(new, self.known.slice(first)), pa.scalar(first, pa.int32())))
         found = self.ids.take(number.take(coded.indices))
         ids = np.frombuffer(found.buffers()[2] or b"", self.kind)
@@ -146,7 +148,7 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def _runs(texts: pa.Array, most: int = 1 << 25) -> Iterator[tuple[int, pa.Array]]:
+def _runs(texts: pa.Array, most: int = 1 << 24) -> Iterator[tuple[int, pa.Array]]:
     """(place, texts): slices of about ``most`` bytes."""
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
     a = 0
