@@ -43,4 +43,6 @@ def components(edges: DataFrame) -> DataFrame:
         drop_written(e)
         e, old, state = new, state, _state(new)
         if state == old:
-            return e.toDF("node", "root")
+            out = e.toDF("node", "root")
+            out._written = e._written                   # for drop_written, when nothing reads it any more
+            return out

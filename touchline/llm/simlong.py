@@ -8,8 +8,9 @@ is counted exactly. The bits are put
 around the ring in four orders, so that chances of a start do not hang together. A pair is looked for where four
 segments in a row agree, from any of 16 starts of each ring; then all bits are compared, however many fingerprints meet
 there. What four agreeing segments miss is measured, not guessed: see ``tests/llm`` and
-the README. Within a bucket only links that span it are tried first; where one of them is refused, every pair of the
-bucket's components that can be similar is looked for by a prefix filter on the sets, so that no refused link hides another. Only wide windows keep buckets small as the corpus grows: ``head`` is a parameter.
+the README. Within a bucket only links that span it are tried first; where one of them is refused, all members are tried with the
+bucket's most typical one, and then every pair of its components that can be similar is looked for by a prefix filter on the
+sets, so that no refused link hides another. Only wide windows keep buckets small as the corpus grows: ``head`` is a parameter.
 """
 from __future__ import annotations
 
@@ -191,28 +192,40 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
         .filter(both >= similarity * (of_a + of_b - both) - 1e-9).select("a", "b")
 
 
-def _refused(links: DataFrame, root: DataFrame) -> DataFrame:
-    """(node, root) of the members of groups that their verified links do not hold together."""
+def _apart(links: DataFrame, root: DataFrame) -> DataFrame:
+    """(key, grp, node, root) of the members of groups that the links verified so far do not hold together."""
     of_group = ["key", "grp"]
     of = links.filter("larger")
     of = of.select(*of_group, F.col("a").alias("node")).union(of.select(*of_group, "b")).distinct()
     of = of.join(root.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select(*of_group, "node", F.coalesce("root", "node").alias("root"))
     apart = of.groupBy(*of_group).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select(*of_group)
-    return of.join(apart, of_group).select("node", "root").distinct()
+    return of.join(apart, of_group)
 
 
-def _overlap(n: str, least: str, similarity: float) -> str:
-    """Shingles that a set of ``n`` must share with one of at least ``least`` to be that similar."""
-    return f"cast(ceil(({n} + {least}) * {similarity / (1 + similarity)!r}D - 1e-9D) as int)"
+def _central(apart: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each member with its group's most typical one, whose shingles most others have: what copies were made from."""
+    members = sets.join(apart.select("node").distinct(), "node").filter("size(shingles) > 0")
+    rows = members.select("node", F.explode("shingles").alias("s"))
+    often = rows.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
+    typical = rows.join(often, "s").groupBy("node").agg(F.avg("df").alias("typical"))
+    middle = apart.join(typical, "node").groupBy("key", "grp").agg(F.max(F.struct("typical", F.col("node").alias("m"), F.col("root").alias("m_root"))).alias("x"))
+    pairs = apart.join(middle.select("key", "grp", "x.m", "x.m_root"), ["key", "grp"]).filter("root <> m_root")
+    return pairs.select(F.least("node", "m").alias("a"), F.greatest("node", "m").alias("b")).distinct()
+
+
+def _overlap(n: str, other: str, similarity: float) -> str:
+    """Shingles that a set of ``n`` must share with one of ``other`` to be that similar."""
+    return f"cast(ceil(({n} + {other}) * {similarity / (1 + similarity)!r}D - 1e-9D) as int)"
 
 
 def _across(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """All pairs (a, b) of different components among (node, root) that may be similar: a prefix filter on the exact sets.
 
     Shingles are put in order, the rarest first. Of two sets that must share o shingles, each has one of them among its
-    first n - o + 1, so those are enough to meet on. How many that are depends on both sizes; sizes are put in classes, and
-    a set is filed for each class that a partner can have. Texts that share a common passage but are otherwise their own
-    meet on nothing. The largest component under a shingle is not compared with itself.
+    first n - o + 1, so those are enough to meet on. How many that are depends on both sizes; sizes are put in classes, a
+    set is filed for each class that a partner can have, and what meets must keep the bound of its very sizes. Texts that
+    share a common passage but are otherwise their own meet on nothing. The largest component under a shingle is not
+    compared with itself.
     """
     step = similarity ** -0.5                      # a partner's class is at most two away
     members = sets.join(nodes, "node").withColumn("n", F.size("shingles")).filter("n > 0")
@@ -226,23 +239,42 @@ def _across(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     least = f"greatest(cast(ceil(pow({step!r}D, other) - 1e-6D) as int), cast(ceil(n * {similarity!r}D - 1e-9D) as int), 1)"
     filed = filed.withColumn("first", F.expr(f"n - {_overlap('n', least, similarity)} + 1 - alone")).filter("first > 0")
     key = ["s", "lo", "hi"]
-    filed = filed.select("node", "root", "n", "cls", F.least("cls", "other").alias("lo"), F.greatest("cls", "other").alias("hi"),
-                         F.explode(F.expr("slice(of, 1, first)")).alias("x"))
-    filed = filed.select("node", "root", "n", "cls", "lo", "hi", F.col("x.s").alias("s"))
+    filed = filed.select("node", "root", "n", "cls", "alone", F.least("cls", "other").alias("lo"), F.greatest("cls", "other").alias("hi"),
+                         F.posexplode(F.expr("slice(of, 1, first)")).alias("at", "x"))
+    filed = filed.select("node", "root", "n", "cls", "lo", "hi", (F.col("alone") + F.col("at")).alias("at"), F.col("x.s").alias("s"))
     per_root = filed.groupBy(*key, "root").agg(F.count(F.lit(1)).alias("rows"))
     largest = per_root.groupBy(*key).agg(F.max(F.struct("rows", "root")).alias("m"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
     filed = filed.join(largest.select(*key, F.col("m.root").alias("largest")), key).select("*", (F.col("root") != F.col("largest")).alias("minor")).drop("largest")
     filed = written(filed, "simlong-filed")
-    right = filed.select(*key, *[F.col(c).alias(f"o_{c}") for c in ("node", "root", "n", "cls", "minor")])
+    fields = ["node", "root", "n", "cls", "minor", "at"]
+    right = filed.select(*[F.col(c).alias(f"o_{c}") for c in [*key, *fields]])
+    same = (F.col("s") == F.col("o_s")) & (F.col("lo") == F.col("o_lo")) & (F.col("hi") == F.col("o_hi"))
     once = ~F.col("o_minor") | (F.col("node") < F.col("o_node"))
-    alike = F.expr(f"least(n, o_n) >= {similarity!r}D * greatest(n, o_n) - 1e-9D")
-    found = filed.filter("minor").join(right, key).filter((F.col("root") != F.col("o_root")) & once & alike
-                                                          & ((F.col("lo") == F.col("hi")) | (F.col("cls") != F.col("o_cls"))))
+    share = _overlap("n", "o_n", similarity)
+    alike = F.expr(f"least(n, o_n) >= {similarity!r}D * greatest(n, o_n) - 1e-9D and n - at >= {share} and o_n - o_at >= {share}")
+    found = filed.filter("minor").join(right, same & (F.col("root") != F.col("o_root")) & once & alike
+                                       & ((F.col("lo") == F.col("hi")) | (F.col("cls") != F.col("o_cls"))))
     out = written(found.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct(), "simlong-across")
     drop_written(filed)
     return out
 
 
+def _joined(found: DataFrame, tried: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(node, root) over the verified links among ``tried`` and, where groups stay apart, among what else can be similar."""
+    root = components(verified(tried, sets, similarity))
+    for look in (lambda apart: _central(apart, sets), lambda apart: _across(apart.select("node", "root").distinct(), sets, similarity)):
+        apart = written(_apart(found, root), "simlong-apart")
+        if apart.isEmpty():
+            drop_written(apart)
+            break
+        pairs = written(look(apart).join(tried, ["a", "b"], "left_anti"), "simlong-others")
+        wider = components(verified(pairs, sets, similarity).union(root.toDF("a", "b")))
+        for done in (apart, root, pairs):
+            drop_written(done)
+        root = wider
+    return root
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each group of near copies, with the input's columns: that of the smallest id (null ids last), then of
     the least text hash; of rows that repeat both, any one.
@@ -263,10 +295,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     of = prints.select(node.alias("n"), place.alias("place")).groupBy("n").agg(F.min("place").alias("place"))
     wanted = tried.select(F.col("a").alias("node")).union(tried.select("b")).distinct()
     sets = written(shingle_sets(docs, wanted.join(of, F.col("node") == F.col("n")).select("node", "place"), id_col, text_col, width), "simlong-sets")
-    first = components(verified(tried, sets, similarity))
-    others = _across(_refused(found, first), sets, similarity)
-    root = components(verified(others.join(tried, ["a", "b"], "left_anti"), sets, similarity).union(first.toDF("a", "b")))
-    for done in (found, tried, sets, first, others):
+    root = _joined(found, tried, sets, similarity)
+    for done in (found, tried, sets):
         drop_written(done)
     of = of.join(root, F.col("n") == F.col("node"), "left").groupBy(F.coalesce("root", "n").alias("root")).agg(F.min("place").alias("k"))
     keep = of.select(F.col("k.doc_id").alias("k_id"), F.col("k.text_hash").alias("k_hash"))
