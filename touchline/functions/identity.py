@@ -46,7 +46,8 @@ _FROM, _TO = _accent_table()
 
 def strip_accents(col) -> Column:
     c = F.col(col) if isinstance(col, str) else col
-    return F.regexp_replace(F.translate(c, _FROM, _TO), r"\p{M}", "")
+    # ASCII text, one byte a character, has nothing to strip
+    return F.when(F.octet_length(c) != F.length(c), F.regexp_replace(F.translate(c, _FROM, _TO), r"\p{M}", "")).otherwise(c)
 
 
 @F.pandas_udf(T.StringType())
@@ -56,17 +57,28 @@ def nfkd_fold(s: pd.Series) -> pd.Series:
         c for c in unicodedata.normalize("NFKD", v) if not unicodedata.combining(c)))
 
 
+def _trimmed(c: Column) -> Column:
+    r"""Without the white space of ``\s`` at both ends."""
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
+
+
 def _strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
 def normalize_name(col, full_unicode: bool = False) -> Column:
-    """Lower case, no accents, no suffix, only ``[a-z0-9 ]``; null becomes the empty string."""
+    """Lower case, no accents, no suffix, only ``[a-z0-9 ]``; null becomes the empty string.
+
+    Only names that end in a suffix, or hold another character, go through the replacements.
+    """
     c = F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
-    c = _strip(F.lower(nfkd_fold(c) if full_unicode else strip_accents(c)))
+    c = _trimmed(F.lower(nfkd_fold(c) if full_unicode else strip_accents(c)))
+    cut = c
     for suffix in NAME_SUFFIXES:
-        c = _strip(F.regexp_replace(c, re.escape(suffix) + r"\z", ""))
-    return F.trim(F.regexp_replace(F.regexp_replace(c, "[^a-z0-9 ]", ""), " +", " "))
+        cut = _trimmed(F.regexp_replace(cut, re.escape(suffix) + r"\z", ""))
+    c = F.when(c.rlike("(?:" + "|".join(map(re.escape, NAME_SUFFIXES)) + r")\z"), cut).otherwise(c)
+    plain = F.trim(F.regexp_replace(F.regexp_replace(c, "[^a-z0-9 ]", ""), " +", " "))
+    return F.when(c.rlike("[^a-z0-9 ]|  "), plain).otherwise(c)
 
 
 def normalize_team(col) -> Column:

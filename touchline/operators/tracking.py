@@ -393,10 +393,11 @@ def nearest_per_cell(pos: DataFrame, cfg: Sport, cell_m: float, frame=("match_id
         best = F.array_min(F.transform("ents", lambda e: F.struct(
             ((e["x"] - x) * (e["x"] - x) + (e["y"] - y) * (e["y"] - y)).alias("d2"), e["entity_id"].alias("entity_id"),
             e["team_id"].alias("team_id"))))
-        return F.struct(cx.alias("cell_x"), cy.alias("cell_y"), best["team_id"].alias("team_id"), best["entity_id"].alias("entity_id"))
+        return F.struct(cx.alias("cell_x"), cy.alias("cell_y"), best.alias("best"))
 
+    # the winner is opened after the explode, so that each cell is searched once
     d = f.filter(F.size("ents") > 3).select(*frame, F.explode(F.transform(cells, winner)).alias("w"))
-    return d.select(*frame, "w.cell_x", "w.cell_y", "w.team_id", "w.entity_id")
+    return d.select(*frame, "w.cell_x", "w.cell_y", "w.best.team_id", "w.best.entity_id")
 
 
 def run_batch(pos: DataFrame, frames: DataFrame, periods: DataFrame, teams: DataFrame, keepers: DataFrame, cfg: Sport,
