@@ -88,6 +88,17 @@ class Lake:
         return seen.get["n"]
 
 
+    def prune(self, name: str, before: int) -> None:
+        """Remove the folders of batches below ``before`` of a table written by ``commit``."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if fs.exists(path):
+            for f in fs.listStatus(path):
+                kind, _, batch = f.getPath().getName().partition("=")
+                if kind == "batch_id" and int(batch) < before:
+                    fs.delete(f.getPath(), True)
+
+
 class CommitLog:
     """Which (query, batch, table) writes are done; a retried batch skips tables that already have it."""
 

@@ -2,8 +2,8 @@
 
 A batch is judged as a whole: its rows are compared, as columns, with where the match stands and with one another, and
 each gets one verdict. The state of a match is small: the newest and the last released sequence, the frames that still
-wait, and the holes among what was released. Everything computed *from* frames runs as a DataFrame plan afterwards,
-spread by entity, so one busy match is not one busy task.
+wait, the holes among what was released, and the ids of its entities, each of which is told the match's clock when it moves.
+Everything computed *from* frames is spread by entity afterwards, so one busy match is not one busy task.
 """
 from __future__ import annotations
 
@@ -55,23 +55,33 @@ class Reorder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.where = handle.getValueState("where", "newest bigint, first bigint, upto bigint, ended boolean, counts string")
-        self.waiting = handle.getMapState("waiting", "seq bigint", "value string, attempt int")
+        self.where = handle.getValueState("where", "newest bigint, first bigint, upto bigint, ended boolean, counts string, t bigint, period int")
+        self.roster = handle.getValueState("roster", "ids string")
+        self.waiting = handle.getMapState("waiting", "seq bigint", "value string, attempt int, t bigint, period int")
         self.holes = handle.getMapState("holes", "a bigint", "b bigint")
 
     def _restore(self) -> None:
-        newest, first, upto, ended, counts = self.where.get() if self.where.exists() else (-1, None, -1, False, "{}")
+        newest, first, upto, ended, counts, t, period = self.where.get() if self.where.exists() else (-1, None, -1, False, "{}", None, None)
         self.newest, self.first, self.upto, self.ended, self.counts = newest, first, upto, ended, Counter(json.loads(counts))
+        self.t, self.period = t, period
+        # what waits is read once, and only what still waits at the end is written
+        self.stored = {k[0]: tuple(v) for k, v in self.waiting.iterator()}
+        self.held = dict(self.stored)
 
     def _keep(self, now: int) -> None:
-        self.where.update((self.newest, self.first, self.upto, self.ended, json.dumps(self.counts)))
+        for s in self.stored.keys() - self.held.keys():
+            self.waiting.removeKey((s,))
+        for s, v in self.held.items():
+            if self.stored.get(s) != v:
+                self.waiting.updateValue((s,), v)
+        self.where.update((self.newest, self.first, self.upto, self.ended, json.dumps(self.counts), self.t, self.period))
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
         self.handle.registerTimer(now + (KEEP_AFTER_END_MS if self.ended else self.idle_ms))
 
     def _let_go(self, everything: bool) -> list[tuple]:
         """Waiting frames that are ``depth`` behind the newest, or all; what they skip becomes a hole."""
-        due = np.sort(np.array([k[0] for k in self.waiting.keys()], np.int64))
+        due = np.sort(np.array(list(self.held), np.int64))
         if not everything:
             due = due[due <= self.newest - self.depth]
         if not due.size:
@@ -86,8 +96,10 @@ class Reorder(StatefulProcessor):
         self.counts["frames_released"] += due.size
         out = []
         for s in due.tolist():
-            out.append(("frame", s, s, self.waiting.getValue((s,))[0]))
-            self.waiting.removeKey((s,))
+            value, _, t, period = self.held.pop(s)
+            out.append(("frame", s, s, value))
+            if t is not None:
+                self.t, self.period = t, period
         self.first = int(due[0]) if self.first is None else self.first
         self.upto = int(due[-1])
         return out
@@ -99,9 +111,12 @@ class Reorder(StatefulProcessor):
 
     def _answer(self, key, out: list[tuple], now: int) -> pd.DataFrame:
         # fixed values: the field names of the statistics
-        stats = {"hwm": self.newest, "released_upto": self.upto, "buffer_size": sum(1 for _ in self.waiting.keys()), "ended": self.ended,
+        stats = {"hwm": self.newest, "released_upto": self.upto, "buffer_size": len(self.held), "ended": self.ended,
                  **{f"c_{k}": v for k, v in self.counts.items()}}
         out.append(("stats", self.upto, self.upto, json.dumps(stats, separators=(",", ":"))))
+        if any(kind in ("frame", "end") for kind, *_ in out):
+            note = {"t": self.t, "period": self.period, "ended": self.ended}
+            out += [("clock", self.upto, self.upto, json.dumps({"unit": i, **note})) for i in (json.loads(self.roster.get()[0]) if self.roster.exists() else [])]
         self._keep(now)
         return pd.DataFrame([(*key, *r) for r in out], columns=COLUMNS)
 
@@ -111,19 +126,25 @@ class Reorder(StatefulProcessor):
         over = bool(batch["eos"].any())
         frames = batch[~batch["eos"].astype(bool)]
         holes = [(a[0], b[0]) for a, b in self.holes.iterator()]
-        verdict = verdicts(frames, {k[0] for k in self.waiting.keys()}, self.first, self.upto, holes, self.ended)
+        verdict = verdicts(frames, set(self.held), self.first, self.upto, holes, self.ended)
         out = []
         tail = frames[verdict.isin(list(LATE))]
-        for (_, r), why in zip(tail.iterrows(), verdict[tail.index]):
-            note = {"seq": int(r["sequence"]), "reason": why, "t": None if pd.isna(r["t"]) else int(r["t"]), "attempt": int(r["attempt"])}
-            out.append(("late", int(r["sequence"]), self.upto, json.dumps(note, separators=(",", ":"))))
+        for s, t, attempt, why in zip(tail["sequence"].tolist(), tail["t"].tolist(), tail["attempt"].tolist(), verdict[tail.index]):
+            note = {"seq": int(s), "reason": why, "t": None if pd.isna(t) else int(t), "attempt": int(attempt)}
+            out.append(("late", int(s), self.upto, json.dumps(note, separators=(",", ":"))))
         new = frames.loc[verdict == NEW, "sequence"]
         self.counts.update({LATE.get(v, v): n for v, n in verdict.value_counts().items() if v != NEW})
         if (behind := int((new < self.newest).sum())):
             self.counts["reordered"] += behind
         # of a sequence's new row and its corrections, the last one stands
-        for r in frames[verdict.isin([NEW, CORRECTION])].drop_duplicates("sequence", keep="last").itertuples(index=False):
-            self.waiting.updateValue((int(r.sequence),), (r.value, int(r.attempt)))
+        taken = frames[verdict.isin([NEW, CORRECTION])].drop_duplicates("sequence", keep="last")
+        whole = lambda v: None if pd.isna(v) else int(v)
+        for s, value, attempt, t, period in zip(*(taken[c].tolist() for c in ("sequence", "value", "attempt", "t", "period"))):
+            self.held[int(s)] = (value, int(attempt), whole(t), whole(period))
+        known = set(json.loads(self.roster.get()[0])) if self.roster.exists() else set()
+        met = known.union(*[[i for i in ids if i is not None] for ids in taken["ids"]])
+        if met != known:
+            self.roster.update((json.dumps(sorted(met)),))
         if len(new):
             self.newest = max(self.newest, int(new.max()))
         out += self._let_go(everything=False)
@@ -135,7 +156,7 @@ class Reorder(StatefulProcessor):
         """Idle: finish the match; idle again later: forget it."""
         self._restore()
         if self.ended:
-            for state in (self.waiting, self.holes, self.where):
+            for state in (self.waiting, self.holes, self.where, self.roster):
                 state.clear()
             return
         yield self._answer(key, self._finish(), timerValues.getCurrentProcessingTimeInMs())
@@ -145,13 +166,14 @@ class Reorder(StatefulProcessor):
 
 
 def released(messages: DataFrame, depth: int, idle_ms: int) -> DataFrame:
-    """Stream of valid messages -> stream of released frames, late rows, end marks and statistics.
+    """Stream of valid messages -> stream of released frames, late rows, end marks, statistics and clocks (one per entity).
 
     messages: session_id, match_id, value, e (parsed), kafka_offset.
     """
     m = messages.select(
         "session_id", "match_id", "value", F.col("e.sequence").alias("sequence"),
-        F.coalesce(F.col("e.attempt"), F.lit(0)).alias("attempt"), F.col("e.physical_time_ms").alias("t"),
+        F.coalesce(F.col("e.attempt"), F.lit(0)).alias("attempt"), F.col("e.physical_time_ms").alias("t"), F.col("e.period").alias("period"),
+        F.coalesce(F.transform("e.players", lambda x: x["canonical_player_id"]), F.array().cast("array<string>")).alias("ids"),
         F.coalesce(F.col("e.end_of_stream"), F.lit(False)).alias("eos"),
         F.coalesce(F.array_contains(F.col("e.quality_flags"), "injected_correction"), F.lit(False)).alias("correction"),
         F.coalesce("kafka_offset", F.lit(0)).alias("kafka_offset"))

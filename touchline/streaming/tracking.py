@@ -1,13 +1,11 @@
 """Tracking stream: bronze with quarantine, then released frames -> observations, windows, dwell and shape.
 
-Each micro-batch runs the *same* plans as the batch pipeline (``operators.tracking``) on its released frames plus
-one state row per entity. Open windows are kept as summed parts. State and parts live in tables written per
-batch id, so a retried batch replaces its own output and an executor loss costs a retry, nothing else.
+Entities keep their movement, open windows and cells in the state store (``streaming.windows``), spread by entity. Each micro-batch
+writes what came out of it in one commit per table and batch id, so a retried batch replaces its own output. Team shape is a plan over
+the batch's positions; of a team only the sums of its open windows go from batch to batch, in a table whose old batches are removed.
 """
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +13,8 @@ from touchline.functions.parsing import safe_round
 from touchline.operators import ordered, tracking
 from touchline.sinks.tables import CommitLog, Lake, quarantine
 from touchline.streaming.reorder import released
-from touchline.streaming.validate import ENVELOPE, attributed, with_validation
+from touchline.streaming.validate import attributed, with_validation
+from touchline.streaming.windows import entity_rows
 
 # fixed values: names and order of the tables' columns are what readers of the lake expect
 OBS = ("session_id string, match_id string, seq bigint, t_ms bigint, mel_ms bigint, period int, entity_id string, "
@@ -46,25 +45,15 @@ BRONZE = ("topic string, kafka_partition int, kafka_offset bigint, kafka_ts time
 QUARANTINE = ("detected_at timestamp, session_id string, match_id string, seq bigint, reason string, detail string, "
               "raw_value string, kafka_partition int, kafka_offset bigint, batch_id bigint")
 STATS = "session_id string, match_id string, emitted_at timestamp, stats string, batch_id bigint"
-ENTITY_STATE = ("session_id string, match_id string, entity_id string, entity_type string, team_id string, seq bigint, t_ms bigint, "
-                "period int, x_m double, y_m double, x_att double, y_att double, is_detected boolean, sx0 double, sy0 double, "
-                "speed0 double, below0 bigint, sprint0 boolean, batch_id bigint")
-_SUMS = ", ".join(f"{c} {'double' if c.endswith('_m') else 'bigint'}" for c in tracking.WINDOW_SUMS)
-OPEN_PLAYER = (f"session_id string, match_id string, entity_id string, window bigint, team_id string, offset_ms bigint, {_SUMS}, "
-               "max_speed_mps double, part bigint, batch_id bigint")
 _SHAPES = ", ".join(f"sum_{c} double, cnt_{c} bigint" for c in tracking.SHAPE)
 OPEN_TEAM = ("session_id string, match_id string, team_id string, window bigint, offset_ms bigint, n_frames bigint, "
              f"n_sufficient bigint, in_possession_frames bigint, {_SHAPES}, part bigint, batch_id bigint")
-OPEN_DWELL = ("session_id string, match_id string, entity_id string, window bigint, cell_x int, cell_y int, team_id string, "
-              "dwell_ms bigint, batch_id bigint")
-CURSOR = "session_id string, match_id string, t_ms bigint, period int, upto bigint, ended boolean, batch_id bigint"
 
 SCHEMAS = {
     "bronze.tracking_raw": BRONZE, "silver.tracking_frames": FRAME, "silver.tracking_positions": OBS,
     "gold.team_frame_metrics": TEAM_FRAME, "gold.player_windows": PLAYER_WINDOW, "gold.team_windows": TEAM_WINDOW,
     "gold.spatial_dwell": DWELL, "ops.quarantine": QUARANTINE, "ops.late": QUARANTINE, "ops.stream_stats": STATS,
-    "state.entities": ENTITY_STATE, "state.player_windows": OPEN_PLAYER, "state.team_windows": OPEN_TEAM,
-    "state.dwell": OPEN_DWELL, "state.cursor": CURSOR,
+    "state.team_windows": OPEN_TEAM,
 }
 
 
@@ -93,8 +82,16 @@ def start_bronze(messages: DataFrame, lake: Lake, checkpoint: str, trigger: dict
             .trigger(**(trigger or {"processingTime": "2 seconds"})).start())
 
 
+# what a frame row of ``windows.units`` carries besides its columns
+NOTE = ("source_frame_id bigint, clock string, n_players int, n_detected int, has_ball boolean, flags string, attempt int, "
+        "replay_event_time string, produced_at string")
+LATE = "seq bigint, reason string, t bigint, attempt int"
+KEY = ["session_id", "match_id"]
+
+
+
 class Engine:
-    """Turns released frames of one micro-batch into rows of the silver and gold tables."""
+    """Writes the rows of one micro-batch (``windows.entity_rows``) into the silver and gold tables."""
 
     def __init__(self, lake: Lake, cfg: tracking.Sport, periods: DataFrame, teams: DataFrame, keepers: DataFrame,
                  query: str = "engine"):
@@ -102,145 +99,77 @@ class Engine:
         self.log = CommitLog(lake, query)
         self.version = f"{cfg.name}-{cfg.version}"
 
-    def _state(self, name: str, batch_id: int) -> DataFrame:
-        """State left by the last batch that ran to its end; a partition filter, not a scan."""
-        return self.lake.read(name).filter(F.col("batch_id") == self.before).drop("batch_id")
-
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
             if batch.isEmpty():            # a timer tick without output leaves state as it is
                 return
-            last = self.log.last("state.cursor", batch_id)
-            self.before = -1 if last is None else last
-            self._run(batch, batch_id)
+            last = self.log.last("state.team_windows", batch_id)
+            before = self.lake.read("state.team_windows").filter(F.col("batch_id") == (-1 if last is None else last)).drop("batch_id")
+            self.log.append_all(self.tables(batch, before, batch_id), batch_id)
+            if last is not None:
+                self.lake.prune("state.team_windows", last)         # a retry of this batch reads ``last`` again
         finally:
             batch.unpersist()
 
-    def _run(self, batch: DataFrame, batch_id: int) -> None:
-        cfg, key = self.cfg, ["session_id", "match_id"]
-        out: dict[str, DataFrame] = {}
-        held: list[DataFrame] = []
-
-        def put(d: DataFrame, name: str) -> None:
-            out[name] = d
-
-        def hold(d: DataFrame) -> DataFrame:
-            held.append(d.persist())
-            return held[-1]
-
-        late = batch.filter(F.col("kind") == "late").withColumn("p", F.from_json("payload", "seq bigint, reason string, t bigint, attempt int"))
-        put(late.select(F.current_timestamp().alias("detected_at"), *key, "seq", F.col("p.reason").alias("reason"),
-                        F.concat(F.lit("t_ms="), F.coalesce(F.col("p.t").cast("string"), F.lit("")), F.lit(" attempt="),
-                                 F.col("p.attempt").cast("string")).alias("detail"), F.lit("").alias("raw_value")), "ops.late")
-        put(batch.filter(F.col("kind") == "stats").select(*key, F.current_timestamp().alias("emitted_at"),
-                                                          F.col("payload").alias("stats")), "ops.stream_stats")
-        f = batch.filter(F.col("kind") == "frame").select(*key, "seq", F.from_json("payload", ENVELOPE).alias("e"))
-        fr = f.select(*key, "seq", F.col("e.source_frame_id").alias("source_frame_id"), F.col("e.physical_time_ms").alias("t_ms"),
-                      F.col("e.match_elapsed_ms").alias("mel_ms"), F.col("e.period").alias("period"), F.col("e.source_clock").alias("clock"),
-                      F.col("e.possession_team_id").alias("possession"), "e")
-        players = F.coalesce(F.size("e.players"), F.lit(0))
-        put(fr.select(*key, "seq", "source_frame_id", "t_ms", "mel_ms", "period", "clock", F.col("possession").alias("poss_team"),
-                      players.alias("n_players"),
-                      F.coalesce(F.size(F.filter("e.players", lambda x: F.coalesce(x["is_detected"], F.lit(False)))), F.lit(0)).alias("n_detected"),
-                      F.col("e.ball").isNotNull().alias("has_ball"), F.array_join("e.quality_flags", ",").alias("flags"),
-                      F.col("e.attempt").alias("attempt"), F.to_timestamp("e.replay_event_time").alias("replay_event_time"),
-                      F.to_timestamp("e.produced_at").alias("produced_at"), F.current_timestamp().alias("processed_at"),
-                      F.lit(self.version).alias("feature_version")), "silver.tracking_frames")
-        ents = F.explode(F.concat(F.array_compact(F.array("e.ball")), F.coalesce("e.players", F.array().cast("array<" + _ENT + ">"))))
-        pos = fr.select(*key, "seq", "t_ms", "mel_ms", "period", "possession", ents.alias("x")).select(
-            *key, "seq", "t_ms", "mel_ms", "period", "possession", "x.*").withColumnRenamed("canonical_player_id", "entity_id")
-        state = self._state("state.entities", batch_id)
-        seeded = pos.withColumn("is_state", F.lit(False)).unionByName(
-            state.withColumn("is_state", F.lit(True)), allowMissingColumns=True)
-        try:
-            obs = hold(tracking.kinematics(seeded, cfg, tracking.plan_chunk(seeded), seeded=True))
-            cursor = hold(self._cursor(batch, fr, batch_id))
-            self._write(obs, pos, fr, cursor, batch_id, put, hold)
-            self.log.append_all(out, batch_id)
-        finally:
-            for d in held:
-                d.unpersist()
-
-    def _cursor(self, batch: DataFrame, fr: DataFrame, batch_id: int) -> DataFrame:
-        """Newest frame time, period, released sequence and end flag per match, matches of earlier batches included."""
-        key = ["session_id", "match_id"]
-        now = fr.filter(F.col("t_ms").isNotNull()).groupBy(*key).agg(
-            F.max_by(F.struct("t_ms", "period"), "seq").alias("n"))
-        tail = batch.groupBy(*key).agg(F.max("released_upto").alias("upto"), (F.count_if(F.col("kind") == "end") > 0).alias("ended"))
-        old = self._state("state.cursor", batch_id)
-        o = old.select(*key, F.struct("t_ms", "period").alias("o"), F.col("upto").alias("o_upto"), F.col("ended").alias("o_ended"))
-        j = tail.join(now, key, "left").join(o, key, "full_outer")
-        last = F.coalesce("n", "o")
-        return j.select(*key, last["t_ms"].alias("t_ms"), last["period"].alias("period"), F.coalesce("upto", "o_upto").alias("upto"),
-                        (F.coalesce("ended", F.lit(False)) | F.coalesce("o_ended", F.lit(False))).alias("ended"),
-                        F.col("upto").isNotNull().alias("touched"))
-
-    def _write(self, obs, pos, fr, cursor, batch_id, put, hold) -> None:
-        cfg, key = self.cfg, ["session_id", "match_id"]
-        real = obs.filter(~F.col("is_state"))
-        put(real.withColumns({**{c: safe_round(c) for c in ("x_m", "y_m", "z_m", "x_att", "y_att", "speed_mps", "accel_mps2", "dist_raw_m", "dist_m")},
-                              "feature_version": F.lit(self.version)}), "silver.tracking_positions")
-        newest = ordered.latest_by(obs.select(
-            *key, "entity_id", "entity_type", "team_id", "seq", "t_ms", "period", "x_m", "y_m", "x_att", "y_att", "is_detected",
-            F.col("sx").alias("sx0"), F.col("sy").alias("sy0"), F.col("speed_mps").alias("speed0"), F.col("below_ms").alias("below0"),
-            F.col("in_sprint").alias("sprint0")), [*key, "entity_id"], ["seq"])
-        alive = cursor.filter(~F.col("ended")).select(*key)
-        put(newest.join(alive, key, "left_semi"), "state.entities")
-        iv = hold(tracking.attribute_intervals(obs, self.periods, cfg))
-        part = F.lit(batch_id).cast("bigint")
-        mine = tracking.player_windows(iv, cfg).withColumn("part", part)
-        allp = tracking.add_up_player_windows(self._state("state.player_windows", batch_id).unionByName(mine))
-        end = F.col("offset_ms") + (F.col("window") % 10000 + 1) * cfg.window_ms
-        closed = (F.col("c_ended") | (F.floor(F.col("window") / 10000) != F.col("c_period"))
-                  | (end + cfg.max_gap_ms < F.col("c_t")))
-        self._emit(allp, cursor, closed, mine.select(*key, "entity_id", "window"), ["entity_id", "window"], "gold.player_windows",
-                   "state.player_windows", put, hold, lambda d: tracking.with_bounds(d, cfg).withColumns(
-                       {c: safe_round(c) for c in ("distance_m", "distance_raw_m", "hi_distance_m", "max_speed_mps")}))
-        d_now = tracking.dwell(iv)
-        dkey = [*key, "entity_id", "window", "cell_x", "cell_y"]
-        alld = self._state("state.dwell", batch_id).unionByName(d_now.select(*dkey, "team_id", "dwell_ms")).groupBy(*dkey).agg(
-            F.min("team_id").alias("team_id"), F.sum("dwell_ms").alias("dwell_ms"))
-        off = self.periods.select(F.col("match_id").alias("_m"), F.col("period").alias("_p"), "offset_ms")
-        here = (F.col("match_id") == F.col("_m")) & (F.floor(F.col("window") / 10000) == F.col("_p"))
-        alld = alld.join(off, here, "left").drop("_m", "_p").withColumn("offset_ms", F.coalesce("offset_ms", F.lit(0)))
-        self._emit(alld, cursor, closed, iv.select(*key, "entity_id", "window").distinct(), ["entity_id", "window"],
-                   "gold.spatial_dwell", "state.dwell", put, hold, lambda d: d)
-        tf = hold(tracking.team_frames(pos, fr, self.keepers, cfg, self.teams, hooks=tracking.HOOKS[cfg.name]))
-        rounded = [c for c in ("centroid_x", "centroid_y", "width_m", "depth_m", "hull_area_m2", "def_line_height_m") ]
-        put(tf.withColumns({**{c: safe_round(c) for c in rounded}, "feature_version": F.lit(self.version)}), "gold.team_frame_metrics")
-        tw = tracking.team_windows(tf, self.periods, cfg).withColumn("part", F.lit(batch_id).cast("bigint"))
-        allt = tracking.add_up_team_windows(self._state("state.team_windows", batch_id).unionByName(tw))
+    def tables(self, batch: DataFrame, open_teams: DataFrame, batch_id: int) -> dict[str, DataFrame]:
+        """Table -> rows of this batch."""
+        cfg, version = self.cfg, {"feature_version": F.lit(self.version)}
+        of = lambda *kinds: batch.filter(F.col("kind").isin(*kinds))
+        late = of("late").withColumn("p", F.from_json("payload", LATE))
+        fr = of("frame").withColumn("p", F.from_json("payload", NOTE))
+        pos = of("position", "unusable")
+        window = of("window").select(*KEY, F.from_json("payload", PLAYER_WINDOW).alias("p")).select(*KEY, *[f"p.{c}" for c in _payload_of(PLAYER_WINDOW)])
+        cells = of("dwell").select(*KEY, F.from_json("payload", DWELL).alias("p")).select(*KEY, *[f"p.{c}" for c in _payload_of(DWELL)])
+        tf = tracking.team_frames(pos, fr.drop("p"), self.keepers, cfg, self.teams, hooks=tracking.HOOKS[cfg.name])
+        done, still = self._team_windows(batch, fr, tf, open_teams, batch_id)
+        return {
+            "ops.late": late.select(
+                F.current_timestamp().alias("detected_at"), *KEY, "seq", F.col("p.reason").alias("reason"),
+                F.concat(F.lit("t_ms="), F.coalesce(F.col("p.t").cast("string"), F.lit("")), F.lit(" attempt="),
+                         F.col("p.attempt").cast("string")).alias("detail"), F.lit("").alias("raw_value")),
+            "ops.stream_stats": of("stats").select(*KEY, F.current_timestamp().alias("emitted_at"), F.col("payload").alias("stats")),
+            "silver.tracking_frames": fr.select(
+                *KEY, "seq", "p.source_frame_id", "t_ms", "mel_ms", "period", "p.clock", F.col("possession").alias("poss_team"), "p.n_players",
+                "p.n_detected", "p.has_ball", "p.flags", "p.attempt", F.to_timestamp("p.replay_event_time").alias("replay_event_time"),
+                F.to_timestamp("p.produced_at").alias("produced_at"), F.current_timestamp().alias("processed_at")).withColumns(version),
+            "silver.tracking_positions": of("position").withColumns(
+                {**{c: safe_round(c) for c in ("x_m", "y_m", "z_m", "x_att", "y_att", "speed_mps", "accel_mps2", "dist_raw_m", "dist_m")}, **version}),
+            "gold.player_windows": window.withColumns({**{c: safe_round(c) for c in ("distance_m", "distance_raw_m", "hi_distance_m", "max_speed_mps")}, **version}),
+            "gold.spatial_dwell": cells.withColumns(version),
+            "gold.team_frame_metrics": tf.withColumns(
+                {**{c: safe_round(c) for c in ("centroid_x", "centroid_y", "width_m", "depth_m", "hull_area_m2", "def_line_height_m")}, **version}),
+            "gold.team_windows": done.withColumns(version), "state.team_windows": still}
+
+    def _team_windows(self, batch: DataFrame, fr: DataFrame, tf: DataFrame, open_teams: DataFrame, batch_id: int) -> tuple[DataFrame, DataFrame]:
+        """(windows that closed as final and open ones that changed as partial; sums of the open ones)."""
+        cfg = self.cfg
+        mine = tracking.team_windows(tf, self.periods, cfg).withColumn("part", F.lit(batch_id).cast("bigint"))
+        rows = tracking.add_up_team_windows(open_teams.unionByName(mine))
+        now = fr.filter(F.col("t_ms").isNotNull()).groupBy(*KEY).agg(F.max_by(F.struct("t_ms", "period"), "seq").alias("n"))
+        # matches without rows in this batch stay as they are
+        c = batch.groupBy(*KEY).agg(F.max("released_upto").alias("c_upto"), (F.count_if(F.col("kind") == "end") > 0).alias("c_ended")) \
+            .join(now, KEY, "left").select(*KEY, "c_upto", "c_ended", F.col("n.t_ms").alias("c_t"), F.col("n.period").alias("c_period"))
+        d = rows.join(c, KEY, "left")
         # a team window closes with the first frame of a later window
         now_w = F.col("c_period") * 10000 + F.floor(F.greatest(F.col("c_t") - F.col("offset_ms"), F.lit(0)) / cfg.window_ms)
-        tclosed = F.col("c_ended") | (F.floor(F.col("window") / 10000) != F.col("c_period")) | (F.col("window") < now_w)
-        self._emit(allt, cursor, tclosed, tw.select(*key, "team_id", "window"), ["team_id", "window"], "gold.team_windows",
-                   "state.team_windows", put, hold, lambda d: tracking.with_bounds(tracking.team_means(d), cfg).withColumns(
-                       {f"mean_{c}": safe_round(f"mean_{c}") for c in tracking.SHAPE}))
-        # a finished match leaves the state one batch after its end
-        put(cursor.filter(F.col("touched") | ~F.col("ended")).drop("touched"), "state.cursor")
-
-    def _emit(self, rows, cursor, closed, touched, tkey, table, state, put, hold, shape: Callable) -> None:
-        """Closed windows once as final; open windows that changed as partial; open ones kept as state."""
-        key = ["session_id", "match_id"]
-        c = cursor.select(*key, F.col("t_ms").alias("c_t"), F.col("period").alias("c_period"), F.col("upto").alias("c_upto"),
-                          F.col("ended").alias("c_ended"))
-        d = rows.join(c, key, "left").withColumn("is_final", F.coalesce(closed, F.lit(False)))
-        d = hold(d.join(touched.distinct().withColumn("_t", F.lit(True)), [*key, *tkey], "left"))
-        out = d.filter(F.col("is_final") | F.coalesce("_t", F.lit(False)))
-        put(shape(out).withColumns({"version": F.col("c_upto") * 2 + F.col("is_final").cast("int"),
-                                    "feature_version": F.lit(self.version)}), table)
-        put(d.filter(~F.col("is_final")), state)
-
-
-_ENT = ("struct<entity_type: string, canonical_player_id: string, team_id: string, x_m: double, y_m: double, z_m: double, "
-        "x_att: double, y_att: double, is_detected: boolean, position_source: string>")
+        closed = F.col("c_ended") | (F.floor(F.col("window") / 10000) != F.col("c_period")) | (F.col("window") < now_w)
+        d = d.withColumn("is_final", F.coalesce(closed, F.lit(False)))
+        out = tracking.with_bounds(tracking.team_means(d.filter(F.col("is_final") | (F.col("part") == batch_id))), cfg)
+        out = out.withColumns({"version": F.col("c_upto") * 2 + F.col("is_final").cast("int"), **{f"mean_{c}": safe_round(f"mean_{c}") for c in tracking.SHAPE}})
+        return out, d.filter(~F.col("is_final"))
+
+
+def _payload_of(table: str) -> list[str]:
+    """The columns of a table that its rows' payload holds."""
+    names = [c.split()[0] for c in table.split(", ")]
+    return [c for c in names if c not in (*KEY, "feature_version", "batch_id")]
 
 
 def start_engine(messages: DataFrame, engine: Engine, checkpoint: str, trigger: dict | None = None, query: str = "engine"):
     valid = attributed(with_validation(messages)).filter(F.col("invalid_reason").isNull())
-    rel = released(valid, engine.cfg.reorder_frames, engine.cfg.idle_ms)
-    return (rel.writeStream.queryName(query).foreachBatch(engine).outputMode("append").option("checkpointLocation", checkpoint)
+    rows = entity_rows(released(valid, engine.cfg.reorder_frames, engine.cfg.idle_ms), engine.periods, engine.cfg)
+    return (rows.writeStream.queryName(query).foreachBatch(engine).outputMode("append").option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"processingTime": "2 seconds"})).start())
 
 
