@@ -8,9 +8,9 @@ is counted exactly. The bits are put
 around the ring in four orders, so that chances of a start do not hang together. A pair is looked for where four
 segments in a row agree, from any of 16 starts of each ring; then all bits are compared, however many fingerprints meet
 there. What four agreeing segments miss is measured, not guessed: see ``tests/llm`` and
-the README. Within a bucket only links that span it are tried first; where one of them is refused, all members are tried with the
-bucket's most typical one, and then every pair of its components that can be similar is looked for by a prefix filter on the
-sets, so that no refused link hides another. Only wide windows keep buckets small as the corpus grows: ``head`` is a parameter.
+the README. Within a bucket only links that span it are tried first; where refused ones leave what candidates hold together in
+parts, members are tried with the most typical ones around them, and then every pair of parts that can be similar is looked
+for by a prefix filter on the sets, so that no refused link hides another. Only wide windows keep buckets small as the corpus grows: ``head`` is a parameter.
 """
 from __future__ import annotations
 
@@ -33,6 +33,7 @@ RING = BITS // SEGMENT                          # segments around a ring
 HEAD = 4                                        # agreeing segments that make a bucket
 STARTS = RING // HEAD                           # of each ring
 STEPS = (1, 37, 73, 151)                        # odd, so each step meets every bit once: the rings' orders
+HASHES = 4                                      # orders of shingles under which texts that stay apart meet
 SIGMAS = 3.0                                    # standard deviations of the bits of a pair that is just similar enough
 # odd multipliers that spread one shingle hash over four words
 SPREAD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -117,36 +118,34 @@ def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(key), *b.columns], names=["key", "node", *FIELDS])
 
 
-def spanning_links(fp: np.ndarray, node: np.ndarray, most: int) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(first of the group, node, nodes): links that join what is linked within one bucket, each group on its own; each
-    step takes out all that the current one reaches."""
+def spanning_links(fp: np.ndarray, node: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(node, nodes): links that join what is linked within one bucket; each step takes out all that the current one reaches."""
     rest = np.arange(node.size)
     while rest.size > 1:
-        group, queue, rest = int(node[rest[0]]), [rest[0]], rest[1:]
+        queue, rest = [rest[0]], rest[1:]
         while queue and rest.size:
             x = queue.pop()
             near = np.bitwise_count(fp[rest] ^ fp[x]).sum(axis=1, dtype=np.int64) <= most
             found = rest[near]
             if found.size:
-                yield group, int(node[x]), node[found]
+                yield int(node[x]), node[found]
                 queue += found.tolist()
                 rest = rest[~near]
 
 
 def bucket_links(most: int):
-    """(a, b, key, group, larger) from rows sorted by key: links, where they were found, and whether their group may hold
-    others. Holds one bucket and one batch at a time."""
-    names = ["a", "b", "key", "grp", "larger"]
+    """(a, b) from rows sorted by key: the links of each bucket. Holds one bucket and one batch at a time."""
+    names = ["a", "b"]
 
     def links(key, node, fp):
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[first, key.size])
         two = first[size == 2]
         two = two[np.bitwise_count(fp[two] ^ fp[two + 1]).sum(axis=1, dtype=np.int64) <= most]
-        out = [(node[two], node[two + 1], key[two], node[two], np.zeros(two.size, bool))]
+        out = [(node[two], node[two + 1])]
         for i, n in zip(first[size > 2], size[size > 2]):
-            for group, x, ys in spanning_links(fp[i:i + n], node[i:i + n], most):
-                out.append((np.full(ys.size, x), ys, np.full(ys.size, key[i]), np.full(ys.size, group), np.ones(ys.size, bool)))
+            for x, ys in spanning_links(fp[i:i + n], node[i:i + n], most):
+                out.append((np.full(ys.size, x), ys))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,24 +191,27 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
         .filter(both >= similarity * (of_a + of_b - both) - 1e-9).select("a", "b")
 
 
-def _apart(links: DataFrame, root: DataFrame) -> DataFrame:
-    """(key, grp, node, root) of the members of groups that the links verified so far do not hold together."""
-    of_group = ["key", "grp"]
-    of = links.filter("larger")
-    of = of.select(*of_group, F.col("a").alias("node")).union(of.select(*of_group, "b")).distinct()
-    of = of.join(root.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select(*of_group, "node", F.coalesce("root", "node").alias("root"))
-    apart = of.groupBy(*of_group).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select(*of_group)
-    return of.join(apart, of_group)
+def _apart(of_candidates: DataFrame, root: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, root) of what candidate links hold together and verified ones do not: of_candidates and root are components (node, root)."""
+    with_both = nodes.join(of_candidates.toDF("node", "cluster"), "node", "left").join(root, "node", "left") \
+        .select("node", F.coalesce("cluster", "node").alias("cluster"), F.coalesce("root", "node").alias("root"))
+    apart = with_both.groupBy("cluster").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("cluster")
+    return with_both.join(apart, "cluster").select("node", "root")
 
 
 def _central(apart: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each member with its group's most typical one, whose shingles most others have: what copies were made from."""
-    members = sets.join(apart.select("node").distinct(), "node").filter("size(shingles) > 0")
+    """Pairs (a, b) of each member with the most typical ones around it, whose shingles most others have: what copies were made from.
+
+    Members meet under the least of their shingles in each of ``HASHES`` orders, as sets of similarity 0.8 do in four of five.
+    """
+    members = sets.join(apart, "node").filter("size(shingles) > 0")
     rows = members.select("node", F.explode("shingles").alias("s"))
     often = rows.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
     typical = rows.join(often, "s").groupBy("node").agg(F.avg("df").alias("typical"))
-    middle = apart.join(typical, "node").groupBy("key", "grp").agg(F.max(F.struct("typical", F.col("node").alias("m"), F.col("root").alias("m_root"))).alias("x"))
-    pairs = apart.join(middle.select("key", "grp", "x.m", "x.m_root"), ["key", "grp"]).filter("root <> m_root")
+    least = [F.struct(F.lit(i).alias("i"), F.array_min(F.transform("shingles", lambda x, i=i: F.xxhash64(x, F.lit(i)))).alias("h")) for i in range(HASHES)]
+    met = members.select("node", "root", F.explode(F.array(*least)).alias("x")).select("node", "root", "x.*").join(typical, "node")
+    middle = met.groupBy("i", "h").agg(F.max(F.struct("typical", F.col("node").alias("m"), F.col("root").alias("m_root"))).alias("x"), F.count(F.lit(1)).alias("c"))
+    pairs = met.join(middle.filter("c > 1").select("i", "h", "x.m", "x.m_root"), ["i", "h"]).filter("root <> m_root")
     return pairs.select(F.least("node", "m").alias("a"), F.greatest("node", "m").alias("b")).distinct()
 
 
@@ -259,11 +261,12 @@ def _across(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return out
 
 
-def _joined(found: DataFrame, tried: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(node, root) over the verified links among ``tried`` and, where groups stay apart, among what else can be similar."""
-    root = components(verified(tried, sets, similarity))
-    for look in (lambda apart: _central(apart, sets), lambda apart: _across(apart.select("node", "root").distinct(), sets, similarity)):
-        apart = written(_apart(found, root), "simlong-apart")
+def _joined(tried: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(node, root) over the verified links among ``tried`` and, where candidates stay apart, among what else can be similar."""
+    root, clusters = components(verified(tried, sets, similarity)), components(tried)
+    nodes = sets.select("node")
+    for look in (lambda apart: _central(apart, sets), lambda apart: _across(apart, sets, similarity)):
+        apart = written(_apart(clusters, root, nodes), "simlong-apart")
         if apart.isEmpty():
             drop_written(apart)
             break
@@ -272,6 +275,7 @@ def _joined(found: DataFrame, tried: DataFrame, sets: DataFrame, similarity: flo
         for done in (apart, root, pairs):
             drop_written(done)
         root = wider
+    drop_written(clusters)
     return root
 
 
@@ -288,15 +292,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     rows = distinct.mapInArrow(keyed, f"key long, node long, {', '.join(f'{f} long' for f in FIELDS)}")
     most = most_differing(similarity, SIGMAS)
     found = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(
-        bucket_links(most), "a long, b long, key long, grp long, larger boolean")
-    found = written(found, "simlong-links")
+        bucket_links(most), "a long, b long")
     tried = written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simlong-tried")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     of = prints.select(node.alias("n"), place.alias("place")).groupBy("n").agg(F.min("place").alias("place"))
     wanted = tried.select(F.col("a").alias("node")).union(tried.select("b")).distinct()
     sets = written(shingle_sets(docs, wanted.join(of, F.col("node") == F.col("n")).select("node", "place"), id_col, text_col, width), "simlong-sets")
-    root = _joined(found, tried, sets, similarity)
-    for done in (found, tried, sets):
+    root = _joined(tried, sets, similarity)
+    for done in (tried, sets):
         drop_written(done)
     of = of.join(root, F.col("n") == F.col("node"), "left").groupBy(F.coalesce("root", "n").alias("root")).agg(F.min("place").alias("k"))
     keep = of.select(F.col("k.doc_id").alias("k_id"), F.col("k.text_hash").alias("k_hash"))
