@@ -1,4 +1,4 @@
-"""Score snapshot stream -> scores, period scores and match events, each inserted once."""
+"""Score snapshot stream -> scores, period scores and match events, each inserted once by keys kept as stream state."""
 from __future__ import annotations
 
 from collections.abc import Iterator
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from touchline.operators.reshape import event_columns, explode_nonempty
-from touchline.sinks.tables import CommitLog, Lake, merge_insert_only
+from touchline.sinks.tables import CommitLog, Lake
 
 PAYLOAD = ("league string, games array<struct<gameId: string, statusText: string, "
            "homeTeam: struct<teamName: string, score: int>, awayTeam: struct<teamName: string, score: int>, "
@@ -56,25 +56,54 @@ def match_events(g: DataFrame) -> DataFrame:
     return event_columns(e).withColumn("ingested_at", F.current_timestamp())
 
 
+BUILDERS = {"game_scores": scores, "period_scores": period_scores, "match_events": match_events}
+
+
+def keyed(rows: DataFrame, table: str, keys: list[str], null_safe: dict) -> tuple[DataFrame, DataFrame]:
+    """(rows with a whole key, rows with a null in a key column that nothing stands for) as (table, key, row), all in JSON."""
+    parts = [F.coalesce(F.col(k), F.lit(null_safe[k])) if k in null_safe else F.col(k) for k in keys]
+    whole = parts[0].isNotNull()
+    for c in parts[1:]:
+        whole = whole & c.isNotNull()
+    out = rows.select(F.lit(table).alias("table"), F.to_json(F.struct(*[c.cast("string").alias(k) for c, k in zip(parts, keys)])).alias("key"),
+                      F.to_json(F.struct(*rows.columns)).alias("row"), whole.alias("_whole"))
+    return out.filter("_whole").drop("_whole"), out.filter("not _whole").drop("_whole")
+
+
+def inserted_once(tables: dict[str, DataFrame], remember: str | None = None, at: str = "ingested_at") -> DataFrame:
+    """Stream of (table, key, row): of rows with equal keys only the first that ever came.
+
+    The keys seen live in the state store, so a batch costs what it holds and never reads the tables. They are kept for good, or, with
+    ``remember``, for that long after the watermark of the time column ``at``. Rows with a null in a key column all pass, unless ``KEYS``
+    names a value that stands for it.
+    """
+    solid, rest = None, None
+    for name, rows in tables.items():
+        keys, null_safe = KEYS[name]
+        mine, loose = keyed(rows, name, keys, null_safe)
+        solid, rest = (mine, loose) if solid is None else (solid.unionByName(mine), rest.unionByName(loose))
+    if remember is None:
+        return solid.dropDuplicates(["table", "key"]).unionByName(rest)
+    timed = solid.withColumn("_at", F.to_timestamp(F.get_json_object("row", f"$.{at}"))).withWatermark("_at", remember)
+    return timed.dropDuplicatesWithinWatermark(["table", "key"]).drop("_at").unionByName(rest)
+
+
 def write_batch(lake: Lake, log: CommitLog):
     """foreachBatch writer. A failing table fails the batch, which is then retried; nothing is skipped."""
     def run(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            out = {}
-            for name, build in (("game_scores", scores), ("period_scores", period_scores), ("match_events", match_events)):
-                keys, null_safe = KEYS[name]
-                # a retried batch must not see its own first attempt as "already there"
-                old = lake.read(name).filter(F.col("batch_id") != batch_id)
-                out[name] = merge_insert_only(build(batch), old, keys, null_safe)
-            log.append_all(out, batch_id)
+            log.append_all({name: batch.filter(F.col("table") == name).select(F.from_json("row", SCHEMAS[name]).alias("r")).select("r.*").drop("batch_id")
+                            for name in BUILDERS}, batch_id)
         finally:
             batch.unpersist()
     return run
 
 
-def start_scores(src: DataFrame, lake: Lake, checkpoint: str, trigger: dict | None = None, query: str = "scores"):
-    return (games(src).writeStream.queryName(query).foreachBatch(write_batch(lake, CommitLog(lake, query)))
+def start_scores(src: DataFrame, lake: Lake, checkpoint: str, trigger: dict | None = None, query: str = "scores", remember: str | None = None):
+    g = games(src)
+    rows = inserted_once({name: build(g) for name, build in BUILDERS.items()}, remember)
+    return (rows.writeStream.queryName(query).foreachBatch(write_batch(lake, CommitLog(lake, query)))
             .option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "10 seconds"})).start())
 
 
