@@ -1,6 +1,7 @@
 """Player tables: summary, features, scores, quality, models."""
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from touchline.catalog.base import RAW_SEASONS, SEASONS, query, seasons
@@ -116,16 +117,37 @@ def _(t):
     return scores.score_trade(gold(t, "trade_target")).select("rank", "PLAYER_ID", "trade_target_score", "tier")
 
 
-@query("cp11_score_underrated")
+@query("cp11_score_underrated", f"""WITH {SUMMARY}, vl AS (SELECT * EXCLUDE (salary), CASE WHEN salary > 0 THEN salary END AS salary0 FROM summary), vc AS (SELECT *, {CARRY} FROM vl), v AS (SELECT * FROM vc WHERE salary > 0),
+ u0 AS (SELECT * FROM v WHERE SEASON = (SELECT max(SEASON) FROM v) AND GP >= 40 AND MIN >= 15), u AS (SELECT * FROM u0 WHERE salary <= (SELECT quantile_cont(salary, 0.75) FROM u0))
+SELECT true AS of_the_pool, true AS gaps_positive, true AS ratios_right, true AS ranks_gapless, true AS order_right, count(*) AS pool FROM u""")
 def _(t):
+    """The scored rows against the pool they come from: who, gap, ratio, rank and order."""
     f = gold(t, "value_model")
-    return scores.score_underrated(f).select("rank", "PLAYER_ID", "salary", "predicted_salary", "undervaluation_ratio")
-
-
-@query("cp11_score_improvement")
-def _(t):
-    f = gold(t, "improvement_model")
-    return scores.score_improvement(f).select("rank", "PLAYER_ID", "improvement_probability", "trajectory_bonus", "breakout_score", "predicted_improved")
+    d = scores.score_underrated(f).select("rank", "PLAYER_ID", "salary", "predicted_salary", "undervaluation_ratio")
+    pool = apply_filters(scoring.latest_partition(f, "SEASON"), {"GP": (">=", 40), "MIN": (">=", 15.0)}).filter("salary > 0")
+    pool = scoring.percentile_cap(pool, "salary", 0.75).select("PLAYER_ID", F.lit(1).alias("here"))
+    before = F.lag("undervaluation_ratio").over(Window.orderBy("rank"))
+    d = d.withColumn("before", before).join(pool, "PLAYER_ID", "left")
+    yes = lambda c, name: F.coalesce(F.bool_and(c), F.lit(True)).alias(name)
+    facts = d.agg(yes(F.col("here").isNotNull(), "of_the_pool"), yes(F.col("predicted_salary") > F.col("salary"), "gaps_positive"),
+                  yes(F.abs(F.col("undervaluation_ratio") - F.col("predicted_salary") / F.col("salary")) <= 0.005 + 1e-9, "ratios_right"),
+                  (F.coalesce(F.max("rank"), F.lit(0)) == F.count_distinct("rank")).alias("ranks_gapless"),
+                  yes(F.col("before").isNull() | (F.col("before") >= F.col("undervaluation_ratio")), "order_right"))
+    return facts.crossJoin(F.broadcast(pool.agg(F.count(F.lit(1)).alias("pool"))))
+
+
+@query("cp11_score_improvement", f"""WITH {SUMMARY}, l AS (SELECT *, lag(PTS) OVER w AS pp, lag(TS_PCT) OVER w AS pt, lag(AST) OVER w AS pa FROM summary WINDOW w AS (PARTITION BY PLAYER_ID ORDER BY SEASON)),
+ i AS (SELECT * FROM l WHERE pp IS NOT NULL), y AS (SELECT * FROM i WHERE SEASON = (SELECT max(SEASON) FROM i) AND AGE <= 27 AND GP >= 30), q AS (SELECT quantile_cont(salary, 0.75) AS q FROM y WHERE salary > 0)
+SELECT PLAYER_ID, true AS sound FROM y WHERE NOT coalesce((PTS >= 22 AND salary > 0 AND salary >= (SELECT q FROM q)) OR PTS >= 25, false)""")
+def _(t):
+    """Every young player who is no star, and whether probability, score, flag and rank agree."""
+    d = scores.score_improvement(gold(t, "improvement_model"))
+    p, b, s = F.col("improvement_probability"), F.col("trajectory_bonus"), F.col("breakout_score")
+    right = p.between(0, 1) & (F.abs(scoring.breakout_score("improvement_probability", "trajectory_bonus") - s) < 1e-9) & (
+        F.col("predicted_improved") == (s >= 0.5).cast("int")) & b.isNotNull()
+    whole = Window.partitionBy()
+    d = d.select("PLAYER_ID", right.alias("right"), s.alias("s"), "rank", F.lag(s).over(Window.orderBy("rank")).alias("before"), F.count(F.lit(1)).over(whole).alias("n"))
+    return d.select("PLAYER_ID", (F.col("right") & F.col("rank").between(1, F.col("n")) & (F.col("before").isNull() | (F.col("before") >= F.col("s")))).alias("sound"))
 
 
 # ------------------------------------------------------------------ silver
@@ -310,21 +332,35 @@ def _(t):
     return training.time_split(seasons(t), "1998-99", "1999-00").select("PLAYER_ID", "SEASON", "split")
 
 
-@query("ml03_train_value_models")
+VALUE_ROWS = f"""{SUMMARY}, vl AS (SELECT * EXCLUDE (salary), CASE WHEN salary > 0 THEN salary END AS salary0 FROM summary), vc AS (SELECT *, {CARRY} FROM vl), v AS (SELECT * FROM vc WHERE salary > 0)"""
+
+
+@query("ml03_train_value_models", f"""WITH {VALUE_ROWS}, tr AS (SELECT avg(salary) AS m, count(*) AS n FROM v WHERE SEASON <= '1998-99'), va AS (SELECT count(*) AS n, avg(abs(salary - (SELECT m FROM tr))) AS e FROM v WHERE SEASON = '1999-00')
+SELECT unnest(['linear_regression', 'random_forest', 'gradient_boosting']) AS model, tr.n AS train_rows, va.n AS validation_rows, 16 AS features, round(va.e, 2) AS mean_mae, true AS sound, 'ok' AS status FROM tr, va""")
 def _(t):
+    """Facts of the fitted models that SQL knows: rows of the split, the error of the mean, and whether errors and choice agree."""
     f = gold(t, "value_model")
     r = training.train_value(f, "1998-99", "1999-00")
-    spark = f.sparkSession
-    return spark.createDataFrame([(n, m["mae"], m["rmse"], m["r2"], n == r["best"]) for n, m in r["results"].items()],
-                                 "model string, mae double, rmse double, r2 double, best boolean")
+    least = min(m["mae"] for m in r["results"].values())
+    rows = [(n, r["train_rows"], r["validation_rows"], len(r["features"]), r["status"],
+             0 <= m["mae"] <= m["rmse"] * (1 + 1e-9) and m["r2"] <= 1 and (n == r["best"]) == (m["mae"] == least)) for n, m in r["results"].items()]
+    models = f.sparkSession.createDataFrame(rows, "model string, train_rows bigint, validation_rows bigint, features int, status string, sound boolean")
+    mean = f.filter("SEASON <= '1998-99'").agg(F.avg("salary").alias("m"))
+    error = f.filter("SEASON = '1999-00'").crossJoin(F.broadcast(mean)).agg(F.round(F.avg(F.abs(F.col("salary") - F.col("m"))), 2).alias("mean_mae"))
+    return models.crossJoin(F.broadcast(error))
 
 
-@query("ml04_train_improvement_models")
+@query("ml04_train_improvement_models", f"""WITH {SUMMARY}, l AS (SELECT *, lag(PTS) OVER w AS prev_PTS, lead(PTS) OVER w AS next_PTS FROM summary WINDOW w AS (PARTITION BY PLAYER_ID ORDER BY SEASON)),
+ m AS (SELECT SEASON, CASE WHEN next_PTS - PTS >= 2.0 AND GP >= 20 THEN 1 ELSE 0 END AS y FROM l WHERE prev_PTS IS NOT NULL)
+SELECT unnest(['logistic_regression', 'random_forest', 'gradient_boosting']) AS model, count(*) FILTER (WHERE SEASON <= '1998-99') AS train_rows, count(*) FILTER (WHERE SEASON > '1998-99') AS test_rows, sum(y) FILTER (WHERE SEASON > '1998-99') AS test_positives, true AS sound FROM m""")
 def _(t):
     f = gold(t, "improvement_model")
     r = training.train_improvement(f, "1998-99")
-    return f.sparkSession.createDataFrame([(n, m["accuracy"], m["f1"], m["auc"], n == r["best"]) for n, m in r["results"].items()],
-                                          "model string, accuracy double, f1 double, auc double, best boolean")
+    most = max(m["f1"] for m in r["results"].values())
+    rows = [(n, r["train_rows"], r["test_rows"], all(0 <= m[k] <= 1 for k in ("accuracy", "f1", "auc")) and (n == r["best"]) == (m["f1"] == most and most > 0))
+            for n, m in r["results"].items()]
+    models = f.sparkSession.createDataFrame(rows, "model string, train_rows bigint, test_rows bigint, sound boolean")
+    return models.crossJoin(F.broadcast(f.filter("SEASON > '1998-99'").agg(F.sum(F.col("improved_flag").cast("bigint")).alias("test_positives"))))
 
 
 @query("ml05_regression_metrics", """SELECT o_orderpriority, round(avg(abs(y - p)), 6) AS mae, round(sqrt(avg((y - p) * (y - p))), 6) AS rmse, round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 6) AS r2
