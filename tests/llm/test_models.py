@@ -190,3 +190,16 @@ def test_taken_words_are_near_the_target(spark):
         taken[source[r["doc_id"]]] += r["taken"]
         target[source[r["doc_id"]]] = r["target"]
     assert all(abs(taken[s] - target[s]) <= 800 for s in target) and len(target) == 3
+
+
+def test_ties_and_few_large_documents_are_mixed_near_the_target(spark):
+    """Equal sizes and ids, and a source of a few large documents: one offset of many comes near, and runs agree."""
+    rows = [(7, "a b c", "s"), (7, "a b c", "s"), (7, "d e f", "s"), (8, "a b c", "s")] + [(100 + i, "w " * (50 + 37 * i), "t") for i in range(9)] + [
+        (200 + i, "w " * 20, "u") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mix.plan(df).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, mix.plan(df.repartition(5)).collect()))
+    of = lambda offsets: sum(r["taken"] for r in mix.plan(df, offsets=offsets).collect() if r["doc_id"] is not None and 100 <= r["doc_id"] < 200)
+    target = next(r["target"] for r in got if r["doc_id"] == 100)
+    assert abs(of(64) - target) <= abs(of(1) - target) and abs(of(64) - target) <= 0.1 * target
+    assert all(r["taken"] <= 2 * r["size"] for r in got)

@@ -3,7 +3,9 @@
 A source's expected copies per document are ``target / size`` of the source. Its documents are put in order of
 size, the expected copies are summed along that order from one offset drawn for the source, and a document is
 emitted once for each whole number its step passes. Neighbours in that order are alike in size, so the words taken
-stay near the target: they are off by about the largest document, whatever the number of documents.
+stay near the target: they are off by about the largest document, whatever the number of documents. Where few large
+documents make up a source, that much is not near. So some offsets are drawn, what each would take follows from the counts
+of the sizes alone, and the one that comes nearest is the source's.
 
 A source may hold any share of the rows. Its order is cut by size, and equal sizes by 256 digest classes of the id;
 rows are numbered inside those pieces and only the pieces' counts are summed along the source.
@@ -19,6 +21,7 @@ from touchline.llm.util import NOT_SPACE, join_small, text_of, written
 from touchline.operators.ordered import running_sum, with_sequence
 
 GRAIN = 1 << 20
+OFFSETS = 64                # offsets a source can choose from
 
 
 def n_words(text: Column) -> Column:
@@ -52,14 +55,29 @@ def targets(sizes: DataFrame, weights: Sequence[int], share: float, most: float)
     return s.select("source", "source_size", F.when(F.col("full"), F.col("top")).otherwise(F.lit(level) * F.col("weight")).alias("target"))
 
 
-def plan(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix",
+def _nearest_offset(steps: DataFrame, offsets: int) -> DataFrame:
+    """(o_source, start): per source, of ``offsets`` evenly spread from the drawn one, that with the words taken nearest to the target.
+
+    All documents of one size take together what the first and the last of their places say.
+    """
+    tried = steps.select("*", F.explode(F.sequence(F.lit(0), F.lit(offsets - 1))).alias("j"))
+    turned = F.col("offset") + F.col("j") / float(offsets)
+    tried = tried.withColumn("u", turned - F.floor(turned))
+    words = F.col("t_size") * (F.floor(F.col("rate") * (F.col("smaller") + F.col("n")) + F.col("u")) - F.floor(F.col("rate") * F.col("smaller") + F.col("u")))
+    per = tried.groupBy("t_source", "j", "u").agg(F.sum(words).alias("words"), F.first("target").alias("target"))
+    off = F.struct(F.abs(F.col("words") - F.col("target")).alias("off"), "j", "u")
+    return per.groupBy(F.col("t_source").alias("o_source")).agg(F.min(off).alias("x")).select("o_source", F.col("x.u").alias("start"))
+
+
+def plan(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix", offsets: int = OFFSETS,
          id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per input row: doc_id, size, source_size, target, copies, taken (= copies * size), row_hash.
 
     A null text has size 0; a null source is a source of its own, last in order; null ids sort after the others.
-    Rows that repeat an id are numbered one by one, so each gets its own copies. A source without words has target
-    0 and no copies; an empty table gives an empty plan. Input columns may have any names. Runs agree: the offset is
-    a digest of ``seed`` and the source, and rows that agree in size and id are ordered by a hash of the whole row.
+    Rows that repeat an id are numbered one by one, so each gets its own copies; of documents of one size, those of the later
+    id classes and ids come later, and rows that agree in both are ordered by a hash of the whole row. Words of very long
+    texts are all counted. A source without words has target 0 and no copies; an empty table gives an empty plan. Input
+    columns may have any names. Runs agree: the offsets come from a digest of ``seed`` and the source.
     """
     src = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
@@ -75,13 +93,14 @@ def plan(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5
     # documents of smaller size in the source: one row per source and size is summed along the source
     steps = base.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
     steps = running_sum(steps, "n", "smaller", ["source"], [F.col("size")], include_current=False)
-    steps = steps.select(F.col("source").alias("t_source"), F.col("size").alias("t_size"), F.coalesce("smaller", F.lit(0)).alias("smaller"))
-    steps = join_small(steps, share_of, [F.col("t_source").eqNullSafe(F.col("s_source"))])
+    steps = steps.select(F.col("source").alias("t_source"), F.col("size").alias("t_size"), F.coalesce("smaller", F.lit(0)).alias("smaller"), "n")
+    steps = written(join_small(steps, share_of, [F.col("t_source").eqNullSafe(F.col("s_source"))]), "mix-steps")
+    steps = join_small(steps.drop("n", "offset"), _nearest_offset(steps, offsets), [F.col("t_source").eqNullSafe(F.col("o_source"))])
     rows = with_sequence(base, "at", ["source", "size"], [F.col("tie"), F.col("doc_id").asc_nulls_last(), F.col("row_hash")],
                          chunk=F.col("tie"), start=1)
     rows = rows.join(steps, F.col("source").eqNullSafe(F.col("t_source")) & (F.col("size") == F.col("t_size")))
     at = F.col("at") + F.col("smaller")
-    copies = F.floor(F.col("rate") * at + F.col("offset")) - F.floor(F.col("rate") * (at - 1) + F.col("offset"))
+    copies = F.floor(F.col("rate") * at + F.col("start")) - F.floor(F.col("rate") * (at - 1) + F.col("start"))
     return rows.withColumn("copies", copies.cast("long")).select(
         "doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "row_hash")
 
@@ -121,11 +140,20 @@ share_of AS (
   SELECT source, source_size, CASE WHEN is_full THEN top ELSE lev * weight END AS target,
     CAST(('0x' || substr(md5('mix:' || coalesce(source, chr(0))), 1, 5)) AS INTEGER)::DOUBLE / 1048576 AS start
   FROM cut, lev),
+steps AS (
+  SELECT r.source, r.size, r.n, s.target, s.start, CASE WHEN s.source_size > 0 THEN s.target / s.source_size ELSE 0 END AS rate,
+    coalesce(sum(r.n) OVER (PARTITION BY r.source ORDER BY r.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS smaller
+  FROM (SELECT source, size, count(*) AS n FROM base GROUP BY source, size) r JOIN share_of s ON r.source IS NOT DISTINCT FROM s.source),
+tried AS (SELECT *, start + j / 64.0::DOUBLE - floor(start + j / 64.0::DOUBLE) AS u FROM steps, range(64) AS t(j)),
+sums AS (
+  SELECT source, j, u, abs(sum(size * (floor(rate * (smaller + n) + u) - floor(rate * smaller + u))) - any_value(target)) AS off
+  FROM tried GROUP BY source, j, u),
+best AS (SELECT source, u FROM sums QUALIFY row_number() OVER (PARTITION BY source ORDER BY off, j) = 1),
 placed AS (
-  SELECT b.doc_id, b.size, s.source_size, s.target, s.start,
+  SELECT b.doc_id, b.size, s.source_size, s.target, o.u AS start,
     CASE WHEN s.source_size > 0 THEN s.target / s.source_size ELSE 0 END AS rate,
     row_number() OVER (PARTITION BY b.source ORDER BY b.size, b.tie, b.doc_id NULLS LAST) AS pos
-  FROM base b JOIN share_of s ON b.source IS NOT DISTINCT FROM s.source)
+  FROM base b JOIN share_of s ON b.source IS NOT DISTINCT FROM s.source JOIN best o ON b.source IS NOT DISTINCT FROM o.source)
 SELECT doc_id, size, source_size, target, CAST(floor(rate * pos + start) - floor(rate * (pos - 1) + start) AS BIGINT) AS copies,
   CAST(floor(rate * pos + start) - floor(rate * (pos - 1) + start) AS BIGINT) * size AS taken
 FROM placed"""
