@@ -243,3 +243,42 @@ def test_analyst_arguments_out_of_range(spark):
 
     with pytest.raises(ValueError, match="bucket_min"):
         analyst.team_shape_trend(spark.range(1), {}, bucket_min=90)
+
+
+def test_a_replacement_that_stops_at_any_step_loses_nothing(spark, tmp_path, monkeypatch):
+    """The replacing run dies before its n-th file operation; the table is the old or the new version, and the next write tidies up."""
+    import os
+
+    from touchline.sinks.tables import Lake
+
+    class Stop(Exception):
+        pass
+
+    for step in range(4):
+        lake = Lake(spark, f"{tmp_path}/lake{step}")
+        lake.write(spark.range(3).toDF("a"), "t")
+        real, done = lake._hadoop, []
+
+        class Files:
+            def __init__(self, fs):
+                self.fs = fs
+
+            def __getattr__(self, what):
+                def call(*args):
+                    if what in ("rename", "delete"):
+                        if len(done) == step:
+                            raise Stop
+                        done.append(what)
+                    return getattr(self.fs, what)(*args)
+                return call
+
+        lake._hadoop = lambda path: (real(path)[0], Files(real(path)[1]))
+        try:
+            lake.write(spark.range(5).toDF("a"), "t")
+            assert step == 3
+        except Stop:
+            assert step < 3
+        again = Lake(spark, f"{tmp_path}/lake{step}")
+        assert again.read("t").count() == (3 if step == 0 else 5)
+        again.write(spark.range(7).toDF("a"), "t")
+        assert again.read("t").count() == 7 and [f for f in os.listdir(f"{tmp_path}/lake{step}") if not f.startswith(".")] == ["t"]

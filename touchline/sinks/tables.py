@@ -36,6 +36,9 @@ class Lake:
         return f"{self.root}/{name}"
 
     def exists(self, name: str) -> bool:
+        if _exists(self.spark, self.path(name)):
+            return True
+        self.recover(name)
         return _exists(self.spark, self.path(name))
 
     def read(self, name: str) -> DataFrame:
@@ -44,6 +47,8 @@ class Lake:
             if not self.exists(name):
                 return self.spark.createDataFrame([], self.schemas[name])
             r = r.schema(self.schemas[name])
+        else:
+            self.exists(name)
         return r.parquet(self.path(name))
 
     def safe(self, name: str) -> DataFrame | None:
@@ -53,21 +58,46 @@ class Lake:
         df = self.read(name)
         return None if df.isEmpty() else df
 
+    def _hadoop(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _beside(self, name: str, kind: str) -> list[str]:
+        """Versions written beside a table (``next``) or moved out of its way (``old``), oldest first."""
+        root, fs = self._hadoop(self.root)
+        found = [f.getPath().getName() for f in fs.listStatus(root)] if fs.exists(root) else []
+        return sorted(f"{self.root}/{n}" for n in found if n.startswith(f"{name}.{kind}-"))
+
+    def recover(self, name: str) -> None:
+        """Finish a replacement that stopped half way: a table is never missing for longer than until it is next asked for."""
+        target, fs = self._hadoop(self.path(name))
+        if fs.exists(target):
+            return
+        whole = [p for p in self._beside(name, "next") if _exists(self.spark, f"{p}/_SUCCESS")]
+        for p in [*whole[::-1], *self._beside(name, "old")[::-1]]:
+            fs.rename(self._hadoop(p)[0], target)
+            return
+
     def write(self, df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> int:
         """Create or replace; returns the row count, observed during the write itself.
 
-        A new version is written beside the old one first, so reading the old version while replacing it is safe.
+        A new version is written beside the old one first, so reading the old version while replacing it is safe. Then the old one
+        moves aside, the new one takes its name, and the old one goes. Whatever step is the last one done, one whole version is there.
         """
+        self.recover(name)
         seen = Observation()
         df = cast_void(df).observe(seen, F.count(F.lit(1)).alias("n"))
-        jvm = self.spark._jvm
-        new = jvm.org.apache.hadoop.fs.Path(self.path(name) + f".next-{time.time_ns()}")
+        stamp = time.time_ns()
+        stale = [*self._beside(name, "next"), *self._beside(name, "old")]
+        new, fs = self._hadoop(f"{self.path(name)}.next-{stamp}")
         df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(new.toString())
-        fs = new.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        old = jvm.org.apache.hadoop.fs.Path(self.path(name))
+        old, _ = self._hadoop(self.path(name))
+        aside, _ = self._hadoop(f"{self.path(name)}.old-{stamp}")
         if fs.exists(old):
-            fs.delete(old, True)
+            fs.rename(old, aside)
         fs.rename(new, old)
+        for p in [*stale, aside.toString()]:
+            fs.delete(self._hadoop(p)[0], True)
         return seen.get["n"]
 
     def append(self, df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> int:
