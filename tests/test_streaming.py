@@ -171,6 +171,10 @@ def test_stream_equals_batch(spark, small, tmp_path, faults):
         assert row["batch_rows"] == row["stream_rows"] > 0, row
         assert all(v == 0 for k, v in row.items() if k.startswith(("only", "diff"))), row
     assert lake.read("silver.tracking_frames").count() == small["frames"].count()
+    # one match's rows are its own folders, and old team state is gone
+    plan = lake.read("silver.tracking_positions").filter("match_id = 'none'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(match_id" in plan.replace("\n", "") and lake.read("silver.tracking_positions").filter("match_id = 'none'").count() == 0
+    assert len(os.listdir(f"{tmp_path}/lake/state.team_windows")) <= 6 and len([f for f in os.listdir(f"{tmp_path}/lake/state.team_windows") if f.startswith("batch_id=")]) <= 2
     if not faults:
         bq = st.start_bronze(src(), lake, f"{tmp_path}/cpb", {"availableNow": True})
         bq.awaitTermination(300)

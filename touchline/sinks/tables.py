@@ -25,11 +25,12 @@ class Lake:
     """Parquet tables ``<root>/<layer>.<name>`` with known schemas.
 
     Batches are written to ``batch_id=<n>`` folders with dynamic partition overwrite: a retried batch replaces
-    its own files and never adds rows twice.
+    its own files and never adds rows twice. ``partitions`` names the columns a table is divided by above that, such as
+    the match, so that reading one match opens no other's files.
     """
 
-    def __init__(self, spark: SparkSession, root: str, schemas: dict[str, str] | None = None):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, schemas: dict[str, str] | None = None, partitions: dict[str, Sequence[str]] | None = None):
+        self.spark, self.root, self.partitions = spark, root.rstrip("/"), partitions or {}
         self.schemas = {n: T._parse_datatype_string(s) if isinstance(s, str) else s for n, s in (schemas or {}).items()}
 
     def path(self, name: str) -> str:
@@ -114,7 +115,7 @@ class Lake:
         df = df.drop("batch_id").withColumn("batch_id", F.lit(batch_id).cast("bigint")) \
             .observe(seen, F.count(F.lit(1)).alias("n"))
         (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
-         .partitionBy("batch_id").parquet(self.path(name)))
+         .partitionBy(*self.partitions.get(name, ()), "batch_id").parquet(self.path(name)))
         return seen.get["n"]
 
 

@@ -58,7 +58,9 @@ SCHEMAS = {
 
 
 def open_lake(spark: SparkSession, root: str) -> Lake:
-    return Lake(spark, root, SCHEMAS)
+    """Tables of the stream; what is read by match is divided by match."""
+    by_match = [n for n, s in SCHEMAS.items() if n.startswith(("silver.", "gold.")) and "match_id string" in s]
+    return Lake(spark, root, SCHEMAS, {n: ["match_id"] for n in by_match})
 
 
 def start_bronze(messages: DataFrame, lake: Lake, checkpoint: str, trigger: dict | None = None, query: str = "bronze"):
