@@ -159,7 +159,20 @@ def _(t):
     return changes.evidence(c, "change", "match_id", "team_id", "t_ms")
 
 
-@query("ve09_sections")
+# the greedy rule of the boundaries as a recursive query: one step a frame, carrying the last boundary
+@query("ve09_sections", f"""WITH RECURSIVE {EVENTS}, f AS (SELECT event_type AS track_id, floor((t_ms - 1704067200000) / {6 * HOUR}.0) AS hour, avg(value) AS rms FROM ev GROUP BY 1, 2),
+ s AS (SELECT track_id, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY track_id) AS n, rms, (coalesce(lag(rms) OVER w, 0) + rms + coalesce(lead(rms) OVER w, 0)) / 3 AS sm FROM f WINDOW w AS (PARTITION BY track_id ORDER BY hour)),
+ e0 AS (SELECT track_id, i, n, CASE WHEN n >= 3 THEN sm ELSE rms END AS v FROM s), top AS (SELECT track_id, max(v) AS top FROM e0 GROUP BY 1),
+ e AS (SELECT e0.track_id, i, n, v / top AS e, lead(v / top) OVER (PARTITION BY e0.track_id ORDER BY i) AS nxt FROM e0 JOIN top USING (track_id) WHERE top >= 1e-10),
+ walk AS (SELECT track_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS last, true AS cut FROM e WHERE i = 0
+  UNION ALL SELECT w.track_id, e.i, CASE WHEN e.i <= e.n - 2 AND abs(e.nxt - e.e) > 0.15 AND e.i - w.last >= 2 THEN e.i ELSE w.last END, e.i <= e.n - 2 AND abs(e.nxt - e.e) > 0.15 AND e.i - w.last >= 2
+   FROM walk w JOIN e ON e.track_id = w.track_id AND e.i = w.i + 1),
+ cuts AS (SELECT track_id, i AS a, row_number() OVER w - 1 AS section, lead(i) OVER w AS b, count(*) OVER (PARTITION BY track_id) AS k FROM walk WHERE cut WINDOW w AS (PARTITION BY track_id ORDER BY i)),
+ part AS (SELECT c.track_id, c.section, any_value(c.a) AS a, coalesce(any_value(c.b), any_value(e.n)) AS b, any_value(k) AS k, any_value(e.n) AS n, avg(e.e) AS energy, CASE WHEN count(*) >= 2 THEN arg_max(e.e, e.i) - arg_min(e.e, e.i) ELSE 0 END AS trend
+  FROM cuts c JOIN e ON e.track_id = c.track_id AND e.i >= c.a AND (c.b IS NULL OR e.i < c.b) GROUP BY 1, 2), p AS (SELECT *, section / greatest(k - 1, 1) AS pos FROM part)
+SELECT track_id, CAST(section AS INTEGER) AS section, CASE WHEN pos < 0.15 AND energy < 0.4 THEN 'intro' WHEN pos > 0.85 AND energy < 0.4 THEN 'outro' WHEN energy >= 0.65 THEN 'drop' WHEN trend > 0.1 THEN 'buildup' WHEN energy < 0.4 AND pos > 0.2 AND pos < 0.8 THEN 'breakdown' WHEN energy >= 0.4 THEN 'buildup' ELSE 'breakdown' END AS label,
+ round(a * 4.0::DOUBLE, 1) AS start_sec, round(least(b * 4.0::DOUBLE, n * 4.0::DOUBLE), 1) AS end_sec, CASE WHEN energy < 0.3 THEN 'low' WHEN energy < 0.65 THEN 'medium' ELSE 'high' END AS energy_level FROM p
+UNION ALL SELECT track_id, 0, 'silence', 0.0::DOUBLE, round(count(*) * 4.0::DOUBLE, 1), 'low' FROM e0 JOIN top USING (track_id) WHERE top < 1e-10 GROUP BY 1""")
 def _(t):
     f = events(t).groupBy(F.col("event_type").alias("track_id"), F.floor((F.col("t_ms") - 1704067200000) / (6 * HOUR)).alias("hour")).agg(F.avg("value").alias("rms"))
     from touchline.operators.ordered import with_sequence
