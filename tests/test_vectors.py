@@ -233,11 +233,12 @@ def _sections_model(rms, frame_s=4.0):
     return out
 
 
-def test_sections_match_model(spark):
+@pytest.mark.parametrize("chunk_rows", [2, 3, 7, 4096])
+def test_sections_match_model(spark, chunk_rows):
     rng = np.random.default_rng(9)
     tracks = {"club": [0.1] * 6 + [0.9] * 10 + [0.3] * 5 + [0.95] * 8 + [0.1] * 4, "silent": [0.0] * 5, "short": [0.5, 0.6], "noise": list(rng.random(60))}
     rows = [(k, i, float(v)) for k, x in tracks.items() for i, v in enumerate(x)]
-    d = sections.sections(spark.createDataFrame(rows, "track_id string, frame_idx int, rms double")).collect()
+    d = sections.sections(spark.createDataFrame(rows, "track_id string, frame_idx int, rms double"), chunk_rows=chunk_rows).collect()
     for k, x in tracks.items():
         got = [(r.label, r.start_sec, r.end_sec, r.energy_level) for r in sorted((r for r in d if r.track_id == k), key=lambda r: r.section)]
         assert got == _sections_model(x), k
