@@ -153,7 +153,27 @@ def _(t):
     return moments.lift(moment_index(t), 5)
 
 
-@query("ve08_change_points")
+# the least-cost segmentation as a recursive query: the best cost of each prefix from those before it, then back along the choices
+CHANGES = f"""WITH RECURSIVE {EVENTS}, ts AS (SELECT event_type AS match_id, CAST(floor((t_ms - 1704067200000) / (15 * {DAY}.0)) AS BIGINT) AS period, CAST(floor((t_ms - 1704067200000) / {HOUR}.0) AS BIGINT) AS sec, CASE WHEN user_id % 2 = 0 THEN 'home' ELSE 'away' END AS team_id,
+  min(t_ms) AS t_ms, avg(value) AS w, avg(k) AS d FROM ev GROUP BY 1, 2, 3, 4),
+ b AS (SELECT match_id, team_id, period, floor(sec / 6) AS bin, avg(w) AS w, avg(d) AS d, min(t_ms) AS t_ms FROM ts GROUP BY 1, 2, 3, 4),
+ z AS (SELECT *, count(*) OVER s AS n, row_number() OVER (s ORDER BY bin) - 1 AS i, (w - avg(w) OVER s) / coalesce(nullif(stddev_pop(w) OVER s, 0), 1) AS z0, (d - avg(d) OVER s) / coalesce(nullif(stddev_pop(d) OVER s, 0), 1) AS z1 FROM b WINDOW s AS (PARTITION BY match_id, team_id, period)),
+ c AS (SELECT *, sum(z0) OVER r AS p0, sum(z1) OVER r AS p1, sum(z0 * z0 + z1 * z1) OVER r AS pq FROM z WHERE n >= 12 WINDOW r AS (PARTITION BY match_id, team_id, period ORDER BY i)),
+ l AS (SELECT match_id, team_id, period, any_value(n) AS n, list_prepend(0.0, list(p0 ORDER BY i)) AS s0, list_prepend(0.0, list(p1 ORDER BY i)) AS s1, list_prepend(0.0, list(pq ORDER BY i)) AS sq FROM c GROUP BY 1, 2, 3),
+ dp AS (SELECT match_id, team_id, period, n, s0, s1, sq, CAST(4 AS BIGINT) AS e, [0.0::DOUBLE, 'inf'::DOUBLE, 'inf'::DOUBLE, 'inf'::DOUBLE] AS best, [0::BIGINT, 0, 0, 0] AS prev FROM l
+  UNION ALL SELECT match_id, team_id, period, n, s0, s1, sq, e + 1, list_append(best, list_min(tot) + 3.0 * ln(n)), list_append(prev, list_extract(from_, list_position(tot, list_min(tot)))) FROM (
+   SELECT *, list_transform(from_, lambda s: best[s + 1] + sq[e + 1] - sq[s + 1] - ((s0[e + 1] - s0[s + 1]) ** 2 + (s1[e + 1] - s1[s + 1]) ** 2) / (e - s)) AS tot FROM (
+    SELECT *, list_concat([0::BIGINT], range(4, e - 3)) AS from_ FROM dp WHERE e <= n))),
+ back AS (SELECT match_id, team_id, period, prev, n AS stop FROM dp WHERE e = n + 1 UNION ALL SELECT match_id, team_id, period, prev, prev[stop + 1] FROM back WHERE prev[stop + 1] > 0),
+ seg AS (SELECT c.match_id, c.team_id, c.period, c.i, (SELECT count(*) FROM back k WHERE k.match_id = c.match_id AND k.team_id = c.team_id AND k.period = c.period AND k.stop <= c.i) AS segment, c.w, c.d, c.z0, c.z1, c.t_ms FROM c),
+ m AS (SELECT match_id, team_id, period, segment, arg_min(t_ms, i) AS t_ms, arg_max(t_ms, i) AS final_ms, avg(w) AS w, avg(d) AS d, avg(z0) AS z0, avg(z1) AS z1 FROM seg GROUP BY 1, 2, 3, 4),
+ g AS (SELECT *, lag(t_ms) OVER o AS before_from_ms, lag(w) OVER o AS bw, lag(d) OVER o AS bd, z0 - lag(z0) OVER o AS d0, z1 - lag(z1) OVER o AS d1 FROM m WINDOW o AS (PARTITION BY match_id, team_id, period ORDER BY segment))
+SELECT match_id, team_id, period, t_ms, round(sqrt(d0 * d0 + d1 * d1), 2) AS magnitude_z, before_from_ms, final_ms + 6000 AS after_to_ms, CASE WHEN abs(d0) >= abs(d1) THEN ['width_m', 'depth_m'] ELSE ['depth_m', 'width_m'] END AS features,
+ CASE WHEN abs(d0) >= abs(d1) THEN [round(w - bw, 2), round(d - bd, 2)] ELSE [round(d - bd, 2), round(w - bw, 2)] END AS deltas, CASE WHEN abs(d0) >= abs(d1) THEN [round(bw, 2), round(bd, 2)] ELSE [round(bd, 2), round(bw, 2)] END AS befores,
+ CASE WHEN abs(d0) >= abs(d1) THEN [round(w, 2), round(d, 2)] ELSE [round(d, 2), round(w, 2)] END AS afters, 'change:' || match_id || ':' || team_id || ':' || t_ms AS evidence_id FROM g WHERE before_from_ms IS NOT NULL"""
+
+
+@query("ve08_change_points", CHANGES)
 def _(t):
     c = changes.change_points(team_seconds(t), ["match_id", "team_id", "period"], ["width_m", "depth_m"], 6)
     return changes.evidence(c, "change", "match_id", "team_id", "t_ms")
