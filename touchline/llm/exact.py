@@ -227,7 +227,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     A null text is an empty one, and equal to it; a text of white space only is one blank. Ids may be null: the
     smallest id is taken among the others, and is null only where all are. Exactly one row of a group is kept: of
-    rows that repeat both the text and the smallest id, any one. Other columns are not read, whatever their names;
+    rows that repeat both the text and the smallest id, any one. Very long texts are compared whole. Other columns are not read, whatever their names;
     an empty table gives an empty result.
     """
     own = owners(docs, id_col, text_col).withColumnRenamed("digest", "text_sha256")
@@ -243,7 +243,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that ``classes`` keeps, with the input's columns. Only a kept row finds its owner by digest and id."""
+    """The rows that ``classes`` keeps, with the input's columns, whatever their names. Only a kept row finds its owner by digest and id.
+
+    Null texts count as empty ones, one of which stays; null ids come after all others; of rows that repeat text and smallest id any
+    one stays. Very long texts are compared whole. An empty table gives an empty result.
+    """
     own = written(owners(docs, id_col, text_col), "exact-owners")
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), _digest(text_col).alias("d"))
     rows = rows.join(own, (F.col("d") == F.col("digest")) & F.col("id").eqNullSafe(F.col("keep_id")))

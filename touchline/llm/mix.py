@@ -106,9 +106,11 @@ def plan(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed rows: each input row as often as ``plan`` gives it copies, with the input's columns.
+    """The mixed rows: each input row as often as ``plan`` gives it copies, with the input's columns, whatever their names.
 
-    Rows that repeat each other in full are folded first and emitted as often as they are due together.
+    Rows that repeat each other in full are folded first and emitted as often as they are due together. Texts without words (null,
+    empty, blank) are of size 0 and come as often as their source's rate says, as any other; null ids and sources are carried along;
+    words of very long texts are all counted. An empty table gives an empty result.
     """
     p = written(plan(docs, **options).filter(F.col("copies") > 0).select("doc_id", "row_hash", "copies"), "mix-copies")
     repeated = not p.groupBy("doc_id", "row_hash").count().filter(F.col("count") > 1).isEmpty()

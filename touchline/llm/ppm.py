@@ -185,7 +185,7 @@ def score(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col:
 
     Rows whose crc32(id as text) mod ``folds`` is ``fold`` are held out; a null id counts as empty text there. Null
     texts are empty: one token, the end. ``base_score`` is the smoothed word model of the contract, ``score`` the
-    log10 probability that this model gives the text. Without any training row every byte is equally likely.
+    log10 probability that this model gives the text, however long it is. Without any training row every byte is equally likely.
     Repeated rows each give a row (and count each time); other columns are not read, whatever their names; an empty
     table gives an empty result. Word counts are joined by 64-bit hashes of the words.
     """

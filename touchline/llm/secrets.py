@@ -185,7 +185,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, base: int = len
 
     ``spans`` joins kind:start:end of all rules by comma, in order of start, then of the rules; ``base_sha256`` is the
     digest of those of the base rules alone. Null and empty texts hold nothing: zeros, the digest of the empty string
-    and an empty string. Repeated rows each give a row; other columns are not read, whatever their names; an empty
+    and an empty string. Very long texts are searched whole. Repeated rows each give a row; other columns are not read, whatever their names; an empty
     table gives an empty result.
     """
     kind = F.element_at(F.array(*[F.lit(r.kind) for r in rules]), F.col("kind") + 1)

@@ -176,7 +176,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     """One row per input row: doc_id, fingerprint (16 lowercase hex digits), component_id (smallest id reachable).
 
     Null and empty texts, and texts without a word, have fingerprint zero and are linked like any other. Null ids are
-    passed over when the smallest is taken; a component of null ids only has a null one. Repeated rows each give a row.
+    passed over when the smallest is taken; a component of null ids only has a null one. Repeated rows each give a row. Of very
+    long texts every shingle counts.
     Other columns are not read, whatever their names; an empty table gives an empty result.
     """
     prints = written(fingerprints(docs, id_col, text_col, width), "simhash")
@@ -186,7 +187,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
     """One row of each component, with the input's columns: that of the smallest id (null ids last), then of the least
-    text hash; of rows that repeat both, any one."""
+    text hash; of rows that repeat both, any one.
+
+    Null, empty and wordless texts are one component's if their fingerprint is. Very long texts count whole; columns of any name are
+    carried along; an empty table gives an empty result.
+    """
     prints = written(fingerprints(docs, id_col, text_col, width), "simhash")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     keep = prints.join(grouped(prints), F.col("fp") == F.col("c_fp")).groupBy("root").agg(F.min(place).alias("k"))
