@@ -341,7 +341,7 @@ def _(t):
     """Facts of the fitted models that SQL knows: rows of the split, the error of the mean, and whether errors and choice agree."""
     f = gold(t, "value_model")
     r = training.train_value(f, "1998-99", "1999-00")
-    least = min(m["mae"] for m in r["results"].values())
+    least = min((m["mae"] for m in r["results"].values()), default=None)          # no model: no rows
     rows = [(n, r["train_rows"], r["validation_rows"], len(r["features"]), r["status"],
              0 <= m["mae"] <= m["rmse"] * (1 + 1e-9) and m["r2"] <= 1 and (n == r["best"]) == (m["mae"] == least)) for n, m in r["results"].items()]
     models = f.sparkSession.createDataFrame(rows, "model string, train_rows bigint, validation_rows bigint, features int, status string, sound boolean")
@@ -356,7 +356,7 @@ SELECT unnest(['logistic_regression', 'random_forest', 'gradient_boosting']) AS
 def _(t):
     f = gold(t, "improvement_model")
     r = training.train_improvement(f, "1998-99")
-    most = max(m["f1"] for m in r["results"].values())
+    most = max((m["f1"] for m in r["results"].values()), default=None)
     rows = [(n, r["train_rows"], r["test_rows"], all(0 <= m[k] <= 1 for k in ("accuracy", "f1", "auc")) and (n == r["best"]) == (m["f1"] == most and most > 0))
             for n, m in r["results"].items()]
     models = f.sparkSession.createDataFrame(rows, "model string, train_rows bigint, test_rows bigint, sound boolean")
