@@ -70,6 +70,22 @@ def test_a_query_reaches_only_what_its_bound_allows(spark):
     assert {(r.qid, r["rank"], r.cid) for r in got} == {(i, n + 1, j) for i in want for n, (j, _) in enumerate(want[i])}
 
 
+def test_a_query_is_sent_once_to_each_bin(spark):
+    """Where bounds rule nothing out, what is moved grows with the bins, not with the blocks."""
+    from touchline.operators import balls
+
+    rng = np.random.default_rng(5)
+    c = rng.normal(0, 1, (600, 16))
+    mk = lambda n: spark.createDataFrame([("g", i, [float(x) for x in v]) for i, v in enumerate(c)], f"g string, {n} bigint, vec array<double>")
+    index = balls.build(mk("cid"), 3, cells=4, leaf=10, block_rows=16, bin_rows=150)
+    bins = index.blocks.select("bin").distinct().count()
+    assert index.blocks.count() > 40 and 3 <= bins <= 5
+    assert balls.routes(index, mk("qid"), 3).count() <= bins * len(c)
+    want = brute(c, c, 3)
+    got = balls.nearest(index, mk("qid"), 3).collect()
+    assert {(r.qid, r["rank"], r.cid) for r in got} == {(i, n + 1, j) for i in want for n, (j, _) in enumerate(want[i])}
+
+
 def test_plan_has_no_cross_join_and_no_copies(spark):
     from touchline.operators import balls
 

@@ -5,9 +5,11 @@ around centres taken from the data, and each cell into sub-cells around centres
 cell as there are cells, so finding a vector's sub-cell costs about twice the square root of their number. Sub-cells of
 more than ``block_rows`` vectors are kept in several blocks. Every block has a centre, a radius and a size.
 
-A query is sent to the cells, then to the blocks, that its bound allows: some blocks hold k vectors within that distance, and
-the triangle inequality shows the others to be farther. Its nearest blocks are searched first, which tightens the bound. Vectors
-of a block are read once and beside them the queries stream by; no block is repeated for its queries, except where over
+Blocks that lie beside one another are kept in bins of about ``bin_rows`` vectors, and a query is sent to bins: at most once to each that
+holds a block its bound allows, so what is moved grows with queries times bins however small the blocks are. The bound comes from the
+blocks (some hold k vectors within that distance, and the triangle inequality shows others to be farther); the bin of its nearest block is
+searched first, which tightens it. Inside a bin only blocks are measured that the bound of some query at hand allows. Vectors
+of a bin are read once and the queries stream by; no bin is repeated for its queries, except where over
 ``query_rows`` ask for one, which is then split among as many tasks.
 """
 from __future__ import annotations
@@ -26,17 +28,20 @@ from touchline.operators import ordered
 from touchline.session import materialize
 
 LEAF = 2048              # vectors that a sub-cell should hold
-BLOCK_ROWS = 4096        # vectors held together in one task
+BLOCK_ROWS = 4096        # vectors of a block
+BIN_ROWS = 32_768        # vectors held together in one task: those of whole blocks
+CHUNK_CELLS = 1 << 22    # distances computed at once
 QUERY_ROWS = 20_000      # queries that stream by one block in one task
 MOST_CENTRES = 16_384    # cells; they grow with the root of the corpus, so this is met at some 5 * 10^11 vectors
 
 BLOCK = ["g", "cell", "sub", "part"]
+BIN = ["g", "bin"]
 
 
 @dataclass(frozen=True)
 class BallIndex:
-    """centres: one row per cell (sent with the tasks). cells: g, cell, n, radius. blocks: BLOCK, centre, n, radius.
-    points: BLOCK, cids (at most ``k``, ascending), vec."""
+    """centres: one row per cell (sent with the tasks). cells: g, cell, n, radius. blocks: BLOCK, centre, n, radius, bin.
+    points: BLOCK, bin, cids (at most ``k``, ascending), vec."""
 
     k: int
     centres: np.ndarray
@@ -88,7 +93,8 @@ def _folded(corpus: DataFrame, k: int) -> DataFrame:
     return least.groupBy("g", "vec").agg(F.array_sort(F.collect_list("cid")).alias("cids"))
 
 
-def build(corpus: DataFrame, k: int, cells: int | None = None, leaf: int = LEAF, block_rows: int = BLOCK_ROWS) -> BallIndex | None:
+def build(corpus: DataFrame, k: int, cells: int | None = None, leaf: int = LEAF, block_rows: int = BLOCK_ROWS,
+          bin_rows: int = BIN_ROWS) -> BallIndex | None:
     """Index of corpus (g, cid, vec) for searches of up to ``k`` neighbours; None if it is empty."""
     c = materialize(_folded(corpus, k), "balls-folded")
     n = c.count()
@@ -137,8 +143,11 @@ def build(corpus: DataFrame, k: int, cells: int | None = None, leaf: int = LEAF,
     points = beside(held, streamed, ["g", "cell", "slice"], prepare, place,
                     "g string, cell int, sub int, part string, cids array<bigint>, vec array<double>, centre array<double>, reach double")
     points = materialize(points, "balls-points")
-    blocks = materialize(points.groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("radius"), F.first("centre").alias("centre")), "balls-blocks")
-    return BallIndex(k, centres, of_cell.drop("one"), blocks, points.select(*BLOCK, "cids", "vec"))
+    blocks = points.groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("radius"), F.first("centre").alias("centre"))
+    before = F.sum("n").over(Window.partitionBy("g").orderBy("cell", "sub", "part").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = materialize(blocks.withColumn("bin", F.floor(F.coalesce(before, F.lit(0)) / bin_rows).cast("int")), "balls-blocks")
+    points = points.select(*BLOCK, "cids", "vec").join(blocks.select(*BLOCK, "bin"), BLOCK)
+    return BallIndex(k, centres, of_cell.drop("one"), blocks, points)
 
 
 def _enough(far: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
@@ -159,77 +168,87 @@ def _sliced(held: DataFrame, streamed: DataFrame, key: list[str], query_rows: in
     return held, streamed.join(asked, key).withColumn("slice", F.pmod(F.xxhash64("qid"), F.col("_s")).cast("int")).drop("_s")
 
 
-def routes(index: BallIndex, queries: DataFrame, k: int, query_rows: int = QUERY_ROWS) -> DataFrame:
-    """(qid, BLOCK, n, near, least, most): the blocks a query's bound allows, with the distance of their centre and bounds of the
-    distances of their vectors. Queries of a group the index does not have give no rows."""
-    centres = index.centres
-
-    def cell_of(rows):
-        return rows["cell"].to_numpy().astype("int64"), rows["n"].to_numpy().astype("int64"), rows["radius"].to_numpy()
+def _chunks(n: int, width: int) -> Iterator[slice]:
+    """Slices of ``n`` rows whose distances to ``width`` others are held at once."""
+    step = max(1, CHUNK_CELLS // max(1, width))
+    for i in range(0, n, step):
+        yield slice(i, i + step)
 
-    def to_cells(ready, rows, key):
-        cell, n, radius = ready
-        low, far = gaps(_matrix(rows["vec"]), centres[cell])
-        bound = _enough(far + radius, n, k)
-        q, c = np.nonzero(low - radius <= bound[:, None])
-        yield pd.DataFrame({"qid": rows["qid"].to_numpy()[q], "g": key[0], "cell": cell[c].astype("int32"), "vec": rows["vec"].to_numpy()[q], "bound": bound[q]})
 
-    key = ["g"]
-    held, streamed = _sliced(index.cells, queries.select("qid", "g", "vec"), key, query_rows)
-    allowed = beside(held, streamed, [*key, "slice"], cell_of, to_cells, "qid bigint, g string, cell int, vec array<double>, bound double")
-    allowed = materialize(allowed, "balls-allowed")
+def routes(index: BallIndex, queries: DataFrame, k: int, query_rows: int = QUERY_ROWS) -> DataFrame:
+    """(qid, BIN, least, bound, first): the bins a query's bound allows, with a lower bound of the distances there; ``first`` is the bin of
+    its nearest block. Queries of a group the index does not have give no rows."""
 
     def block_of(rows):
-        return rows[["sub", "part", "n"]].reset_index(drop=True), rows["radius"].to_numpy(), _matrix(rows["centre"])
-
-    def to_blocks(ready, rows, key):
-        what, radius, at = ready
-        v = _matrix(rows["vec"])
-        low, far = gaps(v, at)
-        bound = np.minimum(rows["bound"].to_numpy(), _enough(far + radius, what["n"].to_numpy().astype("int64"), k))
-        q, b = np.nonzero(low - radius <= bound[:, None])
-        found = what.iloc[b]
-        yield pd.DataFrame({"qid": rows["qid"].to_numpy()[q], "g": key[0], "cell": np.int32(key[1]), "sub": found["sub"].to_numpy().astype("int32"),
-                            "part": found["part"].to_numpy(), "n": found["n"].to_numpy().astype("int64"), "near": far[q, b],
-                            "least": (low - radius)[q, b], "most": (far + radius)[q, b]})
-
-    key = ["g", "cell"]
-    held, streamed = _sliced(index.blocks, allowed, key, query_rows)
-    found = beside(held, streamed, [*key, "slice"], block_of, to_blocks,
-                   "qid bigint, g string, cell int, sub int, part string, n bigint, near double, least double, most double")
-    return found
+        rows = rows.sort_values("bin")
+        bins, starts = np.unique(rows["bin"].to_numpy(), return_index=True)
+        return bins.astype("int32"), starts, rows["n"].to_numpy().astype("int64"), rows["radius"].to_numpy(), _matrix(rows["centre"])
+
+    def to_bins(ready, rows, key):
+        bins, starts, n, radius, at = ready
+        for part in _chunks(len(rows), len(at)):
+            some = rows.iloc[part]
+            low, far = gaps(_matrix(some["vec"]), at)
+            bound = _enough(far + radius, n, k)
+            least = np.minimum.reduceat(low - radius, starts, axis=1)
+            home = np.searchsorted(starts, far.argmin(1), side="right") - 1
+            allowed = least <= bound[:, None]
+            allowed[np.arange(len(some)), home] = True
+            q, b = np.nonzero(allowed)
+            yield pd.DataFrame({"qid": some["qid"].to_numpy()[q], "g": key[0], "bin": bins[b], "least": least[q, b], "bound": bound[q], "first": home[q] == b})
+
+    held, streamed = _sliced(index.blocks.select("g", "bin", "n", "radius", "centre"), queries.select("qid", "g", "vec"), ["g"], query_rows)
+    return beside(held, streamed, ["g", "slice"], block_of, to_bins, "qid bigint, g string, bin int, least double, bound double, first boolean")
 
 
 def search(index: BallIndex, queries: DataFrame, sent: DataFrame, k: int, query_rows: int = QUERY_ROWS) -> DataFrame:
-    """(qid, cid, d2): the ``k`` nearest of every block that a query is sent to (qid, BLOCK)."""
-    asked = sent.select("qid", *BLOCK).join(queries.select("qid", "vec"), "qid")
+    """(qid, cid, d2): the ``k`` nearest of every bin that a query is sent to (qid, BIN and bound: none farther is asked for)."""
+    asked = sent.select("qid", *BIN, "bound").join(queries.select("qid", "vec"), "qid")
 
     def prepare(rows):
-        return _matrix(rows["vec"]), rows["cids"].to_numpy()
+        rows = rows.sort_values(BLOCK[1:])
+        c, of = _matrix(rows["vec"]), rows[BLOCK[1:]]
+        starts = np.flatnonzero((of != of.shift()).any(axis=1).to_numpy())
+        n = np.diff(np.r_[starts, len(c)])
+        centre = np.add.reduceat(c, starts, axis=0) / n[:, None]
+        # per block: its farthest vector
+        reach = np.concatenate([gaps(c[a:a + m], centre[i:i + 1])[1][:, 0] for i, (a, m) in enumerate(zip(starts, n))])
+        return c, (c * c).sum(1), rows["cids"].to_numpy(), n, centre, np.maximum.reduceat(reach, starts)
 
     def best(ready, rows, key):
-        c, cids = ready
-        cc, take = (c * c).sum(1), min(k, len(c))
-        for i in range(0, len(rows), 512):
-            part = rows.iloc[i:i + 512]
-            q = _matrix(part["vec"])
+        c, cc, cids, n, centre, radius = ready
+        v, qids = _matrix(rows["vec"]), rows["qid"].to_numpy()
+        bound, home, need = rows["bound"].to_numpy().copy(), np.empty(len(v), np.int64), np.empty((len(v), len(n)), bool)
+        for part in _chunks(len(v), len(n)):
+            low, far = gaps(v[part], centre)
+            limit = np.minimum(bound[part] * (1 + 1e-12), _enough(far + radius, n, k))
+            home[part], need[part] = far.argmin(1), low - radius <= limit[:, None]
+        order = np.argsort(home, kind="stable")                 # queries that are near one another ask for the same blocks
+        for part in _chunks(len(order), len(c)):
+            mine = order[part]
+            wanted = need[mine].any(axis=0)
+            if not wanted.any():
+                continue
+            at = np.flatnonzero(np.repeat(wanted, n)) if not wanted.all() else np.arange(len(c))
+            here, hh, take = (c[at], cc[at], min(k, len(at))) if len(at) < len(c) else (c, cc, min(k, len(c)))
+            q = v[mine]
             qq = (q * q).sum(1)
-            rough = qq[:, None] + cc[None, :] - 2.0 * q @ c.T
+            rough = qq[:, None] + hh[None, :] - 2.0 * q @ here.T
             # everything within rounding of the k-th rough distance is measured again
-            limit = np.partition(rough, take - 1, axis=1)[:, take - 1] + 1e-9 * (qq + cc.max()) + 1e-12
+            limit = np.partition(rough, take - 1, axis=1)[:, take - 1] + 1e-9 * (qq + hh.max()) + 1e-12
             out = []
-            for j, qid in enumerate(part["qid"].to_numpy()):
+            for j, qid in enumerate(qids[mine]):
                 near = np.flatnonzero(rough[j] <= limit[j])
-                d2 = ((c[near] - q[j]) ** 2).sum(1)
-                times = [len(cids[x]) for x in near]
-                ids, d2 = np.concatenate([cids[x] for x in near]), np.repeat(d2, times)
+                d2 = ((here[near] - q[j]) ** 2).sum(1)
+                own = [cids[x] for x in at[near]]
+                ids, d2 = np.concatenate(own), np.repeat(d2, [len(x) for x in own])
                 first = np.lexsort((ids, d2))[:k]
                 out.append((np.full(len(first), qid), ids[first], d2[first]))
             qid, cid, d2 = (np.concatenate(a) for a in zip(*out))
             yield pd.DataFrame({"qid": qid, "cid": cid, "d2": d2})
 
-    held, streamed = _sliced(index.points, asked, BLOCK, query_rows)
-    return beside(held, streamed, [*BLOCK, "slice"], prepare, best, "qid bigint, cid bigint, d2 double")
+    held, streamed = _sliced(index.points, asked, BIN, query_rows)
+    return beside(held, streamed, [*BIN, "slice"], prepare, best, "qid bigint, cid bigint, d2 double")
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
@@ -237,24 +256,21 @@ def _top(found: DataFrame, k: int) -> DataFrame:
 
 
 def rounds(index: BallIndex, queries: DataFrame, k: int, query_rows: int = QUERY_ROWS) -> tuple[DataFrame, DataFrame]:
-    """(the k best of each query's nearest blocks: qid, cid, d2; the other blocks (qid, BLOCK) that may hold one as near)."""
+    """(the k best of each query's first bin: qid, cid, d2; the other bins (qid, BIN, bound) that may hold one as near)."""
     found = materialize(routes(index, queries, k, query_rows), "balls-routes")
-    # the nearest blocks that hold k vectors; a query has as many rows as its bound allows blocks
-    order = Window.partitionBy("qid").orderBy("near", *BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    found = found.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)))
-    found = materialize(found.select("qid", *BLOCK, "least", (F.col("before") < k).alias("first")), "balls-order")
     one = materialize(_top(search(index, queries, found.filter("first"), k, query_rows), k).drop("rank"), "balls-first")
-    bound = one.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.sqrt(F.max("d2"))).alias("bound"))
-    rest = found.filter("not first").join(bound, "qid", "left").filter(F.col("bound").isNull() | (F.col("least") <= F.col("bound") * (1 + 1e-12)))
-    return one, rest.select("qid", *BLOCK)
+    so_far = one.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.sqrt(F.max("d2"))).alias("so_far"))
+    rest = found.filter("not first").join(so_far, "qid", "left").withColumn("bound", F.least("bound", "so_far"))
+    return one, rest.filter(F.col("least") <= F.col("bound") * (1 + 1e-12)).select("qid", *BIN, "bound")
 
 
 def nearest(index: BallIndex, queries: DataFrame, k: int, query_rows: int = QUERY_ROWS) -> DataFrame:
     """Exact ``k`` nearest of the index per query (qid, g, vec): qid, cid, distance, rank; ties go to the smaller id."""
     if k > index.k:
         raise ValueError(f"the index keeps {index.k} ids of equal vectors, fewer than {k}")
-    if len(index.centres) == 1 and not index.blocks.groupBy("g").count().filter("count > 1").limit(1).count():
-        found = search(index, queries, queries.join(index.blocks.select(*BLOCK), "g"), k, query_rows)      # one block a group
+    if not index.blocks.filter("bin > 0").limit(1).count():                     # one bin a group
+        sent = queries.join(index.blocks.select("g").distinct(), "g").select("qid", "g", F.lit(0).alias("bin"), F.lit(math.inf).alias("bound"))
+        found = search(index, queries, sent, k, query_rows)
     else:
         one, rest = rounds(index, queries, k, query_rows)
         found = one.unionByName(search(index, queries, rest, k, query_rows))

@@ -35,7 +35,7 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, by: str | None = Non
     """Exact ``k`` nearest corpus rows (Euclidean) per query: qid, cid, distance, rank. For unit vectors the order equals cosine order.
 
     queries: qid, vec (and ``by``); corpus: cid, vec (and ``by``). Rows without a vector or a group take no part. The corpus is
-    indexed once (``balls``), and queries are sent only where their bound allows; pairs are never emitted. Keep a
+    indexed once (``balls``), and queries are sent only to the bins that their bound allows, once to each; pairs are never emitted. Keep a
     ``balls.build`` to ask several times.
     """
     group = (F.col(by) if by else F.lit(0)).cast("string").alias("g")
