@@ -204,3 +204,16 @@ def test_hooks_are_callables(spark, circle):
         assert tracking.HOOKS["handball"] == [high]
     finally:
         tracking.HOOKS.pop("handball", None)
+
+
+def test_carry_backward_keeps_one_running_value(spark):
+    """A frame to the last row is computed anew for every row; the carry must not need one, hot or not."""
+    from touchline.operators import ordered
+
+    rows = [("a", i, i if i % 4 == 3 else None) for i in range(50)] + [(None, 1, None), (None, 2, 7)]
+    d = spark.createDataFrame(rows, "k string, i int, v int")
+    for chunk in (None, F.floor(F.col("i") / 7)):
+        out = ordered.carry_backward(d, "v", "next", ["k"], ["i"], chunk)
+        assert "unboundedfollowing" not in out._jdf.queryExecution().toString().lower()
+        want = {("a", i): next((j for j in range(i, 50) if j % 4 == 3), None) for i in range(50)} | {(None, 1): 7, (None, 2): 7}
+        assert {(r.k, r.i): r.next for r in out.collect()} == want

@@ -126,19 +126,23 @@ def carry_forward(df: DataFrame, col: str, out: str, by, order, chunk: Column |
 
 
 def carry_backward(df: DataFrame, col: str, out: str, by, order, chunk: Column | None = None) -> DataFrame:
-    """First non-null value at or after the row."""
+    """First non-null value at or after the row.
+
+    The order is turned round: a frame that ends at the last row is computed anew for every row.
+    """
     o = _cols(order)
+    back = [c.desc_nulls_last() for c in o]
     if chunk is None:
-        w = Window.partitionBy(*by).orderBy(*o).rowsBetween(0, Window.unboundedFollowing)
-        return df.withColumn(out, F.first(col, ignorenulls=True).over(w))
+        w = Window.partitionBy(*by).orderBy(*back).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(out, F.last(col, ignorenulls=True).over(w))
     seen = F.when(F.col(col).isNotNull(), _pos(order))
+    later = Window.partitionBy(*by).orderBy(F.desc(CHUNK)).rowsBetween(Window.unboundedPreceding, -1)
     r = two_level(
         df, by, chunk,
-        local={"_in": lambda p: F.first(col, ignorenulls=True).over(
-            p.orderBy(*o).rowsBetween(0, Window.unboundedFollowing))},
+        local={"_in": lambda p: F.last(col, ignorenulls=True).over(
+            p.orderBy(*back).rowsBetween(Window.unboundedPreceding, 0))},
         summary={"_first": F.min_by(col, seen)},
-        carry={"_from": lambda w: F.first("_first", ignorenulls=True).over(
-            w.rowsBetween(1, Window.unboundedFollowing))})
+        carry={"_from": lambda w: F.last("_first", ignorenulls=True).over(later)})
     return r.withColumn(out, F.coalesce("_in", "_from")).drop("_in", "_from", CHUNK)
 
 
