@@ -82,6 +82,26 @@ def test_release_order_duplicates_corrections_late(spark, tmp_path):
     assert sum(r.kind == "end" for r in rows) == 1
 
 
+def test_a_batch_keeps_its_texts_out_of_memory(spark, tmp_path):
+    """Texts go through the scratch file and back in order, over several answers and batches; holes are packed."""
+    import numpy as np
+
+    from touchline.streaming import reorder
+
+    texts = reorder.Texts()
+    texts.add(["a", "", "\u00e9"])
+    texts.add(["\u4e2d", "end"])
+    assert texts.get(np.array([4, 2, 1, 3])) == ["end", "\u00e9", "", "\u4e2d"]
+    seqs = list(range(0, 30_000, 2))
+    late = [msg(i) for i in (1, 3)] + [msg(4), msg(30_001)]
+    _, rows = run_reorder(spark, tmp_path, [[msg(i) for i in reversed(seqs)], late, [msg(30_002, end_of_stream=True)]])
+    frames = [r for r in rows if r.kind == "frame"]
+    assert sorted(r.seq for r in frames) == [*seqs, 30_001] and all(json.loads(r.payload)["sequence"] == r.seq for r in frames)
+    assert {(r.seq, json.loads(r.payload)["reason"]) for r in rows if r.kind == "late"} == {(i, "late_beyond_reorder_buffer") for i in (1, 3)}
+    last = json.loads([r.payload for r in rows if r.kind == "stats"][-1])
+    assert last["c_duplicate"] == 1 and last["c_frames_released"] == 15_001 and last["c_missing_frames"] == 14_999 + 2
+
+
 def test_idle_match_is_finished_by_timer(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true")
     q, rows = run_reorder(spark, tmp_path, [[msg(i) for i in range(8)]], depth=5, idle_ms=3000, trigger={"processingTime": "1 second"})
