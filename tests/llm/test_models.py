@@ -203,3 +203,21 @@ def test_ties_and_few_large_documents_are_mixed_near_the_target(spark):
     target = next(r["target"] for r in got if r["doc_id"] == 100)
     assert abs(of(64) - target) <= abs(of(1) - target) and abs(of(64) - target) <= 0.1 * target
     assert all(r["taken"] <= 2 * r["size"] for r in got)
+
+
+def test_the_model_is_fitted_on_every_trusted_text(spark):
+    """No bound by default; a model too large to send gives the same judgement by joins."""
+    rows = [(i, f"some words of text number {i} and {i * 7} again", "en") for i in range(4600)] + [(5000, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(4600)] + [(5000, 1, 0)], "doc_id long, quality int, toxic int")
+    fitted = kneser.sample(docs, labels, None, None, "doc_id", "text").count()
+    assert fitted == docs.filter(~kneser.held(kneser.text_of("text"))).count()
+    some = docs.filter("doc_id % 23 = 0 or doc_id = 5000")
+    sent = {r["doc_id"]: r for r in kneser.judged(some, labels).collect()}
+    joined = {r["doc_id"]: r for r in kneser.judged(some, labels, most_entries=0).collect()}
+    assert sent.keys() == joined.keys() and len(sent) == 201
+    for d, r in sent.items():
+        assert joined[d]["perplexity"] == pytest.approx(r["perplexity"], rel=1e-9)
+        assert (joined[d]["threshold"] is None) == (r["threshold"] is None)
+        assert r["threshold"] is None or joined[d]["threshold"] == pytest.approx(r["threshold"], rel=1e-9)
+        assert joined[d]["kept"] == r["kept"] and joined[d]["lang"] == r["lang"]

@@ -1,12 +1,13 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
 Units are the text's bytes, but a word that repeats the word before it is one unit of its own. The model is fitted on
-a bounded sample of documents labelled good (``SAMPLE_DOCS`` and ``SAMPLE_BYTES`` are its bounds); a text with a word
+all documents labelled good but those held to set the limits (a bound on them is a parameter, none by default); a text with a word
 three times in a row is not trusted, so that runs of a word are strange to the model wherever they stand. Its tables are built by joins sharded on the n-gram and on
 its context: counts, the continuation counts of each lower order (different bytes to the left), the three discounts
 from the counts of counts, each context's weight for the next order, and the interpolated probability of every
-n-gram seen. The joined table has at most as many entries as the sample has bytes, per order; under that bound it is
-broadcast, and each document's log probability is summed where the document is, without moving any text.
+n-gram seen. While the joined table has at most ``MOST_ENTRIES`` entries it is
+broadcast, and each document's log probability is summed where the document is, without moving any text. A larger table stays
+where it is: the documents' different n-grams are joined with it, order by order, and the sums joined back.
 
 Thresholds cover all data: every document gets a perplexity, and a language's limit follows from two quantiles over
 its documents labelled good that the model was not fitted on: ``REACH`` times as far from the median, in bits, as the
@@ -28,8 +29,7 @@ from pyspark.sql import functions as F
 from touchline.llm.util import join_small, text_of, written
 
 N = 5
-SAMPLE_DOCS = 4000
-SAMPLE_BYTES = 16 << 20
+MOST_ENTRIES = 4_000_000        # of a model that is sent to the tasks, some 100 MB
 QUANTILE, REACH, PRIOR = 0.99, 5.0, 16
 HELD, ENOUGH, LEAST = 4, 20, 5
 START, AGAIN = 0xFE, b"\x02"
@@ -66,14 +66,22 @@ def held(text: Column) -> Column:
     return F.pmod(F.xxhash64(text), F.lit(HELD)) == 0
 
 
-def sample(docs: DataFrame, labels: DataFrame, most_docs: int, most_bytes: int, id_col: str, text_col: str) -> DataFrame:
-    """Trusted texts that are not held, in an order drawn by a hash of the id, up to the bounds. If they have more bytes
-    than the bound, the longest give only their beginnings, all of one size, so that no text shuts out another."""
-    # more than are taken, for some are held
-    drawn = trusted_ids(labels).withColumn("h", F.xxhash64("t_id")).orderBy("h", "t_id").limit(most_docs * HELD // (HELD - 1) + 1)
+def sample(docs: DataFrame, labels: DataFrame, most_docs: int | None, most_bytes: int | None, id_col: str, text_col: str) -> DataFrame:
+    """All trusted texts that are not held, one per id. With bounds, in an order drawn by a hash of the id, up to them; if they have more
+    bytes than the bound, the longest give only their beginnings, all of one size, so that no text shuts out another."""
+    drawn = trusted_ids(labels).withColumn("h", F.xxhash64("t_id"))
+    if most_docs is not None:
+        # more than are taken, for some are held
+        drawn = F.broadcast(drawn.orderBy("h", "t_id").limit(most_docs * HELD // (HELD - 1) + 1))
     text = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    text = text.join(F.broadcast(drawn), F.col("id") == F.col("t_id")).groupBy("h", "t_id").agg(F.max("text").alias("text"))
-    text = written(text.filter(~held(F.col("text"))).orderBy("h", "t_id").limit(most_docs), "kn-drawn")
+    text = text.join(drawn, F.col("id") == F.col("t_id")).groupBy("h", "t_id").agg(F.max("text").alias("text")).filter(~held(F.col("text")))
+    if most_docs is not None:
+        text = text.orderBy("h", "t_id").limit(most_docs)
+    if most_bytes is None:
+        return text.select("text")
+    if most_docs is None:
+        raise ValueError("a bound on bytes needs one on documents")
+    text = written(text, "kn-drawn")
     # at most ``most_docs`` sizes
     sizes = sorted(r[0] for r in text.select(F.octet_length("text")).collect())
     if sum(sizes) <= most_bytes:
@@ -147,7 +155,7 @@ def train(texts: DataFrame, n: int = N) -> DataFrame:
 
 
 class Model:
-    """The model's sorted tables; at most one entry per byte of the sample and size."""
+    """The model's sorted tables, at most ``MOST_ENTRIES`` entries."""
 
     def __init__(self, table: pa.Table, n: int = N):
         size, context, key, value = (table.column(c).to_numpy() for c in ("size", "context", "key", "value"))
@@ -214,8 +222,37 @@ def _scored(docs: DataFrame, model: Model, id_col: str, text_col: str, lang_col:
     return written(src.mapInArrow(run, f"doc_id long, lang string, perplexity double, n_units long, held boolean{kind}"), "kn-scored")
 
 
+def _scored_by_joins(docs: DataFrame, model: DataFrame, id_col: str, text_col: str, lang_col: str, rows: bool, n: int = N) -> DataFrame:
+    """As ``_scored``, with a model of any size: every different n-gram of the documents takes its value from the table's shards once."""
+    src = written(docs.select(F.monotonically_increasing_id().alias("at"), F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"),
+                              text_of(text_col).alias("text"), *([F.struct(*docs.columns).alias("row")] if rows else [])), "kn-documents")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, text in zip(b.column("at").to_pylist(), b.column("text")):
+                codes, _ = codes_of([units(text.as_py())], n)
+                keys, c = np.unique(codes, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(keys.size, at)), pa.array(keys), pa.array(c.astype(np.int64))], names=["at", "key", "c"])
+
+    grams = written(src.select("at", "text").mapInArrow(count, "at long, key long, c long"), "kn-grams")
+    found = grams.select("key").distinct()
+    log = lambda c: F.log10(F.greatest(c, F.lit(1e-300)))
+    value = F.lit(-float(np.log10(256)))
+    for m in range(1, n + 1):
+        for context, name in ((False, f"p{m}"), (True, f"w{m}")):
+            own = model.filter((F.col("size") == m) & (F.col("context") == context)).select(F.col("key").alias(f"k_{name}"), log(F.col("value")).alias(name))
+            masked = F.col("key").bitwiseAND((1 << 8 * m) - 1)
+            found = found.join(own, (F.shiftright(masked, 8) if context else masked) == F.col(f"k_{name}"), "left").drop(f"k_{name}")
+        value = F.coalesce(F.col(f"p{m}"), F.coalesce(F.col(f"w{m}"), F.lit(0.0)) + value)
+    total = grams.join(found.select("key", value.alias("value")), "key").groupBy("at").agg(F.sum(F.col("c") * F.col("value")).alias("total"), F.sum("c").alias("n_units"))
+    out = src.join(total.withColumnRenamed("at", "t_at"), F.col("at") == F.col("t_at"), "left").withColumn("n_units", F.coalesce("n_units", F.lit(0)))
+    perplexity = F.when(F.col("n_units") > 0, F.pow(F.lit(10.0), -F.col("total") / F.col("n_units"))).otherwise(1.0)
+    return written(out.select("doc_id", "lang", perplexity.alias("perplexity"), "n_units", held(F.col("text")).alias("held"), *(["row"] if rows else [])), "kn-scored")
+
+
 def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-           quantile: float = QUANTILE, reach: float = REACH, most_docs: int = SAMPLE_DOCS, most_bytes: int = SAMPLE_BYTES, rows: bool = False) -> DataFrame:
+           quantile: float = QUANTILE, reach: float = REACH, most_docs: int | None = None, most_bytes: int | None = None, rows: bool = False,
+           most_entries: int = MOST_ENTRIES) -> DataFrame:
     """One row per input row: doc_id, lang, perplexity, threshold, kept (perplexity at most the threshold).
 
     A null text is empty; an empty text has perplexity 1 and is kept. A null language is a language of its own. A
@@ -224,12 +261,14 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     whole. Repeated rows each give a row; an empty table gives an empty result. Columns of other
     names are not read, unless ``rows`` asks for the input's row as a struct.
     """
-    text = written(sample(docs, labels, most_docs, most_bytes, id_col, text_col), "kn-sample")
-    table = train(text).toArrow()
-    if not table.num_rows and not trusted_ids(labels).isEmpty():
+    table = train(sample(docs, labels, most_docs, most_bytes, id_col, text_col))
+    entries = table.count()
+    if not entries and not trusted_ids(labels).isEmpty():
         warnings.warn("documents are labelled good, but none has text to fit the model on: nothing is rejected")
-    model = Model(table)
-    scored = _scored(docs, model, id_col, text_col, lang_col, rows)
+    if entries <= most_entries:
+        scored = _scored(docs, Model(table.toArrow()), id_col, text_col, lang_col, rows)
+    else:
+        scored = _scored_by_joins(docs, table, id_col, text_col, lang_col, rows)
     # a few units prove little: PRIOR units of the language's median are added to each text
     scored = _by_lang(scored, labels, lambda x: F.percentile_approx(x, 0.5, 10_000), "middle")
     weighed = F.exp((F.col("n_units") * F.log("perplexity") + PRIOR * F.log("middle")) / (F.col("n_units") + PRIOR))
@@ -240,7 +279,7 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return q[0] * F.pow(q[1] / q[0], F.lit(reach))
 
     out = _by_lang(scored, labels, limit, "threshold")
-    if not table.num_rows:                          # no model, so no evidence against any document
+    if not entries:                                 # no model, so no evidence against any document
         out = out.withColumn("threshold", F.lit(None).cast("double"))
     kept = F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold")) | (F.col("n_units") == 0)
     return out.select("doc_id", "lang", "perplexity", "threshold", kept.alias("kept"), *(["row"] if rows else []))
