@@ -245,3 +245,41 @@ def test_registered_queries_fit_the_default_models(spark, monkeypatch, name, mod
     monkeypatch.setattr(importlib.import_module(module), attribute, seen)
     with pytest.raises(Called):
         QUERIES[name](spark, "/root/testdata/sf0.001")
+
+
+def test_a_chunked_window_shuffles_its_rows_once(spark):
+    """The rows' window and the join to what earlier chunks hand on have one key; null keys are one key."""
+    from touchline.operators import ordered
+
+    df = spark.createDataFrame([(k, i, float(i)) for k in ("a", None) for i in range(40)], "k string, t bigint, v double")
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    for c, v in conf.items():
+        spark.conf.set(c, v)
+    try:
+        d = ordered.with_lag(df, {"v": "p"}, ["k"], ["t"], ordered.by_number("t", 7))
+        side = d._jdf.queryExecution().executedPlan().toString()
+        assert side.count("Exchange hashpartitioning(_scope") == 1 and "coalesce(k" not in side
+        assert sorted((r.k or "", r.t, r.p) for r in d.collect()) == sorted((k, i, float(i - 1) if i else None) for k in ("a", "") for i in range(40))
+    finally:
+        for c in conf:
+            spark.conf.unset(c)
+
+
+def test_sums_and_lasts_in_chunks_are_those_without(spark):
+    from touchline.operators import ordered
+
+    rows = [(k, i, None if i % 5 == 1 else i % 7, None if i % 3 else i) for k in ("a", None) for i in range(60)]
+    df = spark.createDataFrame(rows, "k string, t bigint, v bigint, w bigint")
+    run = lambda c: ordered.sums_and_lasts(df, {"v": "s"}, {"w": "l"}, ["k"], ["t"], c).select("k", "t", "s", "l").collect()
+    assert sorted(map(str, run(None))) == sorted(map(str, run(ordered.by_number("t", 8))))
+
+
+def test_upsert_spreads_rows_before_it_sorts_them(spark):
+    from touchline.sinks.tables import upsert
+
+    new = spark.createDataFrame([("a", 2, "x"), (None, 1, "n")], "k string, at int, s string")
+    old = spark.createDataFrame([("a", 2, "y"), ("a", 1, "z"), ("b", 1, "w"), (None, 1, "m")], "k string, at int, s string")
+    d = upsert(new, old, ["k"], "at")
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Sort" not in plan[plan.index("Exchange"):]
+    assert sorted((r.k or "", r.at, r.s) for r in d.collect()) == [("", 1, "n"), ("a", 2, "x"), ("b", 1, "w")]

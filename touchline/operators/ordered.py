@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK = "_chunk"
+CHUNK, SCOPE = "_chunk", "_scope"
 # rows of one key that a single task sorts without trouble
 HOT_ROWS = 2_000_000
 
@@ -57,18 +57,16 @@ def two_level(df: DataFrame, by: Sequence[str], chunk: Column, local: dict, summ
     ``local``: name -> function(window spec base without order) giving a column inside (key, chunk);
     ``summary``: name -> aggregate column per (key, chunk); ``carry``: name -> function(window over the
     key's chunks) giving the value handed to every row of the chunk.
+
+    The rows' window and the join share one key, a struct, in which null fields are equal: the rows are shuffled once.
     """
     base = df.withColumn(CHUNK, chunk)
-    inside = Window.partitionBy(*by, CHUNK)
-    rows = base.withColumns({n: f(inside) for n, f in local.items()})
+    inside = Window.partitionBy(SCOPE)
+    rows = base.withColumn(SCOPE, F.struct(*by, CHUNK)).withColumns({n: f(inside) for n, f in local.items()})
     sums = base.groupBy(*by, CHUNK).agg(*[c.alias(n) for n, c in summary.items()])
     along = Window.partitionBy(*by).orderBy(CHUNK)
-    keys = [*by, CHUNK]
-    handed = sums.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-        *[f(along).alias(n) for n, f in carry.items()])
-    cond = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    return rows.join(handed, cond, "left").drop(*[f"_k{i}" for i in range(len(keys))])
+    handed = sums.select(F.struct(*by, CHUNK).alias("_handed"), *[f(along).alias(n) for n, f in carry.items()])
+    return rows.join(handed, F.col(SCOPE) == F.col("_handed"), "left").drop(SCOPE, "_handed")
 
 
 def _shift(df, cols, by, order, chunk, forward: bool):
@@ -173,6 +171,32 @@ def running_sum(df: DataFrame, col: str, out: str, by, order, chunk: Column | No
     return _running(df, col, out, by, order, chunk, F.sum, _plus, 0 if include_current else -1)
 
 
+def sums_and_lasts(df: DataFrame, sums: dict[str, str], lasts: dict[str, str], by, order, chunk: Column | None = None) -> DataFrame:
+    """``running_sum`` and ``carry_forward`` of several columns ({source: new name}); with a chunk they share one shuffle."""
+    if chunk is None:
+        for c, out in sums.items():
+            df = running_sum(df, c, out, by, order)
+        for c, out in lasts.items():
+            df = carry_forward(df, c, out, by, order)
+        return df
+    o = _cols(order)
+    upto = lambda p: p.orderBy(*o).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda c: F.last(c, ignorenulls=True)
+    r = two_level(
+        df, by, chunk,
+        local={**{f"_in_{n}": lambda p, c=c: F.sum(c).over(upto(p)) for c, n in sums.items()},
+               **{f"_in_{n}": lambda p, c=c: last(c).over(upto(p)) for c, n in lasts.items()}},
+        summary={**{f"_all_{n}": F.sum(c) for c, n in sums.items()},
+                 **{f"_all_{n}": F.max_by(c, F.when(F.col(c).isNotNull(), _pos(order))) for c, n in lasts.items()}},
+        carry={**{f"_from_{n}": lambda w, n=n: F.sum(f"_all_{n}").over(earlier(w)) for n in sums.values()},
+               **{f"_from_{n}": lambda w, n=n: last(f"_all_{n}").over(earlier(w)) for n in lasts.values()}})
+    names = [*sums.values(), *lasts.values()]
+    return r.withColumns({**{n: _plus(F.col(f"_in_{n}"), F.col(f"_from_{n}")) for n in sums.values()},
+                          **{n: F.coalesce(f"_in_{n}", f"_from_{n}") for n in lasts.values()}}) \
+        .drop(CHUNK, *[f"_in_{n}" for n in names], *[f"_from_{n}" for n in names])
+
+
 def with_sequence(df: DataFrame, out: str, by, order, chunk: Column | None = None, start: int = 0) -> DataFrame:
     """Gapless number per key, counting from ``start``."""
     return running_sum(df.withColumn("_one", F.lit(1).cast("bigint")), "_one", out, by, order, chunk) \

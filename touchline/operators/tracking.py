@@ -94,7 +94,9 @@ def ema(df: DataFrame, alpha: float, by, order: str, cols: dict[str, str], start
         d = materialize(d, "ema")
     d = d.withColumns({"_blk": F.floor(F.col("_n") / block), "_k": (F.col("_n") % block).cast("double")})
     # a piece is a segment cut at block borders; numbering pieces along the key keeps the sort order already there
-    scope = [*by] if chunk is None else [*by, "_blk"]
+    scope = [*by] if chunk is None else [ordered.SCOPE]
+    if chunk is not None:
+        d = d.withColumn(ordered.SCOPE, F.struct(*by, "_blk"))              # the join's key too: no second shuffle
     along = Window.partitionBy(*scope).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     cut = F.col(start) | (F.col("_k") == 0)
     d = d.withColumns({"_piece": F.sum(cut.cast("int")).over(along),
@@ -112,11 +114,8 @@ def ema(df: DataFrame, alpha: float, by, order: str, cols: dict[str, str], start
         d = d.withColumn("_end", F.last(F.when(F.col("_k") == block - 1, ends), ignorenulls=True).over(before))
     else:
         edge = d.filter(F.col("_k") == block - 1).select(
-            *[F.col(c).alias(f"_e_{c}") for c in by], (F.col("_blk") + 1).alias("_e_blk"), ends.alias("_end"))
-        cond = F.col("_blk") == F.col("_e_blk")
-        for c in by:
-            cond = cond & F.col(c).eqNullSafe(F.col(f"_e_{c}"))
-        d = d.join(edge, cond, "left").drop("_e_blk", *[f"_e_{c}" for c in by])
+            F.struct(*by, (F.col("_blk") + 1).alias("_blk")).alias("_e"), ends.alias("_end"))
+        d = d.join(edge, F.col(ordered.SCOPE) == F.col("_e"), "left").drop(ordered.SCOPE, "_e")
     rest = F.pow(F.lit(keep), F.col("_k") + 1)
     carried = lambda c: F.when(F.col("_open"), F.coalesce(rest * F.col(f"_end.{c}"), F.lit(0.0))).otherwise(F.lit(0.0))
     d = d.withColumns({out: F.col(f"_l_{c}") + carried(c) for c, out in cols.items()})
@@ -139,10 +138,9 @@ def sprint_entries(d: DataFrame, sprint_speed: float, chunk: Column | None = Non
     d = d.withColumns({"_fast": F.when(F.col("is_state"), F.coalesce("sprint0", F.lit(False))).when(valid, fast),
                        "_slow": slow.cast("bigint")})
     cut = (lambda x: x) if chunk is None else (lambda x: materialize(x, "sprint"))
-    d = cut(ordered.running_sum(d, "_slow", "_cum", by, [order], chunk))
+    d = cut(ordered.sums_and_lasts(d, {"_slow": "_cum"}, {"_fast": "in_sprint"}, by, [order], chunk))
     d = d.withColumn("_mark", F.when(valid & fast, F.col("_cum")))
     d = cut(ordered.carry_forward(d, "_mark", "_last", by, [order], chunk))
-    d = cut(ordered.carry_forward(d, "_fast", "in_sprint", by, [order], chunk))
     d = d.withColumns({"below_ms": F.col("_cum") - F.coalesce("_last", F.lit(0)),
                        "in_sprint": F.coalesce("in_sprint", F.lit(False))})
     d = ordered.with_lag(d, {"below_ms": "_b", "in_sprint": "_i"}, by, [order], chunk)
