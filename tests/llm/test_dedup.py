@@ -305,3 +305,26 @@ def test_lines_with_edits_spread_evenly_meet(spark):
     rows = [(2 * i + t, line(i, n, t)) for i, n in enumerate((30, 60, 100, 150, 190)) for t in (0, 1)]
     got = {r["doc_id"]: r["n_kept"] for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {d: 1 - d % 2 for d, _ in rows}
+
+
+def test_written_leaves_no_shuffle_files(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from touchline.llm.util import CLEANUP, written
+
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        found = manager.getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+    before, old = files(), spark.conf.get(CLEANUP)
+    out = written(spark.range(20000).groupBy((F.col("id") % 999).alias("k")).count(), "shuffled")
+    for _ in range(100):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and spark.conf.get(CLEANUP) == old
+    assert out.count() == 999
