@@ -328,3 +328,15 @@ def test_written_leaves_no_shuffle_files(spark):
         time.sleep(0.1)
     assert not files() - before and spark.conf.get(CLEANUP) == old
     assert out.count() == 999
+
+
+def test_runs_in_slices_are_all_runs(spark):
+    """Each run is in one slice, equal ones in the same, and no slice has most of them."""
+    rng = random.Random(3)
+    rows = [(i, "\n".join(" ".join(f"w{rng.randrange(400)}" for _ in range(rng.randrange(3, 40))) for _ in range(3))) for i in range(30)]
+    words = lines.line_words(lines._documents(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text"))
+    cut = [[tuple(r) for r in lines.runs(words, 0.8, 0, i, 4).collect()] for i in range(4)]
+    assert sorted(sum(cut, [])) == sorted(tuple(r) for r in lines.runs(words, 0.8, 0).collect())
+    assert max(map(len, cut)) < 0.5 * sum(map(len, cut))
+    keys = [{r[0] for r in c} for c in cut]
+    assert len(set().union(*keys)) == sum(map(len, keys))
