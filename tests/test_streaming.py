@@ -239,6 +239,25 @@ def test_score_stream_inserts_once(spark, tmp_path):
     assert e == [("goal", 3, "P", ""), ("goal", 9, "P (OG)", ""), ("substitution", 0, "", "O")]
 
 
+def test_score_rows_come_from_two_readings(spark, tmp_path):
+    """All tables' rows are those of the builders, nulls and empty lists included, and the input is parsed for keyed and unkeyed rows only."""
+    ev = [{"type": "goal", "minute": 3, "player": "P", "team": "H"}, {"type": "substitution", "playerIn": "I", "playerOut": "O"}, None]
+    values = [snapshot("epl", "g1", 1, 0, "live", ev, [{"period": 1, "homeScore": 1}, None]), snapshot("epl", None, None, 0, "live"),
+              '{"league": null, "games": [null, {"gameId": "g3"}]}', '{"games": null}', "no json", None]
+    g = sc.games(spark.createDataFrame([(v,) for v in values], "value string"))
+    rows = sc.all_rows(g)
+    for name, build in sc.BUILDERS.items():
+        mine = rows.filter(F.col("table") == name).select(F.from_json("row", sc.SCHEMAS[name]).alias("r")).select("r.*").drop("batch_id", "ingested_at")
+        want = build(g).drop("ingested_at").select(*mine.columns)
+        assert sorted(map(repr, mine.collect())) == sorted(map(repr, want.collect()))
+    keys, null_safe = sc.KEYS["match_events"]
+    loose = sc.match_events(g).filter(" or ".join(f"{k} is null" for k in keys if k not in null_safe)).count()
+    assert rows.filter("not whole and table = 'match_events'").count() == loose > 0
+    write_batches(f"{tmp_path}/in", [[("k", values[0])]])
+    stream = sc.inserted_once(sc.all_rows(sc.games(stream_source(spark, {"format": "json", "path": f"{tmp_path}/in"}))))
+    assert stream._jdf.queryExecution().analyzed().toString().count("from_json(") == 2
+
+
 def test_changes_only_stream(spark, tmp_path):
     write_batches(f"{tmp_path}/in", [[("a", "1"), ("a", "1"), ("b", "9")], [("a", "1"), ("a", "2"), ("a", "1")]])
     src = stream_source(spark, {"format": "json", "path": f"{tmp_path}/in", "per_trigger": 1})
