@@ -283,3 +283,30 @@ def test_upsert_spreads_rows_before_it_sorts_them(spark):
     plan = d._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Sort" not in plan[plan.index("Exchange"):]
     assert sorted((r.k or "", r.at, r.s) for r in d.collect()) == [("", 1, "n"), ("a", 2, "x"), ("b", 1, "w")]
+
+
+def test_forests_keep_their_rows_nodes(spark, monkeypatch):
+    """Every forest keeps the rows' nodes; that changes no tree."""
+    from pyspark.ml.regression import RandomForestRegressor
+
+    seen = []
+
+    class Stop(Exception):
+        pass
+
+    def caught(features, model):
+        seen.append(model)
+        raise Stop
+
+    monkeypatch.setattr(training, "feature_pipeline", caught)
+    rows = spark.range(80).select(F.when(F.col("id") < 60, "1").otherwise("2").alias("SEASON"), (F.col("id") + 1.0).alias("salary"),
+                                  F.lit(50).alias("GP"), F.lit(20.0).alias("MIN"), (F.col("id") % 7).alias("PTS"), F.col("id").alias("PLAYER_ID"))
+    with pytest.raises(Stop):
+        scores.score_underrated(rows)
+    monkeypatch.undo()
+    forests = [*seen, training.value_models()["random_forest"], training.improvement_models()["random_forest"]]
+    assert [f.getCacheNodeIds() for f in forests] == [True] * 3
+    d = training.prepared(rows, ["GP", "PTS", "MIN"])
+    fit = lambda keep: training.feature_pipeline(["GP", "PTS", "MIN"], RandomForestRegressor(
+        labelCol="salary", numTrees=5, seed=42, cacheNodeIds=keep)).fit(d).stages[-1].toDebugString.split("\n", 1)[1]
+    assert fit(True) == fit(False)
