@@ -310,3 +310,23 @@ def test_forests_keep_their_rows_nodes(spark, monkeypatch):
     fit = lambda keep: training.feature_pipeline(["GP", "PTS", "MIN"], RandomForestRegressor(
         labelCol="salary", numTrees=5, seed=42, cacheNodeIds=keep)).fit(d).stages[-1].toDebugString.split("\n", 1)[1]
     assert fit(True) == fit(False)
+
+
+def test_models_are_fitted_at_once(spark):
+    """Two models that each wait for the other: one after the other they would never end."""
+    import threading
+
+    from pyspark.ml import Estimator
+    from pyspark.ml.regression import LinearRegression
+
+    both = threading.Barrier(2, timeout=60)
+
+    class Meets(Estimator):
+        def _fit(self, dataset):
+            both.wait()
+            return LinearRegression(labelCol="salary").fit(dataset)
+
+    rows = spark.range(120).select(F.when(F.col("id") < 80, "2021-22").otherwise("2023-24").alias("SEASON"), (F.col("id") * 2.0 + 1).alias("salary"), F.col("id").alias("PTS"))
+    r = training.train_value(rows, models={"a": Meets(), "b": Meets()})
+    assert list(r["results"]) == list(r["models"]) == ["a", "b"] and r["status"] == "ok"
+    assert r["results"]["a"]["mae"] == r["results"]["b"]["mae"] < 1e-6
