@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -59,6 +60,38 @@ def test_ids_equal_the_rank_library(model, rank_library, text):
     assert all(0 <= a <= b <= len(text) for a, b in e.offsets)
 
 
+@settings(max_examples=300, deadline=None)
+@given(texts=st.lists(st.one_of(ALPHABET, st.text(st.sampled_from("ab1!' \n\t\u00a0\u3000\u200b中é"), max_size=30)), min_size=1, max_size=4))
+def test_ids_of_stretches_are_those_of_the_text(model, rank_library, texts):
+    stretches = bpe.Stretches(*model, public_tokenizers.PATTERN)
+    for _ in range(2):                              # learned, then remembered
+        got = [np.frombuffer(x, "<u4").tolist() for x in stretches.many(texts)]
+        assert got == [rank_library.encode_ordinary(t) for t in texts]
+
+
+def test_a_stretch_met_before_is_not_encoded_again(model, monkeypatch):
+    """Each different stretch goes through the merges once; what is kept has a bound."""
+    class Asked:
+        def __init__(self):
+            self.texts = []
+
+        def encode_batch_fast(self, texts, add_special_tokens):
+            self.texts += texts
+            return model[0].encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+    asked, text = Asked(), "one two one two " * 50 + "y" * 100
+    stretches = bpe.Stretches(asked, model[1], public_tokenizers.PATTERN)
+    stretches.many([text, text])
+    assert sorted(asked.texts[:-1]) == ["one"] and sorted(asked.texts[-1].split()) == ["one", "two", "y" * 100] and "y" * 100 not in "".join(stretches.known)
+    monkeypatch.setattr(bpe, "REMEMBERED", 10)
+    for i in range(50):
+        stretches.many([f"a{i} b{i}"])
+        assert len(stretches.known) <= 10
+    own = bpe.Stretches(asked, model[1], "[a-z]+| ")          # of other patterns nothing is known
+    own.many(["a b"])
+    assert asked.texts[-1] == "a b"
+
+
 def test_split_characters_wait_for_their_rest(model):
     tok, table = model
     ids = tok.encode("\U0001f9ff", add_special_tokens=False).ids

@@ -6,6 +6,9 @@ Tokens the merges cannot reach are still taken when they are a whole match, as t
 (``ignore_merges``). The library then works on characters: each byte is written as one character of the byte
 alphabet, and its offsets are the pieces' places in the text.
 
+``round_trip`` cuts texts where a match begins whatever stands around it, and remembers what the library says about each stretch:
+the ids of a text are those of its stretches.
+
 Decoding reverses the byte table: ids give bytes, and bytes give text. A token may end inside a character;
 ``decode_text`` keeps such bytes until the rest has come and only replaces what never becomes a character.
 """
@@ -14,6 +17,7 @@ from __future__ import annotations
 import base64
 import codecs
 import hashlib
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,6 +29,14 @@ from pyspark.sql import functions as F
 from touchline.llm.tokens import byte_alphabet
 from touchline.llm.util import text_of
 
+# A blank or line feed between two other characters begins a match, whatever stands around them. Some characters that are no white
+# space, but are near it, are taken for it, so texts are not cut there either.
+_GAP = r"\s\x1c-\x1f\x85\u180e\u200b-\u200d\u2060\ufeff"
+CUT = re.compile(rf"(?:[ \n]?[^{_GAP}]+|[{_GAP}]+[^{_GAP}]*)(?:(?![ \n][^{_GAP}])[{_GAP}]+[^{_GAP}]*)*")
+FOLLOWS = re.compile(rf"[ \n][^{_GAP}](?:[\s\S]*[^{_GAP}])?")
+CUTTABLE = frozenset([public_tokenizers.PATTERN])   # patterns of which that is known
+REMEMBERED, LONGEST = 400_000, 48                   # stretches kept in a worker, and the characters of the longest one kept
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -92,6 +104,46 @@ def _load(model: str):
     return Tokenizer.from_str(model)
 
 
+class Stretches:
+    """Ids of whole texts, as little-endian 32-bit numbers, by remembered stretches; lives in one Python worker.
+
+    New stretches that can follow any other go through the library as one text: no token crosses a cut, so the bytes of the
+    tokens tell where each stretch ends.
+    """
+
+    def __init__(self, tok, table: list[bytes], pattern: str):
+        self.tok, self.known = tok, {}
+        self.size = np.array(list(map(len, table)), np.int64)
+        self.cut = CUT.findall if pattern in CUTTABLE else lambda text: [text]
+
+    def _learn(self, new: list[str]) -> None:
+        after = list(filter(FOLLOWS.fullmatch, new))
+        rest = list(set(new).difference(after))
+        self.known.update(zip(rest, (np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(rest, add_special_tokens=False))))
+        if after:
+            ids = np.array(self.tok.encode_batch_fast(["".join(after)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.cumsum([len(x.encode("utf-8")) for x in after])
+            at = np.cumsum(self.size[ids])
+            cuts = np.searchsorted(at, ends)
+            if not np.array_equal(at[cuts], ends):
+                raise ValueError("a token crosses a cut")
+            packed, cuts = ids.tobytes(), [0, *(4 * (cuts + 1)).tolist()]
+            self.known.update((x, packed[a:b]) for x, a, b in zip(after, cuts, cuts[1:]))
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        cut, known = list(map(self.cut, texts)), self.known
+        every = set().union(*cut)
+        if len(known) + len(every) > REMEMBERED:
+            known.clear()
+        new = list(every.difference(known))
+        self._learn(new)
+        out = [b"".join(map(known.__getitem__, x)) for x in cut]
+        for x in new:
+            if len(x) > LONGEST:
+                del known[x]
+        return out
+
+
 def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id",
            text_col: str = "text", offsets: bool = True) -> DataFrame:
     """Each row's ids and, per id, the characters [start, end) of the text it covers. Null texts are empty, and have no ids."""
@@ -145,15 +197,15 @@ def round_trip(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, table = shared.value
-        tok = _load(model)
+        stretches = Stretches(_load(model), table, pattern)
         for b in batches:
             out = []
             for i in range(0, b.num_rows, 256):
                 texts = b.column("text").slice(i, 256).to_pylist()
-                for text, e in zip(texts, tok.encode_batch_fast(texts, add_special_tokens=False)):
-                    ids = e.ids
+                for text, packed in zip(texts, stretches.many(texts)):
+                    ids = np.frombuffer(packed, "<u4").tolist()
                     back = decode_bytes(table, ids)
-                    out.append((len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(),
+                    out.append((len(ids), hashlib.sha256(packed).hexdigest(),
                                 hashlib.sha256(back).hexdigest(), back == text.encode("utf-8")))
             cols = list(zip(*out)) if out else [(), (), (), ()]
             yield pa.RecordBatch.from_arrays(
