@@ -159,6 +159,27 @@ def test_full_buckets_link_what_pairs_do():
             assert got == ([(0, 1)] if differing <= most else [])
 
 
+def test_chains_find_what_no_window_does(spark):
+    """19 bits that fall into every window of every ring, so that no window agrees: some word differs in at most 4 of them."""
+    rng = random.Random(12)
+    places = [[{simlong.STEPS[r] * i % simlong.BITS for i in range(16 * s, 16 * s + 16)} for s in range(simlong.STARTS)] for r in range(4)]
+    windows = [w for ring in places for w in ring]
+    while True:
+        hit, left = [], list(windows)
+        while left and len(hit) < 20:
+            often = [sum(b in w for w in left) if sum(x // 64 == b // 64 for x in hit) < 5 else 0 for b in range(simlong.BITS)]
+            hit.append(rng.choice([b for b in range(simlong.BITS) if often[b] == max(often)]))
+            left = [w for w in left if hit[-1] not in w]
+        if not left and len(hit) <= 19:
+            break
+    bits = np.random.default_rng(2).integers(0, 2, (3, simlong.BITS), np.uint8)
+    bits[1] = bits[0]
+    bits[1, hit] ^= 1
+    fp = np.packbits(bits, axis=1, bitorder="little").view("<u8").view(np.int64).tolist()
+    prints = spark.createDataFrame([(i, *f) for i, f in enumerate(fp)], "node long, w0 long, w1 long, w2 long, w3 long")
+    assert [tuple(r) for r in simlong.candidates(prints, simlong.most_differing(0.8)).collect()] == [(0, 1)]
+
+
 def edited(rng, w, least, most):
     """A copy of the words of similarity ``least`` to ``most``, that similarity."""
     while True:

@@ -7,7 +7,9 @@ Candidates with differing fingerprints are linked only if the shingles of the fi
 is counted exactly. The bits are put
 around the ring in four orders, so that chances of a start do not hang together. A pair is looked for where four
 segments in a row agree, from any of 16 starts of each ring; then all bits are compared, however many fingerprints meet
-there. What four agreeing segments miss is measured, not guessed: see ``tests/llm`` and
+there. Each of the four words is a fingerprint of 64 bits of its own, and is also looked for by chains of segments (``simhash``),
+which find every word that differs in at most 4 bits: so a pair that differs in at most 19 bits, hence in at most 4 of some
+word, is a candidate for certain, where windows alone promise 15. What four agreeing segments miss beyond is measured, not guessed: see ``tests/llm`` and
 the README. Within a bucket only links that span it are tried first; where refused ones leave what candidates hold together in
 parts, members are tried with the most typical ones around them, and then every pair of parts that can be similar is looked
 for by a prefix filter on the sets, so that no refused link hides another. Only wide windows keep buckets small as the corpus grows: ``head`` is a parameter.
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate
 
 import numpy as np
@@ -23,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from touchline.llm import simhash
 from touchline.llm.components import components
 from touchline.llm.util import drop_written, text_of, written
 
@@ -166,6 +170,31 @@ def bucket_links(most: int):
     return run
 
 
+def chain_links(prints: DataFrame, word: str) -> DataFrame:
+    """(a, b): links that join all (node, w0..w3) whose ``word`` differs in few enough bits, found by chains of segments around its ring."""
+    reps = written(prints.groupBy(F.col(word).alias("fp")).agg(F.min("node").alias("rep")), "simlong-words")
+    near = simhash.links(reps.select("fp")).distinct()
+    near = near.join(reps.toDF("a", "rep_a"), "a").join(reps.toDF("b", "rep_b"), "b").select("rep_a", "rep_b")
+    equal = prints.join(reps, F.col(word) == F.col("fp")).filter("node <> rep").select("rep", "node")
+    out = written(near.union(equal).toDF("a", "b"), "simlong-chains")
+    drop_written(reps)
+    return out
+
+
+def candidates(prints: DataFrame, most: int) -> DataFrame:
+    """(a, b), the smaller first: links between distinct (node, w0..w3) that share a window and differ in at most ``most`` bits, or
+    whose words' chains meet."""
+    rows = prints.mapInArrow(keyed, f"key long, node long, {', '.join(f'{f} long' for f in FIELDS)}")
+    found = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(
+        bucket_links(most), "a long, b long")
+    chains = [chain_links(prints, f) for f in FIELDS]
+    found = reduce(DataFrame.union, chains, found)
+    out = written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simlong-tried")
+    for done in chains:
+        drop_written(done)
+    return out
+
+
 def shingle_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """(node, shingles): the distinct shingles' hashes of the first text of each given (node, place)."""
 
@@ -288,12 +317,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     """
     prints = written(fingerprints(docs, id_col, text_col, width), "simlong")
     node = F.xxhash64(*FIELDS)
-    distinct = prints.select(node.alias("node"), *FIELDS).distinct()
-    rows = distinct.mapInArrow(keyed, f"key long, node long, {', '.join(f'{f} long' for f in FIELDS)}")
-    most = most_differing(similarity, SIGMAS)
-    found = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(
-        bucket_links(most), "a long, b long")
-    tried = written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simlong-tried")
+    tried = candidates(prints.select(node.alias("node"), *FIELDS).distinct(), most_differing(similarity, SIGMAS))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     of = prints.select(node.alias("n"), place.alias("place")).groupBy("n").agg(F.min("place").alias("place"))
     wanted = tried.select(F.col("a").alias("node")).union(tried.select("b")).distinct()
