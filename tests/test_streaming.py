@@ -102,6 +102,109 @@ def test_a_batch_keeps_its_texts_out_of_memory(spark, tmp_path):
     assert last["c_duplicate"] == 1 and last["c_frames_released"] == 15_001 and last["c_missing_frames"] == 14_999 + 2
 
 
+class States:
+    """A state handle in memory."""
+
+    class Value:
+        def __init__(self):
+            self.v = None
+
+        exists = lambda self: self.v is not None
+        get = lambda self: self.v
+
+        def update(self, v):
+            self.v = v
+
+    class Map(dict):
+        iterator = lambda self: iter([*self.items()])
+        getValue = lambda self, k: self[k]
+
+        def updateValue(self, k, v):
+            self[k] = v
+
+        def removeKey(self, k):
+            del self[k]
+
+    getValueState = lambda self, *a: States.Value()
+    getMapState = lambda self, *a: States.Map()
+    listTimers = lambda self: []
+
+    def registerTimer(self, at):
+        pass
+
+
+def packed_rows(messages, at_once):
+    """Messages (sequence, attempt, offset, correction, end) as the rows that the reorder step gets."""
+    import pyarrow as pa
+
+    from touchline.streaming import reorder
+
+    for i in range(0, len(messages), at_once):
+        some = messages[i:i + at_once]
+        cols = {"session_id": ["s"] * len(some), "match_id": ["m"] * len(some), "value": [f"{m}" for m in some], "sequence": [m[0] for m in some],
+                "attempt": [m[1] for m in some], "t": [m[0] * 10 if m[0] % 4 else None for m in some], "period": [1] * len(some),
+                "roster": [json.dumps([f"p{m[0] % 3}"]) for m in some], "eos": [m[4] for m in some], "correction": [m[3] for m in some],
+                "kafka_offset": [m[2] for m in some]}
+        b = pa.RecordBatch.from_pydict(cols, schema=pa.schema([(c, pa.string() if c in ("session_id", "match_id", "value", "roster") else pa.bool_() if c in ("eos", "correction")
+                                                               else pa.int32() if c in ("attempt", "period") else pa.int64()) for c in cols]))
+        yield from (r.to_pandas() for r in reorder.packed([b]))
+
+
+def plain_reorder(batches, depth):
+    """The reorder rules message by message: released (sequence, text), late (sequence, reason), in the order they go out, per batch."""
+    newest, upto, held, gone, ended = -1, -1, {}, set(), False
+    for batch in batches:
+        late, out, seen = [], [], set(held)
+        top = max([newest, *(m[0] for m in batch if not m[4])]) if not ended else newest
+        for m in sorted((m for m in batch if not m[4]), key=lambda m: m[:3]):
+            if ended:
+                late.append((m[0], "after_end_of_stream"))
+            elif m[0] <= upto:
+                if m[3] or m[0] not in gone:
+                    late.append((m[0], "late_correction" if m[3] else "late_beyond_reorder_buffer"))
+            elif m[0] not in seen or m[3]:
+                held[m[0]] = f"{m}"
+                seen.add(m[0])
+        newest, over = top, any(m[4] for m in batch) and not ended
+        for q in sorted(q for q in held if over or q <= newest - depth):
+            out.append((q, held.pop(q)))
+            gone.add(q)
+            upto = q
+        ended = ended or over
+        yield late, out
+
+
+@pytest.mark.parametrize("run, step, pack", [(4, 1, 3), (16, 4, 5), (100_000, 1024, 16_384)])
+def test_a_match_is_reordered_piece_by_piece(run, step, pack):
+    """Runs, pieces and packs of any size give the rows of the plain rules, and no piece is much longer than a run."""
+    from types import SimpleNamespace
+
+    from touchline.streaming import reorder
+
+    r = random.Random(3)
+    batches = []
+    for i in range(6):
+        of = [r.randrange(i * 40, i * 40 + 90) for _ in range(120)]
+        batches.append([(q, r.randrange(3), n, r.random() < 0.2, False) for n, q in enumerate(of)])
+    batches[4].append((999, 0, 999, False, True))
+    state = reorder.Reorder(7, 1000, run, step, pack)
+    state.init(States())
+    clock = SimpleNamespace(getCurrentProcessingTimeInMs=lambda: 0)
+    for batch, (late, out) in zip(batches, plain_reorder(batches, 7), strict=True):
+        rows = [x for part in state.handleInputRows(("s", "m"), packed_rows(batch, 50), clock) for x in part.itertuples()]
+        assert [(x.seq, x.payload) for x in rows if x.kind == "frame"] == out
+        assert [(x.seq, json.loads(x.payload)["reason"]) for x in rows if x.kind == "late"] == late
+        assert state.newest == max(m[0] for b in batches[:batches.index(batch) + 1][:5] for m in b if not m[4])
+    held = reorder.Batch(run, step)
+    for part in packed_rows(batches[0], 7):
+        held.add(*part.iloc[0, 2:])
+    pieces = [*held.pieces()]
+    got = [tuple(x) for p in pieces for x in p[reorder.ORDER].tolist()]
+    assert got == sorted(m[:3] for m in batches[0])
+    if run < 100:
+        assert len(pieces) > 3 and max(map(len, pieces)) <= run + len(held.runs) * step and max(n for _, n, _ in held.runs) <= run + 7
+
+
 def test_idle_match_is_finished_by_timer(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true")
     q, rows = run_reorder(spark, tmp_path, [[msg(i) for i in range(8)]], depth=5, idle_ms=3000, trigger={"processingTime": "1 second"})
