@@ -312,6 +312,32 @@ def test_forests_keep_their_rows_nodes(spark, monkeypatch):
     assert fit(True) == fit(False)
 
 
+def test_a_forest_is_fitted_in_parts(spark, monkeypatch, tmp_path):
+    """Parts of two trees are one forest: all its trees count, in predictions, importances and after a reload."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.regression import RandomForestRegressor
+
+    monkeypatch.setattr(training.ForestInParts, "PART", 2)
+    d = training.prepared(spark.range(300).select((F.col("id") % 17).alias("a"), (F.col("id") * 7 % 30).alias("b"), (F.col("id") % 17 * 3.0).alias("salary"),
+                                                  (F.col("id") % 17 > 8).cast("double").alias("flag")), ["a", "b"]).coalesce(1)
+    for model in (RandomForestRegressor(labelCol="salary", numTrees=5, maxDepth=3, seed=42), RandomForestClassifier(labelCol="flag", numTrees=5, maxDepth=3, seed=42)):
+        fitted = training.feature_pipeline(["a", "b"], model).fit(d)
+        forest = fitted.stages[-1]
+        assert forest.getNumTrees == len(forest.trees) == 5 and forest.getOrDefault("labelCol") == model.getLabelCol()
+        assert abs(sum(forest.featureImportances.toArray()) - 1) < 1e-9 and forest.featureImportances[0] > 0.5
+        fitted.save(f"{tmp_path}/{forest.uid}")
+        again = PipelineModel.load(f"{tmp_path}/{forest.uid}")
+        rows, reloaded = (m.transform(d).select("a", "b", "features", "prediction").collect() for m in (fitted, again))
+        assert rows == reloaded
+        for r in rows[:20]:
+            votes = [t.predict(r.features) for t in forest.trees]
+            if isinstance(model, RandomForestRegressor):
+                assert abs(r.prediction - sum(votes) / 5) < 1e-9
+        whole = training.ForestInParts(model.copy({model.numTrees: 2})).fit(fitted.stages[1].transform(fitted.stages[0].transform(d)))
+        assert [t.toDebugString.split("\n", 1)[1] for t in whole.trees] == [t.toDebugString.split("\n", 1)[1] for t in forest.trees[:2]]
+
+
 def test_models_are_fitted_at_once(spark):
     """Two models that each wait for the other: one after the other they would never end."""
     import threading
